@@ -85,3 +85,14 @@ def funnel(df: DataFrame, stage: str, stages: Sequence[str]) -> DataFrame:
         for i, name in enumerate(stages)
     ]
     return counted.select(F.inline(F.array(*rows)))
+
+
+def scatter_points(df: DataFrame, x: str, y: str, colour: str | None = None) -> DataFrame:
+    """The points of a scatter plot, with their category as text if one is named."""
+    category = [quoted(colour).cast("string").alias("category")] if colour else []
+    return df.select(quoted(x).alias("x"), quoted(y).alias("y"), *category)
+
+
+def sample_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in a given order."""
+    return df.orderBy(*[quoted(c) for c in order]).limit(n)

@@ -130,8 +130,8 @@ def revenue_headline(df: DataFrame, roles: Roles = None) -> DataFrame:
     arr = F.col("latest") * 12
     return latest.select(
         "total",
-        F.col("latest").alias("mrr"),
-        arr.alias("arr"),
+        F.col("latest").alias("mrr_value"),
+        arr.alias("arr_value"),
         F.round("growth", 2).alias("growth_rate"),
         fmt_currency(F.col("total")).alias("Total Revenue"),
         fmt_currency(F.col("latest")).alias("MRR"),

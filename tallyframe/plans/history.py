@@ -1,0 +1,180 @@
+"""History tables."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from ..operators import history
+from ..session import new_folder
+from .inputs import (
+    LOGINS_SQL, NOTIFICATIONS_SQL, PROFILE_BATCH_SQL, PROFILES_SQL, logins, notifications, profile_batch, profiles, table,
+)
+from .registry import query
+
+CATALOGUED = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+}
+
+
+def names_sql(columns: list[str]) -> str:
+    return '["' + '","'.join(columns) + '"]'
+
+
+@query(
+    "dataset_catalogue",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS name, COUNT(*) AS rows, {len(c)} AS cols, '{names_sql(c)}' AS columns_json FROM {t}"
+        for t, c in CATALOGUED.items()
+    ),
+)
+def dataset_catalogue(spark, folder):
+    rows = [history.catalogue_row(table(spark, folder, name), name) for name in CATALOGUED]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query(
+    "history_append",
+    f"SELECT CAST(user_id AS VARCHAR) AS user_id, provider, user_agent, created_at FROM {LOGINS_SQL}",
+)
+def history_append(spark, folder):
+    store, rows = new_folder(spark, "history"), logins(spark, folder).drop("id")
+    history.append(rows.filter("provider = 'email'"), "login_history", store)
+    history.append(rows.filter("provider = 'google'"), "login_history", store)
+    stored = history.read_table(spark, "login_history", store)
+    moment = F.col("created_at").cast("timestamp_ntz").alias("created_at")
+    return stored.select("user_id", "provider", "user_agent", moment)
+
+
+@query(
+    "profile_normalise",
+    f"""SELECT id, LOWER(TRIM(email)) AS email, COALESCE(full_name, split_part(LOWER(TRIM(email)), '@', 1)) AS full_name, provider
+        FROM {PROFILES_SQL}""",
+)
+def profile_normalise(spark, folder):
+    return history.clean_profiles(profiles(spark, folder))
+
+
+@query(
+    "profile_upsert",
+    f"""SELECT id, email, full_name, provider FROM (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY seq DESC) AS place FROM (
+                SELECT *, 0 AS seq FROM {PROFILES_SQL} UNION ALL SELECT * FROM {PROFILE_BATCH_SQL})) WHERE place = 1""",
+)
+def profile_upsert(spark, folder):
+    return history.upsert_profiles(profiles(spark, folder), profile_batch(spark, folder))
+
+
+@query(
+    "point_lookup",
+    f"""SELECT k.id, p.email, p.full_name, p.provider FROM (SELECT DISTINCT user_id AS id FROM events) k
+        LEFT JOIN {PROFILES_SQL} p ON p.id = k.id""",
+)
+def point_lookup(spark, folder):
+    keys = table(spark, folder, "events").select(F.col("user_id").alias("id"))
+    return history.lookup_unique(profiles(spark, folder), keys)
+
+
+@query(
+    "referential_check",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", COUNT(*) AS rows, COUNT(*) FILTER (WHERE p.id IS NULL) AS orphans
+            FROM {child} c LEFT JOIN {PROFILES_SQL} p ON p.id = c.user_id"""
+        for name, child in (("login_history", LOGINS_SQL), ("notifications", NOTIFICATIONS_SQL))
+    ),
+)
+def referential_check(spark, folder):
+    children = {"login_history": logins(spark, folder), "notifications": notifications(spark, folder)}
+    return history.reference_summary(children, profiles(spark, folder))
+
+
+@query("referential_valid", f"SELECT * FROM {LOGINS_SQL} WHERE user_id IN (SELECT id FROM {PROFILES_SQL})")
+def referential_valid(spark, folder):
+    return history.valid_rows(logins(spark, folder), profiles(spark, folder))
+
+
+@query("referential_orphans", f"SELECT * FROM {LOGINS_SQL} WHERE user_id NOT IN (SELECT id FROM {PROFILES_SQL})")
+def referential_orphans(spark, folder):
+    return history.orphan_rows(logins(spark, folder), profiles(spark, folder))
+
+
+@query(
+    "cascade_delete",
+    f"SELECT * FROM {LOGINS_SQL} WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+)
+def cascade_delete(spark, folder):
+    deleted = table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'")
+    return history.cascade_delete(logins(spark, folder), deleted.select(F.col("c_custkey").alias("id")))
+
+
+# Requests name an owner; where the value is high they name the wrong one.
+REQUESTS_SQL = """(SELECT event_id AS id, CASE WHEN value > 50 THEN user_id + 1 ELSE user_id END AS user_id
+    FROM events WHERE event_type = 'click')"""
+
+
+@query(
+    "owner_delete",
+    f"""SELECT n.* FROM {NOTIFICATIONS_SQL} n
+        WHERE NOT EXISTS (SELECT 1 FROM {REQUESTS_SQL} r WHERE r.id = n.id AND r.user_id = n.user_id)""",
+)
+def owner_delete(spark, folder):
+    owner = F.when(F.col("value") > 50, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id")
+    clicks = table(spark, folder, "events").filter("event_type = 'click'")
+    return history.owner_delete(notifications(spark, folder), clicks.select(F.col("event_id").alias("id"), owner))
+
+
+@query("mark_read", f"SELECT * REPLACE (user_id = 7 OR read AS read) FROM {NOTIFICATIONS_SQL}")
+def mark_read(spark, folder):
+    return history.mark_read(notifications(spark, folder), 7)
+
+
+@query(
+    "unread_notifications",
+    f"""SELECT user_id, COUNT(*) AS unread, MAX(created_at) AS latest_at, ARG_MAX(title, created_at) AS latest_title
+        FROM {NOTIFICATIONS_SQL} WHERE NOT read GROUP BY user_id""",
+)
+def unread_notifications(spark, folder):
+    return history.unread_summary(notifications(spark, folder))
+
+
+@query(
+    "recent_unread",
+    f"""SELECT id, user_id, title, created_at, CAST(place AS INTEGER) AS place FROM (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS place
+            FROM {NOTIFICATIONS_SQL} WHERE NOT read) WHERE place <= 5""",
+)
+def recent_unread(spark, folder):
+    unread = notifications(spark, folder).filter("NOT read")
+    return history.recent_per_user(unread, 5).select("id", "user_id", "title", "created_at", "place")
+
+
+@query(
+    "recent_per_user",
+    f"""SELECT id, user_id, provider, user_agent, created_at, CAST(place AS INTEGER) AS place FROM (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS place FROM {LOGINS_SQL})
+        WHERE place <= 10""",
+)
+def recent_per_user(spark, folder):
+    return history.recent_per_user(logins(spark, folder), 10)
+
+
+@query("recent_history", f"SELECT * FROM {NOTIFICATIONS_SQL} ORDER BY created_at DESC, id LIMIT 20")
+def recent_history(spark, folder):
+    return history.recent(notifications(spark, folder), 20)
+
+
+@query(
+    "login_lines",
+    f"""SELECT id, user_id, strftime(created_at, '%Y-%m-%dT%H:%M') || ' — ' || upper(provider[1]) || provider[2:] || ' — '
+               || left(user_agent, 80) AS line FROM {LOGINS_SQL}""",
+)
+def login_lines(spark, folder):
+    return history.login_lines(logins(spark, folder))
+
+
+@query("short_labels", f"SELECT id, left(message, 30) AS label, strftime(created_at, '%Y-%m-%d') AS day FROM {NOTIFICATIONS_SQL}")
+def short_labels(spark, folder):
+    return history.short_labels(notifications(spark, folder), "message")

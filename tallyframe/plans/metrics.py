@@ -110,7 +110,7 @@ def revenue_dirty_monthly(spark, folder):
 @query(
     "revenue_kpis",
     f"""{latest(REVENUE, 'revenue', 'DOUBLE')}
-        SELECT total, latest AS mrr, latest * 12 AS arr, ROUND(growth, 2) AS growth_rate,
+        SELECT total, latest AS mrr_value, latest * 12 AS arr_value, ROUND(growth, 2) AS growth_rate,
                {sql.currency('total')} AS "Total Revenue", {sql.currency('latest')} AS "MRR",
                {sql.currency('latest * 12')} AS "ARR", {sql.signed('growth')} AS "Revenue Growth" FROM k""",
 )
