@@ -40,7 +40,8 @@ def _start(df: DataFrame, roles: Roles, unit: str = "month") -> Column:
 
 
 def _labelled(grouped: DataFrame, unit: str, *columns: Column | str) -> DataFrame:
-    return grouped.select(period_label(F.col("start"), unit).alias("period"), *columns).orderBy("period")
+    """Periods in no order: a window or headline that follows sorts or needs no order."""
+    return grouped.select(period_label(F.col("start"), unit).alias("period"), *columns)
 
 
 # -- change between periods ------------------------------------------------
@@ -54,7 +55,7 @@ def period_changes(series: DataFrame, value: str) -> DataFrame:
         value,
         previous.alias("previous"),
         F.round(growth_pct(F.col(value), previous), 2).alias("growth_pct"),
-    ).orderBy("period")
+    )
 
 
 def _latest(series: DataFrame, value: str, whole: bool) -> DataFrame:
@@ -73,6 +74,10 @@ def _latest(series: DataFrame, value: str, whole: bool) -> DataFrame:
 
 def users_by_period(df: DataFrame, unit: str = "month", roles: Roles = None) -> DataFrame:
     """Users per period: the users column added up, or rows counted without one."""
+    return _users(df, unit, roles).orderBy("period")
+
+
+def _users(df: DataFrame, unit: str, roles: Roles) -> DataFrame:
     need_role(df, "date", roles)
     users = find_role(df, "users", roles)
     if users:
@@ -86,12 +91,12 @@ def users_by_period(df: DataFrame, unit: str = "month", roles: Roles = None) ->
 
 
 def users_monthly(df: DataFrame, roles: Roles = None) -> DataFrame:
-    months = users_by_period(df, "month", roles)
-    return months.withColumn("cumulative", F.sum("users").over(up_to_now()))
+    """Users per month with their running total, in order."""
+    return _users(df, "month", roles).withColumn("cumulative", F.sum("users").over(up_to_now()))
 
 
 def user_growth_headline(df: DataFrame, roles: Roles = None) -> DataFrame:
-    latest = _latest(users_by_period(df, "month", roles), "users", whole=False)
+    latest = _latest(_users(df, "month", roles), "users", whole=False)
     users, new = F.col("total").cast("long"), F.col("latest").cast("long")
     return latest.select(
         users.alias("total"),
@@ -109,7 +114,7 @@ def user_growth_headline(df: DataFrame, roles: Roles = None) -> DataFrame:
 
 
 def revenue_by_month(df: DataFrame, roles: Roles = None) -> DataFrame:
-    """(period, revenue); a single 'All Time' row without a date column."""
+    """(period, revenue) in no order; a single 'All Time' row without a date column."""
     value = number_or_zero(df, need_role(df, "revenue", roles)).cast("double").alias("value")
     if not find_role(df, "date", roles):
         return df.select(value).agg(total(F.col("value")).alias("revenue")).select(
@@ -120,7 +125,7 @@ def revenue_by_month(df: DataFrame, roles: Roles = None) -> DataFrame:
 
 
 def revenue_monthly(df: DataFrame, roles: Roles = None) -> DataFrame:
-    """Revenue per month with its running total."""
+    """Revenue per month with its running total, in order."""
     return revenue_by_month(df, roles).withColumn("cumulative", total(F.col("revenue"), over=up_to_now()))
 
 
@@ -159,7 +164,7 @@ def churn_monthly(df: DataFrame, roles: Roles = None) -> DataFrame:
     sums = _period_sums(df, "churn", roles).withColumn("is_rate", F.max("top").over(all_periods()) <= 1)
     rate = F.round(F.col("total") / F.col("rows") * 100, 2)
     churn = F.when(F.col("is_rate"), rate).otherwise(F.col("total")).alias("churn")
-    return _labelled(sums.filter("start IS NOT NULL"), "month", churn)
+    return _labelled(sums.filter("start IS NOT NULL"), "month", churn).orderBy("period")
 
 
 def churn_headline(df: DataFrame, roles: Roles = None) -> DataFrame:
@@ -190,7 +195,7 @@ def retention_monthly(df: DataFrame, roles: Roles = None) -> DataFrame:
     scale = F.when(F.max("top").over(all_periods()) <= 1, 100.0).otherwise(1.0)
     scaled = sums.withColumn("scale", scale).filter("start IS NOT NULL")
     mean = F.round(F.col("total") / F.col("rows") * F.col("scale"), 2)
-    return _labelled(scaled, "month", mean.alias("retention"))
+    return _labelled(scaled, "month", mean.alias("retention")).orderBy("period")
 
 
 def retention_headline(df: DataFrame, roles: Roles = None) -> DataFrame:
@@ -207,7 +212,7 @@ def retention_headline(df: DataFrame, roles: Roles = None) -> DataFrame:
 
 def engagement_monthly(df: DataFrame, roles: Roles = None) -> DataFrame:
     sums = _period_sums(df, "engagement", roles).filter("start IS NOT NULL")
-    return _labelled(sums, "month", F.col("total").alias("engagement"))
+    return _labelled(sums, "month", F.col("total").alias("engagement")).orderBy("period")
 
 
 def engagement_headline(df: DataFrame, roles: Roles = None) -> DataFrame:

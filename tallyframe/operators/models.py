@@ -119,7 +119,7 @@ def predict_churn(
     weight = F.when(label == 1, rows / (2 * churned)).otherwise(rows / (2 * (rows - churned)))
     ready = assembled(Features(features.frame.withColumn("_label", label).withColumn("_weight", weight), features.names))
     key = [*features.names, target]
-    split = spread_out(stratified_holdout(ready, key, "_label", test_share(rows)), rows, key).persist(KEPT)
+    split = spread_out(stratified_holdout(ready, key, "_label", test_share(rows), classes=2), rows, key).persist(KEPT)
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_probability",
         rawPredictionCol="_raw", predictionCol="_predicted",
@@ -174,7 +174,8 @@ def predict_clv(df: DataFrame, roles: Roles = None, exclude: Sequence[str] = ())
     if rows < MIN_CLV_ROWS:
         raise NotReady(MESSAGES["clv_rows"])
     ready = assembled(features).withColumn("_actual", quoted(target).cast("double")).withColumn("_all", F.lit(0))
-    split = stratified_holdout(ready, [*features.names, target], "_all", CLV_TEST_SHARE).persist(KEPT)
+    key = [*features.names, target]
+    split = spread_out(stratified_holdout(ready, key, "_all", CLV_TEST_SHARE, classes=1), rows, key).persist(KEPT)
     line = LinearRegression(
         featuresCol="_features", labelCol="_actual", predictionCol="_predicted", solver="normal", regParam=0.0
     )

@@ -92,6 +92,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of each numeric column."""
     columns = list(columns or numeric_columns(df))
+    if not columns:
+        raise ValueError("There is no numeric column to profile.")
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     values = df.select(*[as_number(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     aggregates = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.coerce import total
+from ..operators.joins import attach
 
 ORDER_COLUMNS = ["row_id", "cust_id", "date", "users", "revenue", "churn", "retention", "plan", "engagement", "ltv"]
 METRIC_COLUMNS = ["users", "revenue", "churn", "retention", "engagement", "ltv"]
@@ -21,9 +22,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def fact_orders(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
     """Orders with all eight roles.
 
-    The two sides that are unique per customer are joined to each other first.
-    So the rows of a customer with very many orders meet a single join, whose
-    skewed side adaptive execution may split.
+    The two sides that are unique per customer are joined to each other first,
+    so that the orders, of which one customer may have very many, are shuffled
+    on the customer once.
     """
     wanted = wanted or tuple(ORDER_COLUMNS)
     need = set(wanted)
@@ -35,15 +36,15 @@ def fact_orders(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
         F.col("o_totalprice").alias("revenue"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("churn"),
     )
-    sides = []
-    if "plan" in need:
-        customer = table(spark, folder, "customer")
-        sides.append(customer.select(F.col("c_custkey").alias("cust_id"), F.col("c_mktsegment").alias("plan")))
+    plans = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("cust_id"), F.col("c_mktsegment").alias("plan")
+    )
     if "ltv" in need:
-        sides.append(orders.groupBy(F.col("o_custkey").alias("cust_id")).agg(total(F.col("o_totalprice")).alias("ltv")))
-    if sides:
-        side = sides[0] if len(sides) == 1 else sides[0].join(sides[1], "cust_id")
-        facts = facts.join(side, "cust_id")
+        values = orders.groupBy(F.col("o_custkey").alias("cust_id")).agg(total(F.col("o_totalprice")).alias("ltv"))
+        facts = attach(facts, plans.join(values, "cust_id") if "plan" in need else values, "cust_id")
+    elif "plan" in need:
+        # Two plain scans: adaptive execution splits a hot customer by itself.
+        facts = facts.join(plans, "cust_id")
     if need & {"users", "engagement", "retention"}:
         lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
             F.count(F.lit(1)).alias("n_lines"),
