@@ -99,6 +99,16 @@ def catalogue_row(df: DataFrame, name: str, user_id: Column | None = None) -> Da
     )
 
 
+def upload_notifications(catalogue: DataFrame) -> DataFrame:
+    """A notification for each catalogue row."""
+    return catalogue.select(
+        *[c for c in ("user_id",) if c in catalogue.columns],
+        F.lit("Dataset Uploaded").alias("title"),
+        F.concat("name", F.lit(" loaded ("), F.format_number("rows", 0), F.lit(" rows)")).alias("message"),
+        F.lit("success").alias("type"),
+    )
+
+
 def new_catalogue_rows(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """The rows of a catalogue batch that are not in the catalogue yet."""
     key = ["user_id", "name", "rows", "cols", "columns_json"]
@@ -114,21 +124,35 @@ def clean_profiles(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("full_name", display_name(F.col("full_name"), email)).withColumn("email", email)
 
 
-def upsert_profiles(current: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
-    """The profiles after a batch: known ids are replaced, new ones added.
+def upsert_profiles(
+    current: DataFrame, batch: DataFrame, order: str = "seq", now: Column | None = None
+) -> DataFrame:
+    """The profiles after a batch: known ids are updated, new ones added.
 
-    The last version by ``order`` wins and the first creation time stays. The
-    best row per id is found by an aggregation, which keeps one candidate per
-    id and task, so an id with very many versions does not pile up anywhere.
+    The last version by ``order`` wins. Columns that the batch does not have
+    keep their value; ``created_at`` is the first one and ``updated_at`` is
+    refreshed, if the profiles have them. The best row per id is found by an
+    aggregation, which keeps one candidate per id and task, so an id with very
+    many versions does not pile up anywhere.
     """
-    values = [c for c in batch.columns if c not in ("id", "created_at", order)]
+    now = F.current_timestamp() if now is None else now
+    stamps = [c for c in ("created_at", "updated_at") if c in current.columns]
+    values = [c for c in batch.columns if c not in ("id", order, *stamps)]
+    kept = [c for c in current.columns if c not in ("id", *values, *stamps)]
     both = current.withColumn(order, F.lit(None).cast(batch.schema[order].dataType)).unionByName(
         batch, allowMissingColumns=True
     )
     # Struct order puts the stored row (no order) before every row of the batch.
-    newest = F.max_by(F.struct(*values), F.struct(F.col(order).isNotNull(), F.col(order))).alias("row")
-    extra = [F.min("created_at").alias("created_at")] if "created_at" in current.columns else []
-    return both.groupBy("id").agg(newest, *extra).select("id", "row.*", *[e for e in ["created_at"] if extra])
+    is_new = F.col(order).isNotNull()
+    newest = F.max_by(F.struct(*values), F.struct(is_new, F.col(order))).alias("row")
+    # Only the stored row of an id has the columns that the batch lacks.
+    stored = [F.max(F.when(~is_new, F.col(c))).alias(c) for c in kept]
+    times = {
+        "created_at": lambda: F.coalesce(F.min("created_at"), now),
+        "updated_at": lambda: F.when(F.bool_or(is_new), now).otherwise(F.max(F.when(~is_new, F.col("updated_at")))),
+    }
+    result = both.groupBy("id").agg(newest, *stored, *[times[c]().alias(c) for c in stamps])
+    return result.select("id", "row.*", *kept, *stamps)
 
 
 def lookup_unique(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions.roles import MissingRole, find_role, need_role, numeric_columns
 from .encode import label_encode
 from .profile import impute_median, varied_columns
 from .reports import MESSAGES, MIN_CHURN_ROWS, MIN_CLV_ROWS, report_head
-from .split import stratified_holdout
+from .split import binary_holdout, value_hash
 from .stats import (
     classification_metrics,
     column_trends,
@@ -37,7 +37,7 @@ SEED = 42
 TREES = 100
 RESTARTS = 10
 ITERATIONS = 20
-STARTS_AT_ONCE = 5
+STARTS_AT_ONCE = 10
 MAX_CLUSTERS = 8
 SEGMENT_LABELS = ["Champions", "Loyal Customers", "At Risk", "Dormant / Lost"]
 SUMMARY_COLUMNS = 5
@@ -46,6 +46,8 @@ CLV_TEST_SHARE = 0.2
 # Trees stop at this depth: each level is a pass over the training rows.
 TREE_DEPTH = 8
 SPREAD_BELOW = 5_000_000
+ROWS_PER_TREE_TASK = 2_000  # trees do much work per row,
+ROWS_PER_PASS_TASK = 50_000  # distances and sums little
 KEPT = StorageLevel.MEMORY_AND_DISK
 
 
@@ -76,14 +78,14 @@ def assembled(features: Features) -> DataFrame:
     return VectorAssembler(inputCols=features.names, outputCol="_features").transform(features.frame)
 
 
-def spread_out(df: DataFrame, rows: int, key: Sequence[str]) -> DataFrame:
-    """Few rows on all cores: training repeats its passes, and one small file would be one task.
+def spread_out(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """Few rows in as many parts as pay off: training repeats its passes, and every task costs some time.
 
     More rows than that fill enough partitions by themselves and are not moved.
     """
     if rows > SPREAD_BELOW:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *[quoted(k) for k in key])
+    return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // per_task)))
 
 
 # -- churn ---------------------------------------------------------------------------
@@ -117,19 +119,22 @@ def predict_churn(
     # Both classes get the same total weight: rows / (2 * rows of the class).
     label = (quoted(target) > 0).cast("int")
     weight = F.when(label == 1, rows / (2 * churned)).otherwise(rows / (2 * (rows - churned)))
-    ready = assembled(Features(features.frame.withColumn("_label", label).withColumn("_weight", weight), features.names))
-    key = [*features.names, target]
-    split = spread_out(stratified_holdout(ready, key, "_label", test_share(rows), classes=2), rows, key).persist(KEPT)
+    labelled = features.frame.withColumn("_label", label).withColumn("_weight", weight)
+    ready = assembled(Features(labelled, features.names)).withColumn("_hash", value_hash([*features.names, target]))
+    kept = spread_out(ready, rows, ROWS_PER_TREE_TASK).persist(KEPT)
+    is_test = binary_holdout(kept, F.col("_hash"), "_label", test_share(rows))
+    known.unpersist()
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_probability",
         rawPredictionCol="_raw", predictionCol="_predicted",
         numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=1024,
     )
-    model = forest.fit(split.filter(~F.col("is_test")))
-    report = classification_metrics(model.transform(split.filter("is_test")), "_label", "_predicted")
-    accuracy = report.first()["accuracy"]
-    split.unpersist()
-    known.unpersist()
+    model = forest.fit(kept.filter(~is_test))
+    report = classification_metrics(model.transform(kept.filter(is_test)), "_label", "_predicted")
+    measured = report.collect()  # two rows
+    report = df.sparkSession.createDataFrame(measured, report.schema)
+    accuracy = measured[0]["accuracy"]
+    kept.unpersist()
 
     # Rounded first, then compared, so that what is shown decides.
     probability = F.round(vector_to_array("_probability")[1], 3)
@@ -174,15 +179,16 @@ def predict_clv(df: DataFrame, roles: Roles = None, exclude: Sequence[str] = ())
     if rows < MIN_CLV_ROWS:
         raise NotReady(MESSAGES["clv_rows"])
     ready = assembled(features).withColumn("_actual", quoted(target).cast("double")).withColumn("_all", F.lit(0))
-    key = [*features.names, target]
-    split = spread_out(stratified_holdout(ready, key, "_all", CLV_TEST_SHARE, classes=1), rows, key).persist(KEPT)
+    ready = ready.withColumn("_hash", value_hash([*features.names, target]))
+    kept = spread_out(ready, rows, ROWS_PER_PASS_TASK).persist(KEPT)
+    is_test = binary_holdout(kept, F.col("_hash"), "_all", CLV_TEST_SHARE)
+    known.unpersist()
     line = LinearRegression(
         featuresCol="_features", labelCol="_actual", predictionCol="_predicted", solver="normal", regParam=0.0
     )
-    model = line.fit(split.filter(~F.col("is_test")))
-    fit = regression_metrics(model.transform(split.filter("is_test")), "_actual", "_predicted").first()
-    split.unpersist()
-    known.unpersist()
+    model = line.fit(kept.filter(~is_test))
+    fit = regression_metrics(model.transform(kept.filter(is_test)), "_actual", "_predicted").first()
+    kept.unpersist()
 
     predicted = F.round(F.greatest(F.lit(0.0), F.col("_predicted")), 2)
     scored = model.transform(ready).withColumn("predicted_clv", predicted).select(
@@ -256,10 +262,10 @@ def segment_users(
 
     vectors = VectorAssembler(inputCols=names, outputCol="_raw").transform(filled)
     scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True).fit(vectors)
-    scaled = scaler.transform(vectors).select(*names, "_features")
-    scaled = spread_out(scaled, rows, names).select("_features").persist(KEPT)
+    scaled = scaler.transform(vectors)
+    scaled = spread_out(scaled.select("_features"), rows, ROWS_PER_PASS_TASK).persist(KEPT)
     scaled.count()
-    best = _best_clusters(scaled, k, restarts, iterations)
+    best = _best_clusters(scaled, rows, k, restarts, iterations)
     scaled.unpersist()
     known.unpersist()
 
@@ -282,18 +288,25 @@ def segment_users(
     )
 
 
-def _best_clusters(scaled: DataFrame, k: int, restarts: int, iterations: int) -> KMeansModel:
+def _best_clusters(scaled: DataFrame, rows: int, k: int, restarts: int, iterations: int) -> KMeansModel:
     """The model with the least squared distance, the first of equal ones.
 
-    The starts do not depend on each other, so their jobs share the cluster.
+    The starts do not depend on each other: on few rows, where a pass is mostly
+    waiting, several run at once.
     """
+    # Not the persisted frame itself: of a projection the algorithm keeps its own
+    # plain vectors for its many passes, instead of decoding the columns in each.
+    vectors = scaled.select(F.col("_features").alias("_vector"))
+
     def run(start: int) -> tuple[float, int, KMeansModel]:
-        kmeans = KMeans(featuresCol="_features", predictionCol="cluster", k=k, seed=SEED + start, maxIter=iterations)
-        model = kmeans.fit(scaled)
+        kmeans = KMeans(featuresCol="_vector", predictionCol="cluster", k=k, seed=SEED + start, maxIter=iterations)
+        model = kmeans.fit(vectors)
         return model.summary.trainingCost, start, model
 
-    with ThreadPoolExecutor(min(restarts, STARTS_AT_ONCE)) as pool:
-        return min(pool.map(inheritable_thread_target(scaled.sparkSession)(run), range(restarts)), key=lambda m: m[:2])[2]
+    at_once = STARTS_AT_ONCE if rows <= SPREAD_BELOW else 1
+    with ThreadPoolExecutor(at_once) as pool:
+        found = pool.map(inheritable_thread_target(scaled.sparkSession)(run), range(restarts))
+        return min(found, key=lambda m: m[:2])[2].setFeaturesCol("_features")
 
 
 # -- rows for the predictions table --------------------------------------------------------

@@ -36,6 +36,18 @@ def dataset_catalogue(spark, folder):
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+@query(
+    "upload_notifications",
+    " UNION ALL ".join(
+        f"""SELECT 'Dataset Uploaded' AS title, '{t} loaded (' || format('{{:,}}', COUNT(*)) || ' rows)' AS message,
+            'success' AS type FROM {t}"""
+        for t in CATALOGUED
+    ),
+)
+def upload_notifications(spark, folder):
+    return history.upload_notifications(dataset_catalogue(spark, folder))
+
+
 @query(
     "history_append",
     f"SELECT CAST(user_id AS VARCHAR) AS user_id, provider, user_agent, created_at FROM {LOGINS_SQL}",

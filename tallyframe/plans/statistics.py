@@ -95,7 +95,7 @@ HASH = "('0x' || left(md5(CAST(o_orderkey AS VARCHAR)), 8))::BIGINT"
 @query("holdout_split", f"SELECT o_orderkey, {HASH} < {int(0.2 * split.HASHES)} AS is_test FROM orders")
 def holdout_split(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey")
-    return split.holdout(orders, ["o_orderkey"], 0.2)
+    return split.holdout(orders, split.text_hash(["o_orderkey"]), 0.2)
 
 
 @query(
@@ -107,7 +107,7 @@ def holdout_split(spark, folder):
 )
 def stratified_split(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
-    return split.stratified_holdout(orders, ["o_orderkey"], "o_orderstatus", 0.25)
+    return split.stratified_holdout(orders, split.text_hash(["o_orderkey"]), "o_orderstatus", 0.25)
 
 
 @query(

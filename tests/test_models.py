@@ -90,12 +90,13 @@ def test_clv_finds_the_line(customers):
 
 def test_clv_equals_least_squares(customers):
     """All rows, several features: as the normal equations on the training rows give it."""
-    from tallyframe.operators.split import stratified_holdout
+    from tallyframe.operators.split import stratified_holdout, value_hash
 
     df = customers.select("row_id", "engagement", "churn", "revenue").fillna(50.0, ["engagement"])
     model = models.predict_clv(df, exclude=["row_id"])
     typed = df.select(F.col("engagement"), F.col("churn").cast("double"), F.col("revenue"), F.lit(0).alias("all"), "row_id")
-    marked = stratified_holdout(typed, ["engagement", "churn", "revenue"], "all", models.CLV_TEST_SHARE).toPandas()
+    row = value_hash(["engagement", "churn", "revenue"])
+    marked = stratified_holdout(typed, row, "all", models.CLV_TEST_SHARE).toPandas()
     train = marked[~marked["is_test"]]
     design = lambda f: np.column_stack([np.ones(len(f)), f["engagement"], f["churn"]])
     solution, *_ = np.linalg.lstsq(design(train), train["revenue"].to_numpy(), rcond=None)

@@ -60,10 +60,11 @@ def test_label_codes(spark, few):
 
 
 @pytest.mark.parametrize("share", [0.2, 0.4, 0.0, 1.0])
-@pytest.mark.parametrize("classes", [None, 20_000])
-def test_stratified_shares_are_exact(spark, share, classes):
+@pytest.mark.parametrize("few_classes", [None, False])
+@pytest.mark.parametrize("hashed", [split.text_hash, split.value_hash])
+def test_stratified_shares_are_exact(spark, share, few_classes, hashed):
     df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("y"))
-    marked = split.stratified_holdout(df, ["id"], "y", share, classes)
+    marked = split.stratified_holdout(df, hashed(["id"]), "y", share, few_classes)
     counts = {r["y"]: (r["n"], r["t"]) for r in marked.groupBy("y").agg(
         F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
     assert counts == {y: (n, math.floor(n * share + 0.5)) for y, n in (("a", 667), ("b", 1333))}
@@ -71,7 +72,7 @@ def test_stratified_shares_are_exact(spark, share, classes):
 
 def test_rows_without_label_train(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (3, "a")], "id int, y string")
-    marked = split.stratified_holdout(df, ["id"], "y", 1.0)
+    marked = split.stratified_holdout(df, split.value_hash(["id"]), "y", 1.0)
     assert {r["id"]: r["is_test"] for r in marked.collect()} == {1: False, 2: True, 3: True}
 
 
@@ -299,11 +300,14 @@ def test_catalogue_is_idempotent(spark, sample):
     assert history.new_catalogue_rows(row, row).count() == 0
 
 
-def test_upsert_keeps_creation_time(spark):
-    old = spark.createDataFrame([(1, "a", 100), (2, "b", 200)], "id int, email string, created_at int")
-    new = spark.createDataFrame([(1, "a2", 900, 1), (1, "a3", 901, 2), (3, "c", 902, 1)], "id int, email string, created_at int, seq int")
-    rows = {tuple(r) for r in history.upsert_profiles(old, new).collect()}
-    assert rows == {(1, "a3", 100), (2, "b", 200), (3, "c", 902)}
+def test_upsert(spark):
+    old = spark.createDataFrame(
+        [(1, "a", "pic", 100, 100), (2, "b", None, 200, 200)],
+        "id int, email string, avatar_url string, created_at int, updated_at int",
+    )
+    new = spark.createDataFrame([(1, "a2", 1), (1, "a3", 2), (3, "c", 1)], "id int, email string, seq int")
+    rows = {tuple(r) for r in history.upsert_profiles(old, new, now=F.lit(900)).collect()}
+    assert rows == {(1, "a3", "pic", 100, 900), (2, "b", None, 200, 200), (3, "c", None, 900, 900)}
 
 
 def test_unique_lookup(spark):
