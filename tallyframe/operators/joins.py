@@ -2,8 +2,8 @@
 
 Adaptive execution splits a hot key only when both sides come straight out of
 a shuffle. Where the unique side is an aggregate or a join, the rows of hot
-keys are spread here over several parts, and the few unique rows they need are
-copied to each part.
+keys stay where they are and get their few unique rows by broadcast; all other
+rows are shuffled.
 """
 
 from __future__ import annotations
@@ -12,24 +12,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.roles import quoted
 
-HOT = 1_000  # a key is hot with more than 1 / HOT of all rows: fewer than HOT keys are
-PARTS = 64  # parts the rows of a hot key are spread over
+HOT = 10_000  # a key is hot with more than 1 / HOT of all rows: fewer than HOT keys are
 
 
 def attach(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``unique``, which has one row per ``key``.
+    """``rows`` with the columns of ``unique``, which has one narrow row per ``key``.
 
     Hot keys are found by a count per key, which tasks combine before the
-    shuffle. There are fewer than HOT of them, so they can be broadcast. Rows
-    without a key match nothing and are spread as well.
+    shuffle. There are fewer than HOT of them, so the broadcasts are bounded.
+    Rows of a hot key are never moved, be they copies of each other or not, and
+    neither are rows without a key, which match nothing.
     """
     whole = rows.agg(F.count(F.lit(1))).scalar()
     counts = rows.groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") * HOT > whole).select(quoted(key), F.lit(True).alias("_hot"))
-    part = F.pmod(F.xxhash64(*[quoted(c) for c in rows.columns]), F.lit(PARTS)).cast("int")
-    spread = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_part", F.when(F.col("_hot") | quoted(key).isNull(), part).otherwise(0)
-    )
-    last = F.when(F.col("_hot"), PARTS - 1).otherwise(0)
-    copied = unique.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
-    return spread.drop("_hot").join(copied.drop("_hot"), [key, "_part"], how).drop("_part")
+    hot = F.broadcast(counts.filter(quoted(key).isNotNull() & (F.col("_n") * HOT > whole)).select(quoted(key)))
+    staying = rows.join(hot, key, "left_semi")
+    if how == "left":
+        staying = staying.unionByName(rows.filter(quoted(key).isNull()))
+    moving = rows.filter(quoted(key).isNotNull()).join(hot, key, "left_anti")
+    copied = F.broadcast(unique.join(hot, key, "left_semi"))
+    return staying.join(copied, key, how).unionByName(moving.join(unique, key, how))

@@ -133,7 +133,7 @@ def predict_churn(
     report = classification_metrics(model.transform(kept.filter(is_test)), "_label", "_predicted")
     measured = report.collect()  # two rows
     report = df.sparkSession.createDataFrame(measured, report.schema)
-    accuracy = measured[0]["accuracy"]
+    accuracy = measured[0]["accuracy"] or 0.0
     kept.unpersist()
 
     # Rounded first, then compared, so that what is shown decides.
@@ -198,7 +198,7 @@ def predict_clv(df: DataFrame, roles: Roles = None, exclude: Sequence[str] = ())
     )
     scores = with_value_segments(scored, "predicted_clv")
     metrics = scored.agg(
-        F.lit(fit["mae"]).alias("mae"), F.lit(fit["r2"]).alias("r2"),
+        F.lit(fit["mae"]).cast("double").alias("mae"), F.lit(fit["r2"]).cast("double").alias("r2"),
         F.round(F.avg("predicted_clv"), 2).alias("avg_predicted_clv"),
     )
     return ValueModel(scores, metrics)

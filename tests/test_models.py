@@ -71,6 +71,17 @@ def test_churn_guards(spark, customers):
     assert [models.test_share(n) for n in (20, 60, 80, 1000)] == [0.4, 1 / 3, 0.25, 0.2]
 
 
+def test_nothing_but_copies(spark):
+    """Copies stay together, so there may be no test row: then there is no accuracy either."""
+    rows = [(1, 1.0, 2.0, 3.0)] * 30 + [(0, 5.0, 6.0, 7.0)] * 30
+    df = spark.createDataFrame(rows, "churn int, a double, b double, ltv double")
+    model = models.predict_churn(df, trees=5)
+    assert model.scores.count() == 60 and model.accuracy == 0.0
+    assert {(r["churn"], r["predicted_churn"]) for r in df.join(model.scores, ["a", "b", "ltv"]).select(
+        df["churn"], "predicted_churn").collect()} == {(0, 0), (1, 1)}
+    assert models.predict_clv(df).metrics.first()["mae"] is None
+
+
 def test_clv_finds_the_line(customers):
     model = models.predict_clv(customers.select("row_id", "revenue", "ltv"), exclude=["row_id"])
     rows = model.scores.collect()

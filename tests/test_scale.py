@@ -98,7 +98,7 @@ def test_a_hot_customer_is_split(spark, uneven):
     assert len(rows) == table(spark, uneven, "orders").count()
 
 
-def test_a_hot_customer_is_spread_over_parts(spark, uneven):
+def test_a_hot_customer_stays_spread_out(spark, uneven):
     """Without help from adaptive execution no task gets the whole hot customer."""
     columns = ["row_id", "plan", "ltv"]
     expected = sorted(map(tuple, fact_orders(spark, uneven, *columns).collect()))
