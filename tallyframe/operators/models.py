@@ -41,6 +41,8 @@ STARTS_AT_ONCE = 10
 MAX_CLUSTERS = 8
 SEGMENT_LABELS = ["Champions", "Loyal Customers", "At Risk", "Dormant / Lost"]
 SUMMARY_COLUMNS = 5
+TREND_LINES = 10
+NAMED_SEGMENTS = 4
 CLV_TEST_SHARE = 0.2
 
 # Trees stop at this depth: each level is a pass over the training rows.
@@ -326,6 +328,11 @@ def _line(label: str, value: Column, suffix: str = "") -> Column:
     return F.concat(F.lit(f"{label}: "), value.cast("string"), F.lit(suffix))
 
 
+def _in_order(row: Column, first: int) -> Column:
+    """The texts of the first (place, text) structs of a few rows."""
+    return F.slice(F.array_sort(F.collect_list(row)), 1, first)["text"]
+
+
 def all_prediction_rows(df: DataFrame, generated: str, exclude: Sequence[str] = (), periods: int = 6) -> DataFrame:
     """One row per model, with its score and main findings below the head of a report."""
     head = F.col("head")
@@ -340,10 +347,13 @@ def all_prediction_rows(df: DataFrame, generated: str, exclude: Sequence[str] =
     high = churn.scores.agg(F.count_if(F.col("risk_level") == "High").alias("high"))
     forecast = forecast_fit(df).select("r2_pct", revenue_direction(df).select("trend").scalar().alias("trend"))
     score = F.round("r2_pct", 1)
-    # One line per numeric column, the first ten of them.
-    insights = F.slice(F.array_sort(F.collect_list("insight")), 1, 10)
+    # The first ten columns, and the four largest segments: a handful of rows each.
+    columns = numeric_columns(df, exclude)
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("column"))
+    insights = _in_order(F.struct(place.alias("place"), F.col("insight").alias("text")), TREND_LINES)
     trends = column_trends(df.drop(*exclude)).agg(F.array_join(insights, "\n").alias("insights"))
-    names = F.array_join(F.array_sort(F.collect_list("segment")), ", ")
+    by_size = _in_order(F.struct((-F.col("rows")).alias("place"), F.col("segment").alias("text")), NAMED_SEGMENTS)
+    names = F.array_join(by_size, ", ")
     parts = [
         prediction_row(
             headed("Churn Prediction", high), "Churn Prediction", "Random Forest Classifier", F.lit(churn.accuracy),

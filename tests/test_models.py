@@ -158,4 +158,6 @@ def test_prediction_rows(customers):
     }
     assert rows["Churn Prediction"]["summary"].startswith("Type     : Churn Prediction\nDataset  : 400 rows × 5 columns")
     assert "Segments: " in rows["User Segmentation"]["summary"]
-    assert "%/day)" in rows["Trend Analysis"]["summary"]
+    lines = rows["Trend Analysis"]["summary"].split("\n")
+    assert [line.split(":")[0] for line in lines] == ["engagement", "revenue", "churn", "ltv"]
+    assert all(line.endswith("%/day)") for line in lines)
