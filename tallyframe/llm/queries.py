@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, urls
+from . import mixing, packing, simhash, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,23 @@ SELECT page_id, host, path, rule, CASE
     ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+
+# --- 6: near copies by SimHash ---------------------------------------------------------------
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at three differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words_in_shingle=3, radius=3)
+
+
+# --- 1: packing ------------------------------------------------------------------------------
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """All documents in sequences of 2048 tokens; a checksum stands for the ids."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+    return packing.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), limit=2048)
