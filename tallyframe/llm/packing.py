@@ -53,8 +53,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.new: dict[bytes | str, bytes] = {}
+        self.old: dict[bytes | str, bytes] = {}
         # Bytes as the letters that byte-level vocabularies are written in: printable ones stand for themselves.
         itself = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(itself)]
@@ -70,14 +70,14 @@ class Words:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def split(text: str) -> list[bytes]:
-        """Words in Latin-1, with A-Z in lower case; a text with other characters is one word of its UTF-8 bytes after a null byte."""
+    def split(text: str) -> list[bytes] | list[str]:
+        """Words in Latin-1, with A-Z in lower case; of a text with other characters as they are."""
         try:
             return text.encode("latin-1").lower().split()
         except UnicodeEncodeError:
-            return [b"\0" + w.encode("utf-8", "surrogatepass") for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]
+            return [w for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]
 
-    def word(self, word: bytes) -> bytes:
+    def word(self, word: bytes | str) -> bytes:
         """The ids of a word, remembered."""
         found = self.new.get(word)
         if found is None:
@@ -85,10 +85,10 @@ class Words:
             found = self.new[word] = self.fresh(word) if found is None else found
         return found
 
-    def fresh(self, word: bytes) -> bytes:
+    def fresh(self, word: bytes | str) -> bytes:
         """The ids of a word, by its letters and a dot or comma at its end if it is that plain."""
-        if word[:1] == b"\0":
-            return self.whole([word[1:].decode("utf-8", "surrogatepass")])[0]
+        if isinstance(word, str):
+            return self.whole([word])[0]
         text = word.decode("latin-1")
         if len(text) > 1 and text[-1] in ".," and text[:-1].isalpha():
             return self.word(word[:-1]) + self.word(word[-1:])

@@ -75,12 +75,13 @@ def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def forest(own: np.ndarray, others: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, root): links among ``own`` and ``others`` across the two, or within ``own``, without the rest of the pairs."""
     there = own if others is None else others
+    a, b = own.view(np.uint64), there.view(np.uint64)  # of signed numbers, numpy counts the bits of the absolute value
     shift = 0 if others is None else len(own)
     every = own if others is None else np.concatenate((own, others))
     label = np.arange(len(every))
     rows = max(1, BLOCK // max(1, len(there)))
     for i in range(0, len(own), rows):
-        near = np.bitwise_count(own[i : i + rows, None] ^ there[None, :]) <= radius
+        near = np.bitwise_count(a[i : i + rows, None] ^ b[None, :]) <= radius
         u, v = np.nonzero(near)
         if len(u):
             label = unite(label, u + i, v + shift)
@@ -107,7 +108,9 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
                 own = values[offsets[i] : offsets[i + 1]].copy()
                 found.append(forest(own, None, radius))
                 i += 1
-            coming = values[offsets[i] : offsets[j]]
+            if own is None:
+                continue  # by chance no class of the cell fell into this tile
+            coming = values[offsets[i] : offsets[j]].copy()
             for k in range(0, len(coming), 16 * TILE):
                 found.append(forest(own, coming[k : k + 16 * TILE], radius))
         if found:
@@ -194,12 +197,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _joined(rows: DataFrame, radius: int) -> DataFrame:
-    """``rows`` (id, fp, ...), a table, with component_id."""
+    """``rows`` (id, fp, ...), a table, with component_id and root, which tells components of one id apart."""
     classes = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
     stars = components(links(classes, radius)).select(F.col("node").alias("fp"), "root")
     rooted = stored(classes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
     ends = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ends")
-    named = stored(rooted.join(ends, "root").select("fp", "component_id"), "simhash-components")
+    named = stored(rooted.join(ends, "root").select("fp", "root", "component_id"), "simhash-components")
     return rows.join(named, "fp")
 
 
@@ -214,9 +217,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ident = F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
     rows = stored(docs.select(quoted(id_col).alias("id"), ident.alias("th"), fingerprints(text, words_in_shingle).alias("fp")), "simhash")
     placed = _joined(rows, radius)
-    first = placed.filter(F.col("id") == F.col("component_id")).groupBy("component_id", "th").agg(F.count("*").alias("n"))
-    chosen = first.groupBy("component_id").agg(F.min(F.struct("th", "n")).alias("c"))
-    chosen = stored(chosen.select(F.col("component_id").alias("_id"), F.col("c.th").alias("_th"), F.col("c.n").alias("_n")), "simhash-chosen")
+    first = placed.filter(F.col("id") == F.col("component_id")).groupBy("root", "id", "th").agg(F.count("*").alias("n"))
+    chosen = first.groupBy("root").agg(F.min(F.struct("id", "th", "n")).alias("c"))
+    chosen = stored(chosen.select(F.col("c.id").alias("_id"), F.col("c.th").alias("_th"), F.col("c.n").alias("_n")), "simhash-chosen")
     found = docs.join(chosen.hint("shuffle_hash"), (quoted(id_col) == F.col("_id")) & (ident == F.col("_th")))
     kept = found
     if not chosen.filter("_n > 1").isEmpty():
