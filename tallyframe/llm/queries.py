@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, simhash, urls
+from . import mixing, packing, quality, simhash, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,72 @@ def op1_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = packing.pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), limit=2048)
     return packing.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), limit=2048)
+
+
+# --- 8: quality rules ------------------------------------------------------------------------
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, the two fixed rules, and thresholds per language and source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rated = quality.rate(docs, least_words=20, most_repeats=30, least_rows=30, reach=3)
+    return rated.drop("n_lines", "n_capitals", "n_echoes")
+
+
+ORACLES["op8_quality"] = r"""
+WITH split AS (
+    SELECT row_number() OVER () AS r, doc_id, text,
+        CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS lang, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS source,
+        coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), windows AS (
+    SELECT r, i, array_to_string(w[i : i + 7], ' ') AS v
+    FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM split WHERE len(w) >= 8)
+), again AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS c FROM windows) WHERE c > 1
+), covered AS (
+    SELECT r, count(DISTINCT i + j) AS n FROM again, (SELECT unnest(range(0, 8)) AS j) GROUP BY r
+), counted AS (
+    SELECT s.r, doc_id, lang, source, len(w) AS n_words,
+        length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+        length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+        length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS n_capitals,
+        len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echoes
+    FROM split s LEFT JOIN covered c ON s.r = c.r
+), rated AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        100 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_symbols // greatest(n_words, 1) AS symbols,
+        1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats,
+        1000 * n_capitals // greatest(word_chars, 1) AS capitals, 1000 * n_echoes // greatest(n_words, 1) AS echoes
+    FROM counted
+), long AS (
+    SELECT r, lang, source, measure, v FROM rated UNPIVOT (v FOR measure IN (word_length, symbols, dup_lines, repeats, capitals, echoes)) WHERE NOT base_failed
+), bins AS (
+    SELECT *, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS b FROM long
+), ranked AS (
+    SELECT 1 AS level, lang, source, measure, b, row_number() OVER (PARTITION BY lang, source, measure ORDER BY b) AS k, count(*) OVER (PARTITION BY lang, source, measure) AS n FROM bins
+    UNION ALL SELECT 2, lang, NULL, measure, b, row_number() OVER (PARTITION BY lang, measure ORDER BY b), count(*) OVER (PARTITION BY lang, measure) FROM bins
+    UNION ALL SELECT 3, NULL, NULL, measure, b, row_number() OVER (PARTITION BY measure ORDER BY b), count(*) OVER (PARTITION BY measure) FROM bins
+), quartiles AS (
+    SELECT level, lang, source, measure, max(n) AS n, min(b) FILTER (4 * k >= n) AS q1, min(b) FILTER (4 * k >= 3 * n) AS q3
+    FROM ranked GROUP BY ALL
+), fences AS (
+    SELECT *, greatest(q3 - q1, CASE measure WHEN 'word_length' THEN 50 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 150
+        WHEN 'repeats' THEN 100 WHEN 'capitals' THEN 50 ELSE 30 END) AS spread
+    FROM quartiles
+), outside AS (
+    SELECT DISTINCT l.r FROM long l
+    LEFT JOIN fences a ON a.level = 1 AND a.lang = l.lang AND a.source = l.source AND a.measure = l.measure AND a.n >= 30
+    LEFT JOIN fences b ON b.level = 2 AND b.lang = l.lang AND b.measure = l.measure AND b.n >= 30
+    JOIN fences c ON c.level = 3 AND c.measure = l.measure
+    WHERE v < coalesce(a.q1 - 3 * a.spread, b.q1 - 3 * b.spread, c.q1 - 3 * c.spread)
+        OR v > coalesce(a.q3 + 3 * a.spread, b.q3 + 3 * b.spread, c.q3 + 3 * c.spread)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+    CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+    NOT base_failed AND r NOT IN (SELECT r FROM outside) AS kept
+FROM rated
+"""
