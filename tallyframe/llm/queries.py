@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality, simhash, urls
+from . import fingerprint, mixing, packing, quality, simhash, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,11 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
     NOT base_failed AND r NOT IN (SELECT r FROM outside) AS kept
 FROM rated
 """
+
+
+# --- 2: document fingerprints ----------------------------------------------------------------
+
+@query
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk digests of each text and its edited text, and their containment."""
+    return fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
