@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, mixing, packing, quality, simhash, urls
+from . import fingerprint, language, mixing, packing, quality, simhash, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +226,12 @@ FROM rated
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk digests of each text and its edited text, and their containment."""
     return fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- 3: language identification --------------------------------------------------------------
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text by a network that learned from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
