@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, language, mixing, packing, quality, simhash, urls
+from . import fingerprint, language, mixing, packing, pii, quality, simhash, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each text by a network that learned from two thirds of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+# --- 7: personal data ------------------------------------------------------------------------
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for what identifies people."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key="an example key")
