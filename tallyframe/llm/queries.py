@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, language, mixing, packing, pii, quality, simhash, urls
+from . import chat, fingerprint, language, mixing, packing, pii, quality, sharding, simhash, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,54 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for what identifies people."""
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key="an example key")
+
+
+# --- 9: sharding -----------------------------------------------------------------------------
+
+SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.place(docs, SHARDS).select("doc_id", "slot", "shard")
+
+
+# The table's filling takes turns, which SQL can't say well; its owners are given as letters. Tests hold them against a plain version.
+ORACLES["op9_sharding"] = rf"""
+WITH slots AS (
+    SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 't' || coalesce(text, ''))), 1, 15) AS BIGINT) % {sharding.SLOTS} AS slot
+    FROM documents
+)
+SELECT doc_id, CAST(slot AS INTEGER) AS slot,
+    'shard-' || lpad(CAST(ascii(substr('{"".join(chr(64 + i) for i in sharding.fill(SHARDS))}', slot + 1, 1)) - 64 AS VARCHAR), 3, '0') AS shard
+FROM slots
+"""
+
+
+# --- 4: chat formatting ----------------------------------------------------------------------
+
+@query
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations that no other one continues, rendered."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op4_chat"] = r"""
+WITH placed AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text) AS k FROM conversations
+    WHERE conv_id IS NOT NULL
+), whole AS (
+    SELECT conv_id, count(*) AS n, list(struct_pack(r := role, t := text) ORDER BY k) AS told FROM placed GROUP BY conv_id
+), single AS (
+    SELECT n, told, min(conv_id) AS conv_id FROM whole GROUP BY n, told
+), beginnings AS (
+    SELECT DISTINCT k AS n, told[1 : k] AS told FROM (SELECT told, unnest(range(1, n)) AS k FROM whole)
+), staying AS (
+    SELECT s.conv_id FROM single s ANTI JOIN beginnings b ON s.n = b.n AND s.told = b.told
+)
+SELECT conv_id, CAST((k - 1) // 512 AS INTEGER) AS part, count(*) AS turns,
+    string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY k) AS text
+FROM placed WHERE conv_id IN (SELECT conv_id FROM staying) GROUP BY ALL
+"""
