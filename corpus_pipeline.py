@@ -13,7 +13,7 @@ from tallyframe.llm import language, mixing, packing, pii, simhash
 from tallyframe.llm.common import stored
 
 #: A text goes if its language can't be told: no letter, or no language as probable as this.
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.3
 #: What the surrogates are drawn with; a secret of whoever runs it.
 PII_KEY = "an example key"
 

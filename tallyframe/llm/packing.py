@@ -164,20 +164,28 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 # --- patterns, on counts per length ----------------------------------------------------------
 
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(a, b)
+    except np.linalg.LinAlgError:  # patterns that make each other up
+        return np.linalg.lstsq(a, b, rcond=None)[0]
+
+
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least squares with no negative part: the active-set method of Lawson and Hanson."""
+    """Least squares with no negative part: the active-set method of Lawson and Hanson, on the normal equations."""
+    square, right = a.T @ a, a.T @ b
     x, inside = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    near = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
+    near = 1e-9 * max(1.0, float(np.abs(right).max(initial=0)))
     for _ in range(6 * a.shape[0] + 10):
-        slope = a.T @ (b - a @ x)
+        slope = right - square @ x
         slope[inside] = -np.inf
         if not len(slope) or slope.max() <= near:
             break
         inside[int(slope.argmax())] = True
-        while True:
+        while inside.any():
             s = np.zeros_like(x)
-            s[inside] = np.linalg.lstsq(a[:, inside], b, rcond=None)[0]
-            if not inside.any() or s[inside].min() > 0:
+            s[inside] = _solved(square[np.ix_(inside, inside)], right[inside])
+            if s[inside].min() > 0:
                 break
             low = inside & (s <= 0)
             share = (x[low] / np.maximum(x[low] - s[low], 1e-300)).min()
