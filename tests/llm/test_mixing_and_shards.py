@@ -1,0 +1,148 @@
+"""Mixing and sharding against plain versions."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.llm import mixing, sharding
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def key60(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def plain_targets(sizes, weights, share, most):
+    """As the contract says it: stop at the cap, share the excess by weight, until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    budget = share * sum(sizes.values())
+    total = sum(weight.values())
+    target = {s: budget * weight[s] / total for s in order}
+    while True:
+        above = [s for s in order if target[s] > most * sizes[s] * (1 + 1e-12)]
+        if not above:
+            return target
+        excess = 0
+        for s in above:
+            excess += target[s] - most * sizes[s]
+            target[s] = most * sizes[s]
+        free = [s for s in order if target[s] < most * sizes[s]]
+        if not free:
+            return target
+        for s in free:
+            target[s] += excess * weight[s] / sum(weight[f] for f in free)
+
+
+def check(docs, **options):
+    settings = {"weights": (3, 1, 2), "share": 1.5, "most": 2.0} | options
+    got = mixing.mix(docs, **settings)
+    added = ["size", "source_size", "target", "times"]
+    assert sorted(got.columns) == sorted([c for c in docs.columns if c not in added] + added)
+    got = got.collect()
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    assert Counter((r["doc_id"], r["text"], r["source"], r["size"]) for r in got) == Counter((*r, len(WORD.findall(r[1] or ""))) for r in rows)
+    sizes, biggest, taken = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in got:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["size"] * r["times"]
+    by_key = defaultdict(int)
+    for r in got:
+        by_key[r["source"], r["doc_id"] if r["doc_id"] is not None else "t" + (r["text"] or "")] += r["size"]
+    for (s, _), n in by_key.items():
+        biggest[s] = max(biggest[s], n)
+    want = plain_targets(sizes, **settings)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(want[r["source"]], rel=1e-9, abs=1e-9)
+        assert 0 <= r["times"] <= settings["most"]
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= biggest[s] / 2 + 1e-6
+    return {(r["doc_id"], r["text"]): r["times"] for r in got}
+
+
+def test_given_documents_and_reruns(documents):
+    first = check(documents)
+    assert check(documents.repartition(13)) == first
+    check(documents, weights=(1, 5), share=0.3, most=1.0)
+    check(documents, weights=(1, 2, 3, 4), share=1.9, most=2.0)
+
+
+def test_awkward_rows(awkward):
+    check(awkward)
+
+
+def test_no_rows_and_no_words(nothing, awkward):
+    assert mixing.mix(nothing).count() == 0
+    check(awkward.withColumn("text", F.lit(None).cast("string")))
+
+
+def test_one_hot_source_and_finer_buckets(spark, monkeypatch):
+    """Few bits a step, so that the boundary is cut again and again."""
+    monkeypatch.setattr(mixing, "STEP", 4)
+    draw = random.Random(3)
+    rows = [(i, "w " * draw.randint(0, 9), "hot" if i % 3 else f"s{i % 30}") for i in range(1500)]
+    check(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
+def test_repeated(documents):
+    mixed = mixing.mix(documents)
+    again = mixing.repeated(mixed)
+    want = {r["doc_id"]: r["times"] for r in mixed.collect() if r["times"]}
+    assert Counter(r["doc_id"] for r in again.collect()) == Counter(want)
+
+
+# --- shards ----------------------------------------------------------------------------------
+
+def plain_fill(shards, slots):
+    """Each shard's whole order of the slots first, then turns."""
+    orders = []
+    for s in shards:
+        start = int(hashlib.md5(f"start:{s}".encode()).hexdigest()[:15], 16) % slots
+        step = int(hashlib.md5(f"step:{s}".encode()).hexdigest()[:15], 16) % (slots - 1) + 1
+        orders.append([(start + k * step) % slots for k in range(slots)])
+    owner, turn = {}, 0
+    while len(owner) < slots:
+        slot = next(x for x in orders[turn % len(shards)] if x not in owner)
+        owner[slot] = turn % len(shards)
+        turn += 1
+    return [owner[i] for i in range(slots)]
+
+
+@pytest.mark.parametrize("n, slots", [(1, 2), (3, 7), (5, 101), (7, 211)])
+def test_fill(n, slots):
+    shards = [f"s{i}" for i in range(n)]
+    assert sharding.fill(shards, slots) == plain_fill(shards, slots)
+
+
+def test_fill_is_even_and_moves_little():
+    shards = [f"s{i}" for i in range(20)]
+    before, after = sharding.fill(shards, 2003), sharding.fill(shards[:-1], 2003)
+    counts = Counter(before)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    moved = sum(a != b for a, b in zip(before, after) if a != 19)
+    assert moved < 0.25 * 2003
+
+
+@pytest.mark.parametrize("shards, slots", [([], 7), (["a", "a"], 7), (["a"], 8), (["a", "b", "c"], 2)])
+def test_bad_tables(shards, slots):
+    with pytest.raises(ValueError):
+        sharding.fill(shards, slots)
+
+
+def test_place(spark, awkward, nothing, tmp_path):
+    shards, slots = ["x", "y", "z"], 11
+    table = plain_fill(shards, slots)
+    got = sharding.place(awkward, shards, slots=slots)
+    assert got.columns == [*awkward.columns, "slot", "shard"]
+    for r in got.collect():
+        slot = key60(str(r["doc_id"]) if r["doc_id"] is not None else "t" + (r["text"] or "")) % slots
+        assert (r["slot"], r["shard"]) == (slot, shards[table[slot]])
+    assert got.count() == awkward.count() and sharding.place(nothing, shards).count() == 0
+    sharding.write(got.select("doc_id", "text", "slot", "shard"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == awkward.count()

@@ -27,7 +27,7 @@ FORMATS = [
     ("call +1 (017) 555-7713%%%", r"call \+1 \(\d{3}\) \d{3}-\d{4}%%%"),
     ("(212) 555-0100 or 212-555-0100.", r"(\(\d{3}\) \d{3}-\d{4}) or \d{3}-\d{3}-\d{4}\."),
     ("4845168114407329", r"\d{16}"), ("4845-1681-1440-7329,", r"\d{4}-\d{4}-\d{4}-\d{4},"), ("3782 822463 10005", r"\d{4} \d{6} \d{5}"),
-    ("from 97.51.17.173!!", r"from \d{1,3}(\.\d{1,3}){3}!!"), ("123-45-6789", r"\d{3}-\d{2}-\d{4}"),
+    ("at 1.2.3.4 now", r"at \d{1,3}(\.\d{1,3}){3} now"), ("from 97.51.17.173!!", r"from \d{1,3}(\.\d{1,3}){3}!!"), ("123-45-6789", r"\d{3}-\d{2}-\d{4}"),
     ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', r'token = "[0-9a-f]{40}"'),
     ("04DBEBAB91AB85687D33EEAAF9AC699E1188F962", "[0-9A-F]{40}"),
     ("Dear Mr. John Smith,", r"Dear Mr\. [A-Z][a-z]+ [A-Z][a-z]+,"), ("Frau Müller.", r"Frau [A-Z][a-z]+\."), ("Господин Иван Петров", "Господин [А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+"),

@@ -1,0 +1,166 @@
+"""Quality counts, URL verdicts and conversation collapse against plain versions."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tallyframe.llm import chat, quality, urls
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    again = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(8)}
+    return (
+        len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again), len(lines),
+        len(re.findall("[A-Z]", text)), sum(a == b for a, b in zip(words, words[1:])),
+    )
+
+
+def test_counts(documents):
+    draw = random.Random(9)
+    texts = [r["text"] for r in documents.limit(60).collect()]
+    texts += [None, "", " \n\n", "a b c d e f g h " * 3, "x\x0by\x0cz\x85w \xa0", "l\nl\n l\nl\n", "é|<b> 日本 #", "A A A\tA"]
+    texts += [" ".join(draw.choices("ab", k=n)) for n in (7, 8, 9, 30, 80)]
+    for text in texts:
+        assert quality.counts(text) == plain_counts(text)
+
+
+def test_thresholds_follow_language_and_source(spark):
+    """A source that writes long words keeps them; the same words stand out elsewhere."""
+    draw = random.Random(7)
+
+    def text(low, high):
+        return " ".join("".join(draw.choices("abcdefgh", k=draw.randint(low, high))) for _ in range(60))
+
+    rows = [(i, text(3, 6), "en", "plain") for i in range(50)] + [(100 + i, text(10, 13), "en", "chem") for i in range(50)]
+    rows += [(200, text(10, 13), "en", "plain"), (201, text(3, 6) + " ###" * 60, "en", "plain"), (202, "short", "en", "chem"), (203, text(3, 6), "xx", None)]
+    got = {r["doc_id"]: r for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in [*range(50), *range(100, 150)])
+    assert not got[200]["kept"] and not got[201]["kept"]
+    assert got[202]["base_failed"] and not got[202]["kept"] and not got[200]["base_failed"]
+    assert got[203]["kept"]  # its groups are too small, so all rows decide
+
+
+def test_sketches_merge_and_bound_the_error(spark):
+    values = [random.Random(1).randint(0, 100_000) for _ in range(3000)]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)], "g int, v long")
+    merged = quality.merged(quality.sketch(df, ["g"], ["v"]), [])
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, quality.sketch(df, [], ["v"]).collect()))
+    q = quality.quartiles(merged, []).first()
+    exact = sorted(values)
+    for got, want in ((q["q1"], exact[749]), (q["q3"], exact[2249])):
+        assert want * (1 - 1 / 64) <= got <= want
+
+
+def test_quality_of_awkward_rows(awkward, nothing):
+    got = quality.rate(awkward).collect()
+    assert len(got) == awkward.count()
+    assert all(r["base_failed"] and not r["kept"] for r in got)  # short, or the same word over and over
+    assert quality.rate(nothing).count() == 0
+
+
+# --- URLs ------------------------------------------------------------------------------------
+
+URLS = [
+    "http://www.Example.com/a/", "https://example.com/a?utm_source=x&b=2&a=1#top", "https://EXAMPLE.com/a?a=1&b=2", "http://example.com", "http://sub.site.net/x",
+    "http://site.net/x?ref=1", "no scheme", "http://", "://x/y", "http:///path", None, "", "http://a.b://c", "http://site.net/x", "http://[::1]:80/p?q", "http://site.net/x/",
+]
+
+
+def plain_canonical(url):
+    if not url or "://" not in url:
+        return None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group().lower()
+    if not host:
+        return None
+    path = re.match(r"[^/?#]*([^?#]*)", rest).group(1)
+    asked = re.match(r"[^?#]*\?([^#]*)", rest)
+    kept = sorted(x for x in (asked.group(1) if asked else "").split("&") if x and not re.match(r"(utm_[^=]*|ref|fbclid|gclid)(=|$)", x))
+    return re.sub(r"^www\.", "", host) + re.sub(r"/$", "", path) + ("?" + "&".join(kept) if kept else "")
+
+
+def judged(spark, pages, listed, rules=()):
+    p = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string").withColumn("Verdict", F.lit("old"))
+    return {r["page_id"]: r for r in urls.judge(p, spark.createDataFrame([(u,) for u in listed], "url string"), rules).collect()}
+
+
+def test_list(spark):
+    listed = ["https://example.com/a?b=2&a=1", "http://site.net/x", None, "junk", "http://site.net/x/"]
+    got = judged(spark, URLS, listed)
+    on_list = {plain_canonical(u) for u in listed} - {None}
+    for i, url in enumerate(URLS):
+        assert got[i]["verdict"] == ("block" if plain_canonical(url) in on_list else "allow"), url
+        assert got[i]["rule"] is None
+    assert len(got) == len(URLS)
+
+
+def test_rules_and_empty_tables(spark):
+    rules = [("com", "/", "allow"), ("example.com", "/a", "block"), ("net", "/x", "allow")]
+    got = judged(spark, URLS, ["http://site.net/x"], rules)
+    assert (got[0]["rule"], got[0]["verdict"]) == ("example.com/a", "block")
+    assert (got[3]["rule"], got[3]["path"]) == (None, "")
+    assert (got[4]["rule"], got[4]["verdict"]) == ("net/x", "allow")
+    assert got[13]["verdict"] == "allow"  # a rule goes before the list
+    assert (got[6]["host"], got[6]["path"], got[10]["host"]) == ("", "", "")
+    assert judged(spark, URLS, [])[0]["verdict"] == "allow"
+    assert urls.judge(spark.createDataFrame([], "url string"), spark.createDataFrame([("http://a.b/",)], "url string")).count() == 0
+
+
+def test_filter_has_no_false_negatives_and_few_false_positives(spark, monkeypatch):
+    listed = [f"http://h{i % 7}.org/{i}" for i in range(0, 4000, 2)]
+    pages = [f"http://h{i % 7}.org/{i}" for i in range(4000)] + ["http://h0.org/0"] * 3000
+    got = judged(spark, pages, listed)
+    assert all((got[i]["verdict"] == "block") == (u in set(listed)) for i, u in enumerate(pages))
+    monkeypatch.setattr(urls, "MOST_BLOCKS", 2)  # a filter that lets everything through changes no verdict
+    again = judged(spark, pages, listed)
+    assert {i: r["verdict"] for i, r in got.items()} == {i: r["verdict"] for i, r in again.items()}
+
+
+# --- conversations ---------------------------------------------------------------------------
+
+def plain_maximal(convs):
+    """convs: id -> list of (role, text)"""
+    staying = []
+    for i, a in sorted(convs.items()):
+        longer = any(len(b) > len(a) and b[: len(a)] == a for b in convs.values())
+        twin = any(b == a and j < i for j, b in convs.items())
+        if not longer and not twin:
+            staying.append(i)
+    return staying
+
+
+def test_snapshots(spark):
+    draw = random.Random(2)
+    convs = {}
+    for i in range(0, 120, 4):
+        turns = [(draw.choice(["user", "assistant", None]), draw.choice(["a", "b", "", None])) for _ in range(draw.randint(1, 9))]
+        convs[i] = turns
+        convs[i + 1] = turns[: draw.randint(1, len(turns))]
+        convs[i + 2] = turns[:1]
+        convs[i + 3] = list(turns)
+    rows = [(i, t, r, x) for i, c in convs.items() for t, (r, x) in enumerate(c)] + [(None, 0, "user", "nobody's")]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1)).withColumn("_at", F.lit(2))
+    want = plain_maximal(convs)
+    assert sorted(r["conv_id"] for r in chat.maximal(df).collect()) == want
+    got = {r["conv_id"]: r for r in chat.render(df).collect()}
+    assert sorted(got) == want
+    for i in want:
+        assert got[i]["turns"] == len(convs[i])
+        assert got[i]["text"] == "".join(f"<|im_start|>{r or 'unknown'}\n{x or ''}<|im_end|>\n" for r, x in convs[i])
+
+
+def test_parts_missing_turns_and_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 2)
+    df = spark.createDataFrame([(1, 5, "b", "5"), (1, None, "c", "last"), (1, 2, "a", "2"), (1, 2, "a", "2"), (1, 5, "a", "tie")], "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, chat.render(df).collect()))
+    assert [(p, n) for _, p, n, _ in got] == [(0, 2), (1, 2), (2, 1)]
+    assert re.findall(r"\n(.*?)<\|im_end", "".join(g[3] for g in got)) == ["2", "2", "tie", "5", "last"]
+    assert chat.render(df.limit(0)).count() == 0
