@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,19 +30,26 @@ def build_session(app_name: str = "tallyframe", master: str | None = None, **set
     return builder.getOrCreate()
 
 
+#: Folders of local sessions that name none, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session that names none gets a folder of its own.
+    Only a local session that names none gets a folder of its own, which goes when this process ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-    folder = os.path.join(tempfile.gettempdir(), "tallyframe-" + uuid.uuid4().hex)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _own_folders:
+        folder = tempfile.mkdtemp(prefix="tallyframe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folders[context.applicationId] = folder
+    return _own_folders[context.applicationId]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -263,7 +263,7 @@ def test_sample_has_every_role(spark):
     assert df.count() == 500
     assert {tuple(r) for r in df.collect()} == {tuple(r) for r in sample_metrics(spark, 500).collect()}
     bounds = df.agg(F.min("users"), F.max("users"), F.min("retention"), F.max("retention"), F.count_distinct("plan")).first()
-    assert bounds[0] >= 10 and bounds[1] < 80 and bounds[2] >= 0.65 and bounds[3] <= 0.95 and bounds[4] == 3
+    assert bounds[0] >= 5 and bounds[1] < 120 and bounds[2] >= 0.8 and bounds[3] <= 1.0 and bounds[4] == 4
     assert {r["status"] for r in reports.analysis_readiness(df).collect()} == {"ok"}
 
 

@@ -3,12 +3,10 @@
 import pytest
 
 import __spark_entry__ as contract
+from tallyframe.plans import ORACLES, QUERIES
 from tests.conftest import SMALL
 from tests.oracle import connect, difference
 
-ORACLES = contract.oracle_sql()
-QUERIES = contract.queries()
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -31,6 +29,10 @@ def test_only_models_have_no_sql():
     }
 
 
+def test_contract_holds_them_all():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["period", "revenue", "cumulative"]
