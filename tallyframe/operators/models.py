@@ -12,7 +12,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.coerce import as_number, drop_non_numbers
 from ..functions.kpi import fmt_currency, risk_level
@@ -20,7 +20,7 @@ from ..functions.roles import MissingRole, find_role, need_role, numeric_columns
 from .encode import label_encode
 from .profile import impute_median, varied_columns
 from .reports import MESSAGES, MIN_CHURN_ROWS, MIN_CLV_ROWS, report_head
-from .split import binary_holdout, value_hash
+from .split import HASHES, binary_holdout, value_hash
 from .stats import (
     classification_metrics,
     column_trends,
@@ -36,8 +36,8 @@ Roles = dict[str, str] | None
 SEED = 42
 TREES = 100
 RESTARTS = 10
-ITERATIONS = 20
-STARTS_AT_ONCE = 10
+ITERATIONS = 300  # the limit; a start ends when its centres stay where they are
+STARTS_AT_ONCE, FEW_ROWS = 10, 5_000_000
 MAX_CLUSTERS = 8
 SEGMENT_LABELS = ["Champions", "Loyal Customers", "At Risk", "Dormant / Lost"]
 SUMMARY_COLUMNS = 5
@@ -45,11 +45,14 @@ TREND_LINES = 10
 NAMED_SEGMENTS = 4
 CLV_TEST_SHARE = 0.2
 
-# Trees stop at this depth: each level is a pass over the training rows.
-TREE_DEPTH = 8
-SPREAD_BELOW = 5_000_000
-ROWS_PER_TREE_TASK = 2_000  # trees do much work per row,
-ROWS_PER_PASS_TASK = 50_000  # distances and sums little
+# Trees grow until their leaves are pure, or to the deepest that the library allows.
+TREE_DEPTH = 30
+# Labelled rows that a forest learns from, about: a sample by hash beyond that. All rows are scored.
+TRAINING_ROWS = 10_000
+# Training rows per partition; how many there are follows from the rows alone, never from the cores.
+ROWS_PER_TREE_PART = 2_000
+ROWS_PER_PASS_PART = 50_000
+WEIGHT_STEPS = 1024
 KEPT = StorageLevel.MEMORY_AND_DISK
 
 
@@ -80,14 +83,13 @@ def assembled(features: Features) -> DataFrame:
     return VectorAssembler(inputCols=features.names, outputCol="_features").transform(features.frame)
 
 
-def spread_out(df: DataFrame, rows: int, per_task: int) -> DataFrame:
-    """Few rows in as many parts as pay off: training repeats its passes, and every task costs some time.
+def arranged(df: DataFrame, rows: int, per_part: int, key: str) -> DataFrame:
+    """``df`` in partitions that its rows decide: dealt by a hash, sorted inside.
 
-    More rows than that fill enough partitions by themselves and are not moved.
+    Bagging and starting points follow the partitions, so the same rows give the
+    same model on any number of cores.
     """
-    if rows > SPREAD_BELOW:
-        return df
-    return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // per_task)))
+    return df.repartition(rows // per_part + 1, key).sortWithinPartitions(key)
 
 
 # -- churn ---------------------------------------------------------------------------
@@ -97,7 +99,7 @@ class ChurnModel(NamedTuple):
     scores: DataFrame  # every row with churn_probability, predicted_churn, risk_level
     importance: DataFrame  # (feature, importance), most important first
     report: DataFrame  # precision, recall, F1, support per class on the test rows
-    accuracy: float  # percent on the test rows
+    accuracy: float | None  # percent on the test rows; None if there are none
 
 
 def test_share(rows: int) -> float:
@@ -106,9 +108,18 @@ def test_share(rows: int) -> float:
 
 
 def predict_churn(
-    df: DataFrame, roles: Roles = None, exclude: Sequence[str] = (), trees: int = TREES, depth: int = TREE_DEPTH
+    df: DataFrame,
+    roles: Roles = None,
+    exclude: Sequence[str] = (),
+    trees: int = TREES,
+    depth: int = TREE_DEPTH,
+    training_rows: int = TRAINING_ROWS,
 ) -> ChurnModel:
-    """A random forest for 'churn is above 0', with both classes weighing the same."""
+    """A random forest for 'churn is above 0', with both classes weighing the same.
+
+    The forest learns from about ``training_rows`` of the rows that aren't held
+    out; the held-out ones are all tested, and all rows are scored.
+    """
     target = need_role(df, "churn", roles)
     known = drop_non_numbers(df, target).persist(KEPT)
     features = feature_frame(known, target, exclude, 2, "churn_features")
@@ -118,24 +129,31 @@ def predict_churn(
     if rows < MIN_CHURN_ROWS:
         raise NotReady(MESSAGES["churn_rows"])
 
-    # Both classes get the same total weight: rows / (2 * rows of the class).
     label = (quoted(target) > 0).cast("int")
-    weight = F.when(label == 1, rows / (2 * churned)).otherwise(rows / (2 * (rows - churned)))
-    labelled = features.frame.withColumn("_label", label).withColumn("_weight", weight)
-    ready = assembled(Features(labelled, features.names)).withColumn("_hash", value_hash([*features.names, target]))
-    kept = spread_out(ready, rows, ROWS_PER_TREE_TASK).persist(KEPT)
+    ready = assembled(features).withColumn("_label", label).withColumn("_hash", value_hash([*features.names, target]))
+    kept = ready.select("_features", "_label", "_hash").persist(KEPT)
     is_test = binary_holdout(kept, F.col("_hash"), "_label", test_share(rows))
     known.unpersist()
+    share = F.lit(min(HASHES, int(HASHES * training_rows / rows) + 1))
+    chosen = F.shiftrightunsigned(F.xxhash64("_hash", F.lit("training")), 32) < share
+    learned = kept.filter(~is_test & chosen)
+    sizes = {r["_label"]: r["count"] for r in learned.groupBy("_label").count().collect()}  # two rows
+    total = sum(sizes.values())
+    # Both classes get the same total weight, rows / (2 * rows of the class), in steps that add up exactly in any order.
+    weights = {c: max(1, round(WEIGHT_STEPS * total / (2 * n))) / WEIGHT_STEPS for c, n in sizes.items()}
+    weight = F.when(F.col("_label") == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
+    training = arranged(learned.withColumn("_weight", weight), total, ROWS_PER_TREE_PART, "_hash").persist(KEPT)
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_probability",
         rawPredictionCol="_raw", predictionCol="_predicted",
         numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=1024,
     )
-    model = forest.fit(kept.filter(~is_test))
+    model = forest.fit(training)
+    training.unpersist()
     report = classification_metrics(model.transform(kept.filter(is_test)), "_label", "_predicted")
     measured = report.collect()  # two rows
     report = df.sparkSession.createDataFrame(measured, report.schema)
-    accuracy = measured[0]["accuracy"] or 0.0
+    accuracy = measured[0]["accuracy"]
     kept.unpersist()
 
     # Rounded first, then compared, so that what is shown decides.
@@ -182,7 +200,7 @@ def predict_clv(df: DataFrame, roles: Roles = None, exclude: Sequence[str] = ())
         raise NotReady(MESSAGES["clv_rows"])
     ready = assembled(features).withColumn("_actual", quoted(target).cast("double")).withColumn("_all", F.lit(0))
     ready = ready.withColumn("_hash", value_hash([*features.names, target]))
-    kept = spread_out(ready, rows, ROWS_PER_PASS_TASK).persist(KEPT)
+    kept = ready.select("_features", "_actual", "_all", "_hash").persist(KEPT)
     is_test = binary_holdout(kept, F.col("_hash"), "_all", CLV_TEST_SHARE)
     known.unpersist()
     line = LinearRegression(
@@ -214,6 +232,7 @@ class Segments(NamedTuple):
     summary: DataFrame  # means of the first features per segment
     counts: DataFrame  # rows per segment
     k: int
+    passes: list[int]  # of each start
 
 
 def segment_label(rank: Column) -> Column:
@@ -227,13 +246,11 @@ def segment_label(rank: Column) -> Column:
 def cluster_labels(df: DataFrame, cluster: str, value: str) -> DataFrame:
     """(cluster, mean_value, rank, segment), highest mean first.
 
-    There is one row per cluster, so sorting them is no work.
+    Only the grouped frame is ranked: a row per cluster.
     """
     means = df.groupBy(quoted(cluster).alias("cluster")).agg(F.avg(quoted(value)).alias("mean_value"))
-    row = F.struct((-F.col("mean_value")).alias("minus_mean"), "cluster", "mean_value")
-    ranked = means.agg(F.array_sort(F.collect_list(row)).alias("all")).select(F.posexplode("all").alias("place", "c"))
-    rank = F.col("place") + 1
-    return ranked.select("c.cluster", "c.mean_value", rank.alias("rank"), segment_label(rank).alias("segment"))
+    rank = F.row_number().over(Window.orderBy(F.col("mean_value").desc_nulls_last(), "cluster"))
+    return means.select("cluster", "mean_value", rank.alias("rank")).withColumn("segment", segment_label(F.col("rank")))
 
 
 def segment_users(
@@ -265,9 +282,10 @@ def segment_users(
     vectors = VectorAssembler(inputCols=names, outputCol="_raw").transform(filled)
     scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True).fit(vectors)
     scaled = scaler.transform(vectors)
-    scaled = spread_out(scaled.select("_features"), rows, ROWS_PER_PASS_TASK).persist(KEPT)
+    scaled = arranged(scaled.select("_features", value_hash(names).alias("_hash")), rows, ROWS_PER_PASS_PART, "_hash")
+    scaled = scaled.select("_features").persist(KEPT)
     scaled.count()
-    best = _best_clusters(scaled, rows, k, restarts, iterations)
+    best, passes = _best_clusters(scaled, rows, k, restarts, iterations)
     scaled.unpersist()
     known.unpersist()
 
@@ -287,11 +305,12 @@ def segment_users(
         placed.groupBy("segment").agg(*means),
         placed.groupBy("segment").agg(F.count(F.lit(1)).alias("rows")),
         k,
+        passes,
     )
 
 
-def _best_clusters(scaled: DataFrame, rows: int, k: int, restarts: int, iterations: int) -> KMeansModel:
-    """The model with the least squared distance, the first of equal ones.
+def _best_clusters(scaled: DataFrame, rows: int, k: int, restarts: int, iterations: int) -> tuple[KMeansModel, list[int]]:
+    """The model with the least squared distance, the first of equal ones, and the passes of each start.
 
     The starts do not depend on each other: on few rows, where a pass is mostly
     waiting, several run at once.
@@ -300,15 +319,15 @@ def _best_clusters(scaled: DataFrame, rows: int, k: int, restarts: int, iteratio
     # plain vectors for its many passes, instead of decoding the columns in each.
     vectors = scaled.select(F.col("_features").alias("_vector"))
 
-    def run(start: int) -> tuple[float, int, KMeansModel]:
+    def run(start: int) -> tuple[float, int, KMeansModel, int]:
         kmeans = KMeans(featuresCol="_vector", predictionCol="cluster", k=k, seed=SEED + start, maxIter=iterations)
         model = kmeans.fit(vectors)
-        return model.summary.trainingCost, start, model
+        return model.summary.trainingCost, start, model, model.summary.numIter
 
-    at_once = STARTS_AT_ONCE if rows <= SPREAD_BELOW else 1
+    at_once = STARTS_AT_ONCE if rows <= FEW_ROWS else 1
     with ThreadPoolExecutor(at_once) as pool:
-        found = pool.map(inheritable_thread_target(scaled.sparkSession)(run), range(restarts))
-        return min(found, key=lambda m: m[:2])[2].setFeaturesCol("_features")
+        found = list(pool.map(inheritable_thread_target(scaled.sparkSession)(run), range(restarts)))
+    return min(found, key=lambda m: m[:2])[2].setFeaturesCol("_features"), [m[3] for m in found]
 
 
 # -- rows for the predictions table --------------------------------------------------------
@@ -357,7 +376,8 @@ def all_prediction_rows(df: DataFrame, generated: str, exclude: Sequence[str] =
     parts = [
         prediction_row(
             headed("Churn Prediction", high), "Churn Prediction", "Random Forest Classifier", F.lit(churn.accuracy),
-            head, F.lit(f"Accuracy: {churn.accuracy}%"), _line("High Risk", F.col("high")),
+            head, F.lit("Accuracy: not measured" if churn.accuracy is None else f"Accuracy: {churn.accuracy}%"),
+            _line("High Risk", F.col("high")),
         ),
         prediction_row(
             headed("Revenue Forecast", forecast), "Revenue Forecast", "Polynomial Regression (deg 2)", score,

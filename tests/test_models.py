@@ -1,5 +1,9 @@
 """Models have no exact counterpart: their properties are checked, and simple cases by hand."""
 
+import json
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +63,40 @@ def test_same_seed_same_scores(customers, churn):
     assert {tuple(r) for r in again.scores.collect()} == {tuple(r) for r in churn.scores.collect()}
 
 
+SEEDED = """
+import json, sys
+from tallyframe.session import build_session
+from tallyframe.operators import models
+from tallyframe.plans.models import KEYS, modelled
+spark = build_session("seeded", sys.argv[1], **{"spark.sql.shuffle.partitions": sys.argv[2], "spark.ui.enabled": "false"})
+df = modelled(spark, "/root/testdata/sf0.001")
+churn = models.predict_churn(df, exclude=KEYS, trees=10, training_rows=700)
+found = models.segment_users(df, exclude=KEYS, restarts=3)
+print("RESULT" + json.dumps([
+    churn.accuracy, sorted(map(list, churn.importance.collect())), found.passes,
+    sorted([r["row_id"], r["churn_probability"]] for r in churn.scores.collect()),
+    sorted([r["row_id"], r["segment"]] for r in found.rows.collect()),
+]))
+"""
+
+
+def test_same_model_on_any_number_of_cores():
+    results = []
+    for master, parts in (("local[2]", "3"), ("local[5]", "8")):
+        run = subprocess.run([sys.executable, "-c", SEEDED, master, parts], capture_output=True, text=True, timeout=600)
+        results.append(json.loads(run.stdout.split("RESULT")[1]))
+    assert results[0] == results[1]
+    passes = results[0][2]
+    assert len(passes) == 3 and all(1 < n < models.ITERATIONS for n in passes)
+
+
+def test_weights_come_from_training_rows(customers):
+    """Scores cover all rows however few are learned from."""
+    few = models.predict_churn(customers, exclude=["row_id"], trees=5, training_rows=60)
+    assert few.scores.count() == 400
+    assert sum(r["support"] for r in few.report.collect()) == 80
+
+
 def test_churn_guards(spark, customers):
     with pytest.raises(MissingRole):
         models.predict_churn(customers.drop("churn"))
@@ -72,11 +110,11 @@ def test_churn_guards(spark, customers):
 
 
 def test_nothing_but_copies(spark):
-    """Copies stay together, so there may be no test row: then there is no accuracy either."""
+    """Copies stay together, so there may be no test row: then no accuracy was measured."""
     rows = [(1, 1.0, 2.0, 3.0)] * 30 + [(0, 5.0, 6.0, 7.0)] * 30
     df = spark.createDataFrame(rows, "churn int, a double, b double, ltv double")
     model = models.predict_churn(df, trees=5)
-    assert model.scores.count() == 60 and model.accuracy == 0.0
+    assert model.scores.count() == 60 and model.accuracy is None
     assert {(r["churn"], r["predicted_churn"]) for r in df.join(model.scores, ["a", "b", "ltv"]).select(
         df["churn"], "predicted_churn").collect()} == {(0, 0), (1, 1)}
     assert models.predict_clv(df).metrics.first()["mae"] is None
