@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import coerce, roles
 from ..operators import encode, profile
 from ..session import new_folder
@@ -33,22 +35,36 @@ def column_search(spark, folder):
 CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
-@query("csv_round_trip", "SELECT * FROM customer")
+@query(
+    "csv_round_trip",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || 'c/o "' || c_mktsegment || '", floor ' || c_nationkey ELSE c_name END AS c_name,
+        c_nationkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM customer""",
+)
 def csv_round_trip(spark, folder):
-    path = new_folder(spark, "round-trip")
-    write_csv(table(spark, folder, "customer"), path)
+    """With line breaks, quotes, commas and missing cells."""
+    path, name = new_folder(spark, "round-trip"), F.col("c_name")
+    address = F.concat(name, F.lit('\nc/o "'), F.col("c_mktsegment"), F.lit('", floor '), F.col("c_nationkey").cast("string"))
+    customer = table(spark, folder, "customer").withColumns({
+        "c_name": F.when(F.col("c_custkey") % 3 == 0, address).otherwise(name),
+        "c_acctbal": F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")),
+    })
+    write_csv(customer, path)
     return read_csv(spark, path, CUSTOMER_SCHEMA)
 
 
 @query(
     "csv_source",
-    f"""SELECT row_id, date, TRY_CAST(NULLIF(revenue, 'n/a') AS DOUBLE) AS revenue, users, plan, engagement
+    f"""SELECT row_id, row_id + 1234567890123456789 AS long_id, CAST(CAST(row_id AS DECIMAL(38, 0)) + 12345678901234567890 AS VARCHAR) AS longer_id,
+        date, TRY_CAST(NULLIF(revenue, 'n/a') AS DOUBLE) AS revenue, users, plan, engagement
         FROM {fact_orders_dirty_sql()}""",
 )
 def csv_source(spark, folder):
-    path = new_folder(spark, "source")
-    write_csv(fact_orders_dirty(spark, folder), path)
-    return read_csv(spark, path)
+    """Types found from the cells; whole numbers of 19 and 20 digits keep them all."""
+    path, dirty = new_folder(spark, "source"), fact_orders_dirty(spark, folder)
+    longer = F.col("row_id").cast("decimal(38,0)") + F.lit("12345678901234567890").cast("decimal(38,0)")
+    write_csv(dirty.withColumns({"long_id": F.col("row_id") + 1234567890123456789, "longer_id": longer}), path)
+    # One record a line, so the files are split.
+    return read_csv(spark, path, multi_line=False).withColumn("longer_id", F.col("longer_id").cast("string"))
 
 
 @query(

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.roles import normalise_columns
+from ..functions.roles import normalise_columns, quoted
 
 # Spellings of a missing cell.
 NULL_SPELLINGS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-WHOLE_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+WHOLE_PATTERN = r"^\s*[+-]?\d+\s*$"
+# Longer whole numbers than this many digits stay text: no type holds them exactly.
+MOST_DIGITS = 38
 DECIMAL_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
 BOOLEAN_PATTERN = r"^(True|TRUE|true|False|FALSE|false)$"
 
@@ -20,39 +22,61 @@ class UnsupportedSource(ValueError):
     """The file is of a kind that cannot be read, or holds no rows."""
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
     """A CSV with a header row.
 
-    Without a schema every cell is read as text, the spellings of a missing
-    cell become null, and one pass finds the narrowest type that fits all
-    cells of each column: long, double, boolean, else text. Dates stay text.
+    Every cell is read as text and the spellings of a missing cell become null.
+    With a schema, columns are taken by position and cast, cells that don't fit
+    becoming null. Without one a pass finds the narrowest type that fits all
+    cells of each column: long, decimal(38,0) for whole numbers beyond it,
+    double, boolean, else text. Dates stay text, and so do whole numbers of more
+    than 38 digits.
+
+    Quoted cells may hold line breaks. A file is then read by one task; give
+    ``multi_line=False`` for large files whose records are one line each.
     """
-    reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
-        return reader.schema(schema).csv(path)
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])
+        cells = _known(reader.schema(text).option("emptyValue", "").option("nullValue", "").csv(path))
+        return cells.select(*[_cast(quoted(f.name), f.dataType).alias(f.name) for f in wanted])
     cells = reader.option("emptyValue", "").option("nullValue", "").csv(path)
-    named = cells.toDF(*[f"c{i}" for i in range(len(cells.columns))])
-    known = named.select(*[F.when(~F.col(c).isin(NULL_SPELLINGS), F.col(c)).alias(c) for c in named.columns])
+    known = _known(cells.toDF(*[f"c{i}" for i in range(len(cells.columns))]))
+    digits = {c: F.length(F.regexp_replace(c, r"^\s*[+-]?0*|\s", "")) for c in known.columns}
     fits = known.agg(*[
-        F.struct(*[
-            F.bool_and(F.col(c).rlike(pattern)).alias(kind)
-            for kind, pattern in (
-                ("long", WHOLE_PATTERN), ("double", DECIMAL_PATTERN), ("boolean", BOOLEAN_PATTERN)
-            )
-        ]).alias(c)
+        F.struct(
+            F.bool_and(F.col(c).rlike(WHOLE_PATTERN)).alias("whole"),
+            F.bool_and(F.when(F.col(c).isNotNull(), F.trim(c).try_cast("long").isNotNull())).alias("long"),
+            F.max(digits[c]).alias("digits"),
+            F.bool_and(F.col(c).rlike(DECIMAL_PATTERN)).alias("double"),
+            F.bool_and(F.col(c).rlike(BOOLEAN_PATTERN)).alias("boolean"),
+        ).alias(c)
         for c in known.columns
     ]).first()
-    return known.select(*[
-        _typed(F.col(c), fits[c]).alias(name) for c, name in zip(known.columns, cells.columns)
-    ])
+    return known.select(*[_typed(c, fits[c]).alias(name) for c, name in zip(known.columns, cells.columns)])
 
 
-def _typed(column: Column, fits) -> Column:
-    for kind in ("long", "double", "boolean"):
-        if fits[kind]:
-            return F.trim(column).cast(kind)
+def _known(cells: DataFrame) -> DataFrame:
+    return cells.select(*[F.when(~quoted(c).isin(NULL_SPELLINGS), quoted(c)).alias(c) for c in cells.columns])
+
+
+def _cast(text: Column, kind: T.DataType) -> Column:
+    return text if isinstance(kind, T.StringType) else F.trim(text).try_cast(kind)
+
+
+def _typed(name: str, fits) -> Column:
+    column = F.col(name)
     if fits["double"] is None:  # no cell at all: numbers that are all missing
         return column.cast("double")
+    if fits["whole"]:
+        # null cells are left out by the aggregates, so all others fit
+        if fits["long"]:
+            return F.trim(column).cast("long")
+        return F.trim(column).cast("decimal(38,0)") if fits["digits"] <= MOST_DIGITS else column
+    for kind in ("double", "boolean"):
+        if fits[kind]:
+            return F.trim(column).cast(kind)
     return column
 
 
@@ -73,7 +97,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV files, each with a header row."""
-    df.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+    """A folder of CSV files, each with a header row.
+
+    A missing cell is empty; so is an empty text, which reading takes for missing.
+    """
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(header=True, escape='"', emptyValue="", **spaces).mode("overwrite").csv(path)
 
 

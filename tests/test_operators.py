@@ -258,6 +258,42 @@ def test_load_gate(spark):
         load(spark, path)
 
 
+AWKWARD_CSV = '''id,long,longest,text,empty,flag
+1,1234567890123456789,12345678901234567890123456789012345678,"two
+lines, ""quoted""",,True
+2,-1234567890123456788,+1,NA,"",false
+3,null,,"  kept  ",None,
+'''
+
+
+def test_awkward_cells_with_and_without_a_schema(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text(AWKWARD_CSV)
+    found = read_csv(spark, str(path))
+    assert [t for _, t in found.dtypes] == ["bigint", "bigint", "decimal(38,0)", "string", "double", "boolean"]
+    rows = [tuple(r) for r in found.collect()]
+    assert rows[0] == (1, 1234567890123456789, 12345678901234567890123456789012345678, 'two\nlines, "quoted"', None, True)
+    assert rows[1] == (2, -1234567890123456788, 1, None, None, False)
+    assert rows[2] == (3, None, None, "  kept  ", None, None)
+    schema = "id long, long long, longest decimal(38,0), text string, empty double, flag boolean"
+    assert [tuple(r) for r in read_csv(spark, str(path), schema).collect()] == rows
+
+
+def test_whole_numbers_beyond_every_type_stay_text(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("a,b\n" + "9" * 39 + ",007\n1,9223372036854775808\n")
+    found = read_csv(spark, str(path))
+    assert [t for _, t in found.dtypes] == ["string", "decimal(38,0)"]
+    assert [tuple(map(str, r)) for r in found.collect()] == [("9" * 39, "7"), ("1", "9223372036854775808")]
+
+
+def test_line_breaks_survive_a_round_trip(spark, tmp_path):
+    rows = [(1, 'a\nb "c", d'), (2, None), (3, "\n\n"), (4, " x ")]
+    write_csv(spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "out"))
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "out"), "id long, text string").collect())) == rows
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "out")).collect())) == rows
+
+
 def test_sample_has_every_role(spark):
     df = sample_metrics(spark, 500)
     assert df.count() == 500
