@@ -63,8 +63,11 @@ ANY = "|".join(
         PATTERNS["phone"], PATTERNS["id"], PATTERNS["name"],
     )
 )
-#: Every entity has one of these, which is quicker to see.
-HINT = r"[0-9]{3}|@|%s" % "|".join(t + r"[. ]" for g in TITLES.values() for t in g)
+#: Every entity has one of these, which is quicker to see: the first character rules out most places.
+_ALL_TITLES = [t for g in TITLES.values() for t in g]
+HINT = "[0-9@%s](?:(?<=@)|(?<=[0-9])(?:[0-9]{2}|[0-9]?\\.[0-9])|%s)" % (
+    "".join(sorted({t[0] for t in _ALL_TITLES})), "|".join(f"(?<={t[0]}){t[1:]}[. ]" for t in _ALL_TITLES),
+)
 #: Values with another try that are looked up within the expression; with more, texts are joined with theirs.
 FEW = 500
 
@@ -251,15 +254,15 @@ def retries(docs: DataFrame, text_col: str, key: str) -> DataFrame:
 
 
 def _rewritten(text: Column, key: str, tries_of: Callable[[Column], Column]) -> Column:
-    found = found_in(text)
+    """``text`` with what is in the column _found replaced."""
 
     def replaced(value: Column) -> Column:
         made = let(canonical(value), lambda canon: surrogate(canon, tries_of(canon), key))
         return let(made, lambda m: _in_format(value, m))
 
     between = F.split(text, ANY, -1)
-    put = F.array_append(F.transform(found, replaced), F.lit(""))
-    return F.when(F.size(found) > 0, F.array_join(F.zip_with(between, put, lambda g, m: F.concat(g, m)), "")).otherwise(text)
+    put = F.array_append(F.transform("_found", replaced), F.lit(""))
+    return F.when(F.size("_found") > 0, F.array_join(F.zip_with(between, put, lambda g, m: F.concat(g, m)), "")).otherwise(text)
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -273,9 +276,10 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """
     text = quoted(text_col).cast("string")
     name = docs.select(quoted(text_col)).columns[0]
-    others = [c for c in docs.columns if c.lower() != "n_entities"]
+    others = [c for c in docs.columns if c.lower() not in ("n_entities", "_found")]
     again = retries(docs, text_col, key)
-    count = F.size(found_in(text)).cast("long").alias("n_entities")
+    docs = docs.withColumn("_found", found_in(text))
+    count = F.size("_found").cast("long").alias("n_entities")
     if again.limit(FEW + 1).count() <= FEW:
         tries = {r["canon"]: r["tries"] for r in again.collect()}  # at most FEW
 
@@ -288,7 +292,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         return docs.select(*[new.alias(name) if c == name else quoted(c) for c in others], count)
     # Rows with such an entity get theirs as a map.
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-    each = rows.select("_row", F.explode(F.array_distinct(F.transform(found_in(text), canonical))).alias("canon"))
+    each = rows.select("_row", F.explode(F.array_distinct(F.transform("_found", canonical))).alias("canon"))
     maps = joined(each, again, "canon").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("canon", "tries"))).alias("_tries"))
     rows = rows.join(stored(maps, "pii-maps"), "_row", "left")
     new = _rewritten(text, key, lambda canon: F.coalesce(F.col("_tries")[canon], F.lit(0)))
