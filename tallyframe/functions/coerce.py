@@ -91,7 +91,8 @@ def total(value: Column, whole: bool = False, over: WindowSpec | None = None) ->
     """The sum as a double (long if ``whole``), 0 over no rows; running if ``over`` a window.
 
     Amounts of at most two decimals are added as whole cents: the result is
-    exact and the same however rows are spread. Other values are added as they are.
+    exact and the same however rows are spread. Otherwise values are rounded to nine
+    decimals and added exactly; only where they are too large for that, as they are.
     """
     def placed(aggregate: Column) -> Column:
         return aggregate.over(over) if over is not None else aggregate
@@ -101,4 +102,6 @@ def total(value: Column, whole: bool = False, over: WindowSpec | None = None) ->
     cents = F.rint(value * 100).try_cast("long")
     fits = value.isNull() | F.coalesce(cents / 100.0 == value, F.lit(False))
     exact = F.when(placed(F.bool_and(fits)), placed(F.try_sum(cents)) / 100.0)
-    return F.coalesce(exact, placed(F.sum(value)), F.lit(0.0))
+    fine = value.try_cast("decimal(29,9)")
+    rounded = F.when(placed(F.bool_and(value.isNull() | fine.isNotNull())), placed(F.try_sum(fine)).try_cast("double"))
+    return F.coalesce(exact, rounded, placed(F.sum(value)), F.lit(0.0))

@@ -1,13 +1,16 @@
 """History tables: profiles, logins, data sets, reports, predictions, notifications.
 
-The tables are Parquet folders with fixed columns. Appends write new files;
-updates and deletes return the new content of the table as a DataFrame.
+The tables are Parquet folders with fixed columns, in versions. Appends add files
+to the current version; updates and deletes give the new content of the table as a
+DataFrame, which ``replace`` writes as the next version.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.kpi import clean_email, display_name
@@ -77,13 +80,41 @@ def new_rows(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns)
 
 
+def current_version(spark: SparkSession, table: str, folder: str) -> int | None:
+    """The highest version that has files; None before the first rows."""
+    try:
+        files = spark.read.parquet(f"{folder}/{table}").inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return max(int(re.search(r"/version=(\d+)/[^/]*$", f)[1]) for f in files)
+
+
 def append(df: DataFrame, table: str, folder: str) -> None:
-    """Add rows to the table below ``folder``."""
-    new_rows(df, table).write.mode("append").parquet(f"{folder}/{table}")
+    """Add rows to the current version of the table below ``folder``."""
+    version = current_version(df.sparkSession, table, folder) or 0
+    new_rows(df, table).write.mode("append").parquet(f"{folder}/{table}/version={version}")
+
+
+def replace(df: DataFrame, table: str, folder: str) -> None:
+    """Make ``df``, which may be read from the table, its content.
+
+    It is written as the next version, whose files appear when the job commits;
+    readers see the old version until then, and a job that fails leaves it current.
+    """
+    version = current_version(df.sparkSession, table, folder)
+    following = 0 if version is None else version + 1
+    # What a failed job left in that folder gives way.
+    new_rows(df, table).write.mode("overwrite").parquet(f"{folder}/{table}/version={following}")
 
 
 def read_table(spark: SparkSession, table: str, folder: str) -> DataFrame:
-    return spark.read.schema(table_schema(table)).parquet(f"{folder}/{table}")
+    """The current version of the table."""
+    version = current_version(spark, table, folder)
+    if version is None:
+        return spark.createDataFrame([], table_schema(table))
+    return spark.read.schema(table_schema(table)).parquet(f"{folder}/{table}/version={version}")
 
 
 def catalogue_row(df: DataFrame, name: str, user_id: Column | None = None) -> DataFrame:
@@ -109,6 +140,33 @@ def upload_notifications(catalogue: DataFrame) -> DataFrame:
     )
 
 
+def saved_notifications(reports: DataFrame) -> DataFrame:
+    """A notification for each saved report."""
+    return reports.select(
+        *[c for c in ("user_id",) if c in reports.columns],
+        F.lit("Report Saved").alias("title"),
+        F.concat("title", F.lit(" has been saved.")).alias("message"),
+        F.lit("info").alias("type"),
+    )
+
+
+def prediction_notifications(predictions: DataFrame) -> DataFrame:
+    """A notification for each model that was run, with its score if it has one."""
+    score = F.when(F.col("accuracy").isNotNull(), F.concat(F.lit(", score "), F.format_number("accuracy", 1))).otherwise("")
+    return predictions.select(
+        *[c for c in ("user_id",) if c in predictions.columns],
+        F.concat("prediction_type", F.lit(" Complete")).alias("title"),
+        F.concat("model_name", score).alias("message"),
+        F.lit("success").alias("type"),
+    )
+
+
+def append_catalogue(batch: DataFrame, folder: str) -> None:
+    """Add to the stored catalogue what isn't in it yet, so that a second run adds nothing."""
+    existing = read_table(batch.sparkSession, "datasets", folder)
+    append(new_catalogue_rows(batch, existing), "datasets", folder)
+
+
 def new_catalogue_rows(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """The rows of a catalogue batch that are not in the catalogue yet."""
     key = ["user_id", "name", "rows", "cols", "columns_json"]
@@ -156,15 +214,20 @@ def upsert_profiles(
 
 
 def lookup_unique(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
-    """For each key the row it has in the table, if it has exactly one."""
+    """For each key the row it has in the table, if it has exactly one.
+
+    Rows of other keys are dropped before the table is shuffled.
+    """
     values = [c for c in table.columns if c != key]
+    wanted = keys.select(key).distinct()
     single = (
-        table.groupBy(key)
+        table.join(wanted, key, "left_semi")
+        .groupBy(key)
         .agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(*values)).alias("row"))
         .filter("n = 1")
         .select(key, "row.*")
     )
-    return keys.select(key).distinct().join(single, key, "left")
+    return wanted.join(single, key, "left")
 
 
 def get_row(table: DataFrame, key: str, value) -> DataFrame:
@@ -241,12 +304,12 @@ def recent(table: DataFrame, n: int) -> DataFrame:
 
 
 def unread_summary(notifications: DataFrame) -> DataFrame:
-    """Unread notifications per user, with the title of the latest one."""
+    """Unread notifications per user, with the title of the latest one; of several at that time the smallest id."""
     unread = notifications.filter(~F.col("read"))
     return unread.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("unread"),
         F.max("created_at").alias("latest_at"),
-        F.max_by("title", "created_at").alias("latest_title"),
+        F.min_by("title", F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), F.col("id").alias("i"))).alias("latest_title"),
     )
 
 

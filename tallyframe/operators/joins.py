@@ -18,13 +18,15 @@ HOT = 10_000  # a key is hot with more than 1 / HOT of all rows: fewer than HOT
 def attach(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``unique``, which has one narrow row per ``key``.
 
-    Hot keys are found by a count per key, which tasks combine before the
-    shuffle. There are fewer than HOT of them, so the broadcasts are bounded.
+    A count per key, which tasks combine before the shuffle, tells whether any is
+    hot; usually none is and this is a plain join. There are fewer than HOT hot keys, so the broadcasts are bounded.
     Rows of a hot key are never moved, be they copies of each other or not, and
     neither are rows without a key, which match nothing.
     """
-    whole = rows.agg(F.count(F.lit(1))).scalar()
     counts = rows.groupBy(quoted(key)).agg(F.count(F.lit(1)).alias("_n"))
+    whole, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    if not whole or most * HOT <= whole:
+        return rows.join(unique, key, how)
     hot = F.broadcast(counts.filter(quoted(key).isNotNull() & (F.col("_n") * HOT > whole)).select(quoted(key)))
     staying = rows.join(hot, key, "left_semi")
     if how == "left":

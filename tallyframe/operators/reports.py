@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.coerce import as_number, as_timestamp
 from ..functions.kpi import fixed
 from ..functions.periods import period_start
-from ..functions.roles import find_role, numeric_columns, text_columns
+from ..functions.roles import find_role, numeric_columns, quoted, text_columns
+from .encode import label_text
 from .metrics import (
     KPI_NAMES,
     churn_retention_kpis,
@@ -18,6 +19,7 @@ from .metrics import (
     revenue_headline,
     user_growth_headline,
 )
+from .profile import varied_columns
 
 Roles = dict[str, str] | None
 
@@ -139,8 +141,7 @@ def analysis_readiness(df: DataFrame, roles: Roles = None, exclude: Sequence[str
     """(analysis, status, message) for every analysis, from the names and one pass of counts.
 
     Text columns count as features of the models, since they are encoded. For
-    segments only columns with more than two values count; of text columns that
-    is taken from an estimate.
+    segments only columns with more than two values count, as the segmentation itself counts them.
     """
     named = {r: find_role(df, r, roles) for r in ("date", "revenue", "churn", "retention", "plan", "engagement", "ltv")}
     target = named["ltv"] or named["revenue"]
@@ -156,7 +157,6 @@ def analysis_readiness(df: DataFrame, roles: Roles = None, exclude: Sequence[str
         churn = as_number(df, named["churn"])
         churn_rows, positive = F.count(churn), F.count_if(churn > 0)
     clv_rows = F.count(as_number(df, target)) if target else nothing
-    varied = [F.when(F.approx_count_distinct(F.col(f"`{c}`")) > 2, 1).otherwise(0) for c in features]
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         dates.alias("dates"),
@@ -164,8 +164,12 @@ def analysis_readiness(df: DataFrame, roles: Roles = None, exclude: Sequence[str
         churn_rows.alias("churn_rows"),
         positive.alias("positive"),
         clv_rows.alias("clv_rows"),
-        sum(varied, F.lit(0)).alias("varied"),
     )
+    # A missing text is a category of its own, as in the encoding.
+    texts = set(text_columns(df, exclude))
+    coded = df.select(*[label_text(c).alias(c) if c in texts else quoted(c) for c in features])
+    varied = varied_columns(coded, features).agg(F.count_if("varied")).scalar() if features else nothing
+    counts = counts.withColumn("varied", varied)
 
     def first_problem(*checks: tuple[bool | Column, str, str]) -> tuple[Column, Column]:
         status, message = F.lit("ok"), F.lit("")

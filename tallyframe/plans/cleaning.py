@@ -154,4 +154,4 @@ def label_codes(spark, folder):
 @query("label_codes_sorted", CODES.format("CAST(o_orderdate AS DATE)::VARCHAR", "orders"))
 def label_codes_sorted(spark, folder):
     orders = table(spark, folder, "orders").selectExpr("cast(cast(o_orderdate AS date) AS string) AS day")
-    return encode.label_codes(orders, "day", few=100)
+    return encode.label_codes(orders, "day")

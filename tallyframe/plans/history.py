@@ -9,11 +9,26 @@ from pyspark.sql import functions as F
 from ..operators import history
 from ..session import new_folder
 from .inputs import (
-    LOGINS_SQL, NOTIFICATIONS_SQL, PROFILE_BATCH_SQL, PROFILES_SQL, logins, notifications, profile_batch, profiles, table,
+    IN_DEBT, LOGINS_SQL, NOTIFICATIONS_SQL, PROFILE_BATCH_SQL, PROFILES_SQL, SOLVENT_PROFILES_SQL, logins, notifications,
+    profile_batch, profiles, table,
 )
 from .registry import query
 
 CATALOGUED = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "lineitem": [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate",
+    ],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
@@ -70,47 +85,86 @@ def profile_normalise(spark, folder):
     return history.clean_profiles(profiles(spark, folder))
 
 
+# When the profiles were made and when the batch came in.
+MADE, CAME = "2024-01-01 08:00:00", "2024-06-01 09:30:00"
+
+
 @query(
     "profile_upsert",
-    f"""SELECT id, email, full_name, provider FROM (
-            SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY seq DESC) AS place FROM (
-                SELECT *, 0 AS seq FROM {PROFILES_SQL} UNION ALL SELECT * FROM {PROFILE_BATCH_SQL})) WHERE place = 1""",
+    f"""SELECT id, email, full_name, provider,
+            CASE WHEN bool_or(seq = 0) THEN TIMESTAMP '{MADE}' ELSE TIMESTAMP '{CAME}' END AS created_at,
+            CASE WHEN bool_or(seq > 0) THEN TIMESTAMP '{CAME}' ELSE TIMESTAMP '{MADE}' END AS updated_at
+        FROM (SELECT id, seq,
+                  LAST_VALUE(email) OVER w AS email, LAST_VALUE(full_name) OVER w AS full_name, LAST_VALUE(provider) OVER w AS provider
+              FROM (SELECT *, 0 AS seq FROM {PROFILES_SQL} UNION ALL SELECT * FROM {PROFILE_BATCH_SQL})
+              WINDOW w AS (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+        GROUP BY id, email, full_name, provider""",
 )
 def profile_upsert(spark, folder):
-    return history.upsert_profiles(profiles(spark, folder), profile_batch(spark, folder))
+    """Updated, written as the next version of the table, and read back."""
+    store, made = new_folder(spark, "history"), F.lit(MADE).cast("timestamp")
+    stamped = profiles(spark, folder).withColumns({"full_name": F.coalesce("full_name", F.lit("")), "created_at": made, "updated_at": made})
+    history.append(stamped, "profiles", store)
+    current = history.read_table(spark, "profiles", store)
+    batch = profile_batch(spark, folder).withColumn("id", F.col("id").cast("string"))
+    history.replace(history.upsert_profiles(current, batch, now=F.lit(CAME).cast("timestamp")), "profiles", store)
+    stored = history.read_table(spark, "profiles", store)
+    stamps = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at")]
+    name = F.when((F.col("full_name") != "") | (F.col("updated_at") > F.col("created_at")), F.col("full_name")).alias("full_name")
+    return stored.select(F.col("id").cast("long").alias("id"), "email", name, "provider", *stamps)
+
+
+@query("profile_by_id", f"SELECT * FROM {PROFILES_SQL} WHERE id = 42")
+def profile_by_id(spark, folder):
+    return history.get_row(profiles(spark, folder), "id", 42)
+
+
+@query(
+    "catalogue_append",
+    " UNION ALL ".join(
+        f"SELECT 'u1' AS user_id, '{t}' AS name, CAST(COUNT(*) AS INTEGER) AS rows, {len(c)} AS cols, '{names_sql(c)}' AS columns_json FROM {t}"
+        for t, c in CATALOGUED.items()
+    ),
+)
+def catalogue_append(spark, folder):
+    """The same upload twice adds each data set once."""
+    store, batch = new_folder(spark, "history"), dataset_catalogue(spark, folder).withColumn("user_id", F.lit("u1"))
+    history.append_catalogue(batch, store)
+    history.append_catalogue(batch, store)
+    return history.read_table(spark, "datasets", store).select("user_id", "name", "rows", "cols", "columns_json")
 
 
 @query(
     "point_lookup",
     f"""SELECT k.id, p.email, p.full_name, p.provider FROM (SELECT DISTINCT user_id AS id FROM events) k
-        LEFT JOIN {PROFILES_SQL} p ON p.id = k.id""",
+        LEFT JOIN {SOLVENT_PROFILES_SQL} p ON p.id = k.id""",
 )
 def point_lookup(spark, folder):
     keys = table(spark, folder, "events").select(F.col("user_id").alias("id"))
-    return history.lookup_unique(profiles(spark, folder), keys)
+    return history.lookup_unique(profiles(spark, folder, absent=IN_DEBT), keys)
 
 
 @query(
     "referential_check",
     " UNION ALL ".join(
         f"""SELECT '{name}' AS "table", COUNT(*) AS rows, COUNT(*) FILTER (WHERE p.id IS NULL) AS orphans
-            FROM {child} c LEFT JOIN {PROFILES_SQL} p ON p.id = c.user_id"""
+            FROM {child} c LEFT JOIN {SOLVENT_PROFILES_SQL} p ON p.id = c.user_id"""
         for name, child in (("login_history", LOGINS_SQL), ("notifications", NOTIFICATIONS_SQL))
     ),
 )
 def referential_check(spark, folder):
     children = {"login_history": logins(spark, folder), "notifications": notifications(spark, folder)}
-    return history.reference_summary(children, profiles(spark, folder))
+    return history.reference_summary(children, profiles(spark, folder, absent=IN_DEBT))
 
 
-@query("referential_valid", f"SELECT * FROM {LOGINS_SQL} WHERE user_id IN (SELECT id FROM {PROFILES_SQL})")
+@query("referential_valid", f"SELECT * FROM {LOGINS_SQL} WHERE user_id IN (SELECT id FROM {SOLVENT_PROFILES_SQL})")
 def referential_valid(spark, folder):
-    return history.valid_rows(logins(spark, folder), profiles(spark, folder))
+    return history.valid_rows(logins(spark, folder), profiles(spark, folder, absent=IN_DEBT))
 
 
-@query("referential_orphans", f"SELECT * FROM {LOGINS_SQL} WHERE user_id NOT IN (SELECT id FROM {PROFILES_SQL})")
+@query("referential_orphans", f"SELECT * FROM {LOGINS_SQL} WHERE user_id NOT IN (SELECT id FROM {SOLVENT_PROFILES_SQL})")
 def referential_orphans(spark, folder):
-    return history.orphan_rows(logins(spark, folder), profiles(spark, folder))
+    return history.orphan_rows(logins(spark, folder), profiles(spark, folder, absent=IN_DEBT))
 
 
 @query(
@@ -133,19 +187,31 @@ REQUESTS_SQL = """(SELECT event_id AS id, CASE WHEN value > 50 THEN user_id + 1
         WHERE NOT EXISTS (SELECT 1 FROM {REQUESTS_SQL} r WHERE r.id = n.id AND r.user_id = n.user_id)""",
 )
 def owner_delete(spark, folder):
+    """Deleted in the stored table, and read back."""
     owner = F.when(F.col("value") > 50, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id")
     clicks = table(spark, folder, "events").filter("event_type = 'click'")
-    return history.owner_delete(notifications(spark, folder), clicks.select(F.col("event_id").alias("id"), owner))
+    requests = clicks.select(F.col("event_id").cast("string").alias("id"), owner.cast("string").alias("user_id"))
+    return written_back(spark, folder, lambda stored: history.owner_delete(stored, requests))
+
+
+def written_back(spark, folder, change):
+    """The notifications after a change of the stored table, with ids as in the given one."""
+    store = new_folder(spark, "history")
+    history.append(notifications(spark, folder), "notifications", store)
+    history.replace(change(history.read_table(spark, "notifications", store)), "notifications", store)
+    after = history.read_table(spark, "notifications", store)
+    ids = {c: F.col(c).cast("long") for c in ("id", "user_id")}
+    return after.withColumns({**ids, "created_at": F.col("created_at").cast("timestamp_ntz")})
 
 
 @query("mark_read", f"SELECT * REPLACE (user_id = 7 OR read AS read) FROM {NOTIFICATIONS_SQL}")
 def mark_read(spark, folder):
-    return history.mark_read(notifications(spark, folder), 7)
+    return written_back(spark, folder, lambda stored: history.mark_read(stored, "7"))
 
 
 @query(
     "unread_notifications",
-    f"""SELECT user_id, COUNT(*) AS unread, MAX(created_at) AS latest_at, ARG_MAX(title, created_at) AS latest_title
+    f"""SELECT user_id, COUNT(*) AS unread, MAX(created_at) AS latest_at, ARG_MIN(title, (-epoch_us(created_at), id)) AS latest_title
         FROM {NOTIFICATIONS_SQL} WHERE NOT read GROUP BY user_id""",
 )
 def unread_notifications(spark, folder):

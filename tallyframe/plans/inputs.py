@@ -24,7 +24,8 @@ def fact_orders(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
 
     The two sides that are unique per customer are joined to each other first,
     so that the orders, of which one customer may have very many, are shuffled
-    on the customer once.
+    on the customer once. Every order stays, also one whose customer isn't known: it
+    has no plan.
     """
     wanted = wanted or tuple(ORDER_COLUMNS)
     need = set(wanted)
@@ -35,16 +36,18 @@ def fact_orders(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
         F.col("o_orderdate").alias("date"),
         F.col("o_totalprice").alias("revenue"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("churn"),
+        # Urgent open orders count twice where copies are wanted.
+        F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O"), 2).otherwise(1).alias("copies"),
     )
     plans = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("cust_id"), F.col("c_mktsegment").alias("plan")
     )
     if "ltv" in need:
         values = orders.groupBy(F.col("o_custkey").alias("cust_id")).agg(total(F.col("o_totalprice")).alias("ltv"))
-        facts = attach(facts, plans.join(values, "cust_id") if "plan" in need else values, "cust_id")
+        facts = attach(facts, values.join(plans, "cust_id", "left") if "plan" in need else values, "cust_id", "left")
     elif "plan" in need:
         # Two plain scans: adaptive execution splits a hot customer by itself.
-        facts = facts.join(plans, "cust_id")
+        facts = facts.join(plans, "cust_id", "left")
     if need & {"users", "engagement", "retention"}:
         lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
             F.count(F.lit(1)).alias("n_lines"),
@@ -76,10 +79,10 @@ def fact_orders_sql(*wanted: str) -> str:
     }
     joins = ""
     if "plan" in need:
-        joins += " JOIN customer c ON o.o_custkey = c.c_custkey"
+        joins += " LEFT JOIN customer c ON o.o_custkey = c.c_custkey"
     if "ltv" in need:
         joins += (
-            " JOIN (SELECT o_custkey, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders GROUP BY o_custkey) v"
+            " LEFT JOIN (SELECT o_custkey, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders GROUP BY o_custkey) v"
             " ON v.o_custkey = o.o_custkey"
         )
     if need & {"users", "engagement", "retention"}:
@@ -137,14 +140,8 @@ def fact_orders_dirty(spark: SparkSession, folder: str, *wanted: str) -> DataFra
         "plan": F.when(every % 19 != 0, F.col("plan")),
         "engagement": F.when(every % 41 != 0, F.col("engagement")),
     }
-    source = fact_orders(spark, folder, *dict.fromkeys(["row_id", *wanted]))
-    twice = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("row_id"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.when(F.col("o_orderstatus") == "O", 2)).alias("copies"),
-    )
-    copied = source.join(twice, "row_id").withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))
-    )
+    source = fact_orders(spark, folder, *dict.fromkeys(["row_id", *wanted]), "copies")
+    copied = source.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return copied.select(*[dirt[c].alias(c) for c in wanted])
 
 
@@ -171,9 +168,11 @@ def fact_orders_dirty_sql(*wanted: str) -> str:
 # -- history tables -------------------------------------------------------------------
 
 
-def profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as profiles; those in debt have none, so their rows elsewhere are orphans."""
-    customer = table(spark, folder, "customer").filter("c_acctbal >= 0")
+def profiles(spark: SparkSession, folder: str, absent: str | None = None) -> DataFrame:
+    """Customers as profiles; those that fulfil ``absent`` have none, so their rows elsewhere are orphans."""
+    customer = table(spark, folder, "customer")
+    if absent:
+        customer = customer.filter(f"NOT ({absent})")
     return customer.select(
         F.col("c_custkey").alias("id"),
         F.concat(F.lit("  "), F.upper(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@Example.COM ")).alias("email"),
@@ -182,12 +181,14 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+IN_DEBT = "c_acctbal < 0"
 PROFILES_SQL = (
     "(SELECT c_custkey AS id, CONCAT('  ', UPPER(REPLACE(c_name, '#', '.')), '@Example.COM ') AS email,"
     " CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS full_name,"
     " CASE WHEN c_custkey % 2 = 0 THEN 'email' ELSE 'google' END AS provider"
-    " FROM customer WHERE c_acctbal >= 0)"
+    " FROM customer)"
 )
+SOLVENT_PROFILES_SQL = PROFILES_SQL.replace("FROM customer", f"FROM customer WHERE NOT ({IN_DEBT})")
 
 
 def profile_batch(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,8 +222,8 @@ PROFILE_BATCH_SQL = (
 
 
 def logins(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").filter("event_type IN ('view', 'click')")
-    return events.select(
+    """Each event as a login."""
+    return table(spark, folder, "events").select(
         F.col("event_id").alias("id"),
         "user_id",
         F.when(F.col("user_id") % 2 == 0, "email").otherwise("google").alias("provider"),
@@ -233,7 +234,7 @@ def logins(spark: SparkSession, folder: str) -> DataFrame:
 
 LOGINS_SQL = (
     "(SELECT event_id AS id, user_id, CASE WHEN user_id % 2 = 0 THEN 'email' ELSE 'google' END AS provider,"
-    " props AS user_agent, ts AS created_at FROM events WHERE event_type IN ('view', 'click'))"
+    " props AS user_agent, ts AS created_at FROM events)"
 )
 
 

@@ -167,13 +167,13 @@ def churn_count_kpis(spark, folder):
 RETENTION = fact_orders_sql("date", "retention")
 
 
-@query("retention_monthly", f"SELECT {MONTH} AS period, ROUND(AVG(retention) * 100, 2) AS retention FROM {RETENTION} GROUP BY 1")
+@query("retention_monthly", f"SELECT {MONTH} AS period, ROUND({sql.mean('retention')} * 100, 2) AS retention FROM {RETENTION} GROUP BY 1")
 def retention_monthly(spark, folder):
     return metrics.retention_monthly(fact_orders(spark, folder, "date", "retention"))
 
 
 RETENTION_KPIS = f"""SELECT ROUND(mean, 2) AS avg_retention, {sql.pct('mean')} AS "Avg Retention",
-    {sql.pct('100 - mean')} AS "Churn (implied)" FROM (SELECT AVG(retention) * 100 AS mean FROM {RETENTION})"""
+    {sql.pct('100 - mean')} AS "Churn (implied)" FROM (SELECT {sql.mean('retention')} * 100 AS mean FROM {RETENTION})"""
 
 
 @query("retention_kpis", RETENTION_KPIS)

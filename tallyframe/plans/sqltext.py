@@ -8,6 +8,11 @@ def money(expression: str) -> str:
     return f"CAST(SUM(CAST({expression} AS DECIMAL(18,2))) AS DOUBLE)"
 
 
+def mean(x: str) -> str:
+    """The mean from an exact sum."""
+    return f"CAST(SUM(CAST({x} AS DECIMAL(29,9))) AS DOUBLE) / COUNT({x})"
+
+
 def number(x: str, decimals: int = 0) -> str:
     return (
         f"CASE WHEN {x} >= 1000000 THEN printf('%.1fM', {x} / 1000000.0)"

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions.coerce import total
 from tallyframe.functions.roles import MissingRole
 from tallyframe.operators import breakdown, encode, history, metrics, profile, quantiles, reports, split, stats
 from tallyframe.session import new_folder
@@ -323,6 +324,78 @@ def test_defaults_and_limits(spark):
     assert (note["type"], note["read"]) == ("info", False)
 
 
+def test_replace_and_append_make_versions(spark):
+    store = new_folder(spark, "store")
+    assert history.read_table(spark, "notifications", store).count() == 0
+    rows = spark.createDataFrame([("1", "u", "a", False), ("2", "u", "b", False), ("3", "v", "c", False)], "id string, user_id string, title string, read boolean")
+    history.append(rows, "notifications", store)
+    stored = history.read_table(spark, "notifications", store)
+    history.replace(history.mark_read(stored, "u"), "notifications", store)
+    requests = spark.createDataFrame([("1", "u"), ("3", "u")], "id string, user_id string")
+    history.replace(history.owner_delete(history.read_table(spark, "notifications", store), requests), "notifications", store)
+    history.append(rows.filter("id = '1'").withColumn("title", F.lit("again")), "notifications", store)
+    found = history.read_table(spark, "notifications", store)
+    assert {(r["id"], r["title"], r["read"]) for r in found.collect()} == {("1", "again", False), ("2", "b", True), ("3", "c", False)}
+    assert history.current_version(spark, "notifications", store) == 2
+    # A job that fails leaves the version before it current.
+    with pytest.raises(Exception, match="user_id must not be null"):
+        history.replace(found.withColumn("user_id", F.lit(None).cast("string")), "notifications", store)
+    assert history.read_table(spark, "notifications", store).count() == 3
+    history.replace(found.limit(0), "notifications", store)
+    assert history.read_table(spark, "notifications", store).count() == 0
+
+
+def test_catalogue_is_appended_once(spark, sample):
+    store = new_folder(spark, "store")
+    row = history.catalogue_row(sample, "sample.csv", F.lit("u"))
+    for _ in range(2):
+        history.append_catalogue(row, store)
+    assert history.read_table(spark, "datasets", store).count() == 1
+
+
+def test_other_notifications(spark):
+    saved = spark.createDataFrame([("u", "Revenue Report")], "user_id string, title string")
+    assert tuple(history.saved_notifications(saved).first()) == ("u", "Report Saved", "Revenue Report has been saved.", "info")
+    runs = spark.createDataFrame([("u", "Churn Prediction", "Forest", 91.25), ("u", "Trend Analysis", "Line", None)], "user_id string, prediction_type string, model_name string, accuracy double")
+    assert [(r["title"], r["message"]) for r in history.prediction_notifications(runs).collect()] == [
+        ("Churn Prediction Complete", "Forest, score 91.2"), ("Trend Analysis Complete", "Line"),
+    ]
+
+
+def test_latest_unread_title_on_equal_times(spark):
+    rows = [(i, "u", t, False, datetime.datetime(2024, 1, d)) for i, t, d in ((5, "x", 2), (3, "y", 2), (1, "z", 1), (4, "w", 2))]
+    df = spark.createDataFrame(rows, "id long, user_id string, title string, read boolean, created_at timestamp_ntz")
+    assert history.unread_summary(df).first()["latest_title"] == "y"
+
+
+def test_sums_do_not_depend_on_order(spark):
+    """Three decimals, and large beside small: exact in any order."""
+    values = [0.125, 1e12 + 0.001, -1e12, 0.1, 0.2, 0.3, 1 / 3] * 30
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = {df.repartition(n).agg(total(F.col("v"))).first()[0] for n in (1, 3, 7)}
+    assert len(found) == 1
+    assert found.pop() == pytest.approx(30 * (0.126 + 0.6 + 1 / 3), abs=1e-6)
+
+
+def test_an_order_without_customer_stays(spark, tmp_path):
+    from tallyframe.plans.inputs import fact_orders
+
+    for name in ("orders", "customer", "lineitem"):
+        frame = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "customer":
+            frame = frame.filter("c_custkey % 10 != 3")
+        frame.write.parquet(str(tmp_path / f"{name}.parquet"))
+    folder = str(tmp_path)
+    whole = spark.read.parquet(f"{folder}/orders.parquet").count()
+    facts = fact_orders(spark, folder)
+    assert facts.count() == whole and facts.filter("plan IS NULL").count() > 0
+    assert fact_orders(spark, folder, "row_id", "plan").count() == whole
+    narrow = metrics.revenue_headline(fact_orders(spark, folder, "date", "revenue")).first()
+    assert metrics.revenue_headline(facts).first() == narrow
+    summaries = [r["summary"] for r in reports.report_rows(facts, "now").collect()]
+    assert any(narrow["Total Revenue"] in s for s in summaries)
+
+
 def test_required_values(spark):
     rows = spark.createDataFrame([(None, "t")], "user_id string, title string")
     with pytest.raises(Exception, match="user_id must not be null"):
