@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.roles import quoted
-from .common import stored
+from .common import ship, stored
 
 #: Bytes in a chunk: at least, normally, at most. The hash looks back 32 bytes, so no chunk is shorter, but for the last.
 LEAST, NORMAL, MOST = 32, 64, 256
@@ -96,6 +96,8 @@ def written(a: Print) -> str:
 def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a column fingerprint, empty for a missing or empty text."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         result: list[str] = []
@@ -208,6 +210,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     comes the first. Ids are whole numbers; null comes first, and rows of one id go
     by a hash of their texts. A missing text is empty.
     """
+    ship(docs.sparkSession)
     name = docs.select(quoted(id_col)).columns[0]
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
     return in_stretches(rows).select("_stretch", "_ends", "id", "text").mapInArrow(compare, SCHEMA).withColumnRenamed("id", name)

@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.roles import quoted
+from .common import ship
 
 #: Bytes in a window, in an embedding, filter widths and filters of each.
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
@@ -166,6 +167,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predicted(texts: Column, network: Network) -> Column:
     """A struct of lang_pred and score: ``und`` with 0 for a missing text, one without a letter, or nothing learned."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("lang_pred string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.roles import quoted
-from .common import stored
+from .common import ship, stored
 
 #: Bins of length that patterns are made of, and lengths in a pattern.
 BINS, FEW = 128, 3
@@ -124,6 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     id null or repeated. ``part`` and ``nth`` (the number among the pieces of the same
     length in this partition) are for ``place``.
     """
+    ship(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
     ident = docs.select(quoted(id_col)).schema[0]
     names = [ident.name, "piece", "start", "length", "ids", "part", "nth"]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.roles import quoted
-from .common import joined, stored
+from .common import joined, ship, stored
 
 SPACE, SYMBOLS, CAPITALS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
 WINDOW = 8
@@ -152,6 +152,7 @@ def rate(
     distance. Groups of fewer than ``least_rows`` rows look to their language, and that to
     all. A missing language or source is a group of its own; a missing text has no words.
     """
+    ship(docs.sparkSession)
     name = docs.select(quoted(id_col)).columns[0]
     # Prefixed, so that a missing value differs from any text.
     group = [F.coalesce(F.concat(F.lit("="), quoted(c).cast("string")), F.lit("")).alias(a) for c, a in ((lang_col, "_lang"), (source_col, "_source"))]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.roles import quoted
-from .common import stored
+from .common import ship, stored
 
 BITS, PARTS, SEED = 64, 4, 42
 SIDE = BITS // PARTS + 1  # values of a quarter's population count
@@ -120,6 +120,7 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 
 def links(classes: DataFrame, radius: int) -> DataFrame:
     """(node, root) of the fingerprints in ``classes`` (column fp, distinct): enough links to connect all that are near."""
+    ship(classes.sparkSession)
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)) for i in range(PARTS)]
     cell = sum((c * SIDE**i for i, c in enumerate(counts)), F.lit(0)).cast("int")
     celled = classes.select("fp", cell.alias("cell"))
@@ -191,6 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id that can be reached, null where all of those are null. A missing
     text, or one without a word, has fingerprint zero, and is linked like any other.
     """
+    ship(docs.sparkSession)
     name = docs.select(quoted(id_col)).columns[0]
     rows = stored(docs.select(quoted(id_col).alias("id"), fingerprints(quoted(text_col).cast("string"), words_in_shingle).alias("fp")), "simhash")
     return _joined(rows, radius).select(F.col("id").alias(name), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -213,6 +215,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays, and of one id with several texts the smaller hash. Groups of which no row
     has an id stay whole.
     """
+    ship(docs.sparkSession)
     text = quoted(text_col).cast("string")
     ident = F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
     rows = stored(docs.select(quoted(id_col).alias("id"), ident.alias("th"), fingerprints(text, words_in_shingle).alias("fp")), "simhash")
