@@ -48,7 +48,7 @@ CLV_TEST_SHARE = 0.2
 # Trees grow until their leaves are pure, or to the deepest that the library allows.
 TREE_DEPTH = 30
 # Labelled rows that a forest learns from, about: a sample by hash beyond that. All rows are scored.
-TRAINING_ROWS = 10_000
+TRAINING_ROWS = 4_000
 # Training rows per partition; how many there are follows from the rows alone, never from the cores.
 ROWS_PER_TREE_PART = 2_000
 ROWS_PER_PASS_PART = 50_000
