@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.roles import quoted
@@ -38,6 +39,11 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(f"{folder}/{package.name}.zip")
 
 
+def give_back() -> None:
+    """In a Python worker, which lives on after a task: return to the system what Arrow holds for its next batches."""
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

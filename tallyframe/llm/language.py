@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.roles import quoted
-from .common import ship
+from .common import give_back, ship
 
 #: Bytes in a window, in an embedding, filter widths and filters of each.
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
@@ -174,21 +174,22 @@ def predicted(texts: Column, network: Network) -> Column:
         tables = network.tables()
         for batch in batches:
             names, scores = [], []
-            data = [(t or "").encode("utf-8", "surrogatepass") for t in batch]
-            first = 0
-            while first < len(data):
-                last, size = first, 0
-                while last < len(data) and size < 1 << 20:
-                    size += len(data[last])
-                    last += 1
-                x, whose, weight = windows(data[first:last])
-                total = np.zeros((last - first, len(network.labels)))
+            texts, first = batch.array, 0
+            while first < len(texts):
+                data, size = [], 0
+                while first < len(texts) and size < 1 << 20:
+                    data.append((texts[first] or "").encode("utf-8", "surrogatepass"))
+                    size += len(data[-1])
+                    first += 1
+                x, whose, weight = windows(data)
+                total = np.zeros((len(data), len(network.labels)))
                 np.add.at(total, whose, network.probabilities(x, tables) * weight[:, None])
                 total /= total.sum(axis=1, keepdims=True)
                 best = total.argmax(axis=1)
                 names += [network.labels[b] for b in best]
                 scores += total[np.arange(len(best)), best].clip(0, 1).tolist()
-                first = last
+            del batch, texts
+            give_back()
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
 
     unknown = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.roles import quoted
-from .common import ship, stored
+from .common import give_back, ship, stored
 
 #: Bins of length that patterns are made of, and lengths in a pattern.
 BINS, FEW = 128, 3
 #: Words whose ids a task remembers; twice as many are held at most.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Characters that are tokenized together.
 AT_ONCE = 1 << 20
 #: Rows of the table of starts (a row per partition and length) up to which it is broadcast.
@@ -143,6 +143,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 last = max(first + 1, int(np.searchsorted(sizes, before + AT_ONCE, "right")))
                 yield from cut_some(words, part, seen, batch.slice(first, last - first))
                 first = last
+            del batch
+            give_back()
 
     def cut_some(words, part, seen, batch):
         rows = {n: [] for n in names[1:]}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.roles import quoted
-from .common import ship, stored
+from .common import give_back, ship, stored
 
 BITS, PARTS, SEED = 64, 4, 42
 SIDE = BITS // PARTS + 1  # values of a quarter's population count
@@ -53,7 +53,9 @@ def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
 def fingerprints(texts: F.Column, words_in_shingle: int = 3):
     @F.pandas_udf("long")
     def of(column: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, words_in_shingle) for t in column], dtype="int64")
+        found = pd.Series([fingerprint(t, words_in_shingle) for t in column], dtype="int64")
+        give_back()
+        return found
 
     return of(texts)
 
