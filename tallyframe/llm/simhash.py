@@ -1,18 +1,17 @@
 """Near copies by SimHash: exact comparison of all fingerprints, tile by tile.
 
 Equal fingerprints are one class. Classes are dealt into cells by the population
-counts of the four quarters of the fingerprint: one bit that differs changes
-these counts by one in all, so fingerprints within the radius lie in cells whose
-counts differ by no more than the radius. Only such cells meet; a cell of many
-classes is cut into tiles of bounded size. A task compares its own tile with
-each visiting tile by exclusive-or and bit counts, and reports a forest of what it
-linked, never all pairs.
+counts of the quarters of the fingerprint, or of smaller parts where there are very
+many: one bit that differs changes these counts by one in all, so fingerprints
+within the radius lie in cells whose counts differ by no more than the radius. Only
+such cells meet; a cell of many classes is cut into tiles of bounded size. A task
+compares its own tile with each visiting tile by exclusive-or and bit counts, and
+reports a forest of what it linked, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -23,12 +22,17 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.roles import quoted
 from .common import give_back, ship, stored
 
-BITS, PARTS, SEED = 64, 4, 42
-SIDE = BITS // PARTS + 1  # values of a quarter's population count
+BITS, SEED = 64, 42
+#: Parts whose population counts make a cell, by the number of classes that they are meant for: more parts leave
+#: fewer pairs to compare (a twentieth, a five-hundredth, a hundred-thousandth of all) but more cells to visit.
+#: The links are the same.
+PARTS = ((4, 50_000_000), (8, 2_000_000_000), (16, None))
+#: Cells up to which their table is broadcast; four parts have at most 17 ** 4.
+FEW_CELLS = 100_000
 #: Classes in a tile, on average at most; what a task holds.
 TILE = 4096
 #: Comparisons in one numpy call, and shingles counted at once.
-BLOCK, COUNTED = 1 << 21, 1 << 16
+BLOCK, COUNTED = 1 << 18, 1 << 14
 
 
 def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
@@ -92,20 +96,21 @@ def forest(own: np.ndarray, others: np.ndarray | None, radius: int) -> tuple[np.
 
 
 def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (target, visits, prints), sorted: each target's own tile first, then its visitors."""
-    target, own = None, None
+    """Rows (cell, tile, visits, prints), sorted: for each tile its own prints first, then its visitors'."""
+    here, own = None, None
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        visits = batch.column(1).to_numpy(zero_copy_only=False)
-        lists = batch.column(2)
+        cells, tiles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        visits = batch.column(2).to_numpy(zero_copy_only=False)
+        lists = batch.column(3)
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        bounds = [0, *(np.nonzero(np.diff(keys))[0] + 1).tolist(), len(keys)]
+        changes = np.nonzero((np.diff(cells) != 0) | (np.diff(tiles) != 0))[0] + 1
+        bounds = [0, *changes.tolist(), len(cells)]
         found = []
         for i, j in zip(bounds, bounds[1:]):
             if i == j:
                 continue
-            if keys[i] != target:
-                target, own = keys[i], None
+            if (cells[i], tiles[i]) != here:
+                here, own = (cells[i], tiles[i]), None
             if not visits[i]:
                 own = values[offsets[i] : offsets[i + 1]].copy()
                 found.append(forest(own, None, radius))
@@ -120,50 +125,58 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
 
 
-def links(classes: DataFrame, radius: int) -> DataFrame:
-    """(node, root) of the fingerprints in ``classes`` (column fp, distinct): enough links to connect all that are near."""
+def parts_for(classes: int) -> int:
+    return next(parts for parts, most in PARTS if most is None or classes <= most)
+
+
+def links(classes: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
+    """(node, root) of the fingerprints in ``classes`` (column fp, distinct): enough links to connect all that are near.
+
+    A cell is a number with a digit for each part, the part's population count;
+    the base leaves room for steps beyond the ends, where no cells are.
+    """
     ship(classes.sparkSession)
-    counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)) for i in range(PARTS)]
-    cell = sum((c * SIDE**i for i, c in enumerate(counts)), F.lit(0)).cast("int")
+    parts = parts or parts_for(classes.count())
+    width = BITS // parts
+    base = width + 1 + 2 * radius
+    counts = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND((1 << width) - 1)) + radius for i in range(parts)]
+    cell = sum((c * base**i for i, c in enumerate(counts)), F.lit(0).cast("long"))
     celled = classes.select("fp", cell.alias("cell"))
-    # At most SIDE ** PARTS rows, so it can be broadcast.
     cells = celled.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     cells = stored(cells, "simhash-cells")
+    cells = F.broadcast(cells) if (width + 1) ** parts <= FEW_CELLS else cells
     tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile")
-    tiles = celled.join(F.broadcast(cells), "cell").select("cell", tile, "fp")
+    tiles = celled.join(cells, "cell").select("cell", tile, "fp")
     tiles = stored(tiles.groupBy("cell", "tile").agg(F.collect_list("fp").alias("prints")), "simhash-tiles")
-    # Each pair of cells meets once: steps that come after no step at all.
-    steps = [s for s in product(range(-radius, radius + 1), repeat=PARTS) if sum(map(abs, s)) <= radius and s > (0,) * PARTS]
-    apart = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(s)]) for s in steps])
-    at = [F.floor(F.col("cell") / SIDE**i) % SIDE for i in range(PARTS)]
-    goal = F.lit(0)
-    inside = F.lit(True)
-    for i in range(PARTS):
-        there = at[i] + F.col(f"step.d{i}")
-        goal = goal + there * SIDE**i
-        inside = inside & there.between(0, SIDE - 1)
-    travelling = tiles.select("cell", "tile", F.explode(apart).alias("step")).filter(inside)
-    travelling = travelling.select(F.col("cell").alias("_from"), F.col("tile").alias("_tile"), goal.cast("int").alias("cell"))
-    visits = travelling.join(F.broadcast(cells), "cell").select(
-        "_from", "_tile", "cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
-    )
+    # Each pair of cells meets once: steps whose number is above 0.
+    steps = sorted(n for n in _steps(parts, radius, base) if n > 0)
+    travelling = tiles.select(F.col("cell").alias("_from"), F.col("tile").alias("_tile"), F.explode(F.array(*map(F.lit, steps))).alias("_step"))
+    travelling = travelling.select("_from", "_tile", (F.col("_from") + F.col("_step")).alias("cell"))
+    visits = travelling.join(cells, "cell").select("_from", "_tile", "cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     # Tiles of the same cell: the earlier visits the later.
-    same = tiles.join(F.broadcast(cells), "cell").filter(F.col("tile") + 1 < F.col("tiles")).select(
+    same = tiles.join(cells, "cell").filter(F.col("tile") + 1 < F.col("tiles")).select(
         F.col("cell").alias("_from"), F.col("tile").alias("_tile"), "cell",
         F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("tile"),
     )
     roads = visits.unionByName(same).groupBy("_from", "_tile").agg(F.collect_list(F.struct("cell", "tile")).alias("to"))
-    target = F.col("cell").cast("long") * (1 << 32) + F.col("tile")
-    own = tiles.select(target.alias("target"), F.lit(False).alias("visits"), "prints")
+    own = tiles.select("cell", "tile", F.lit(False).alias("visits"), "prints")
     coming = (
         tiles.join(roads, (F.col("cell") == F.col("_from")) & (F.col("tile") == F.col("_tile")))
         .select("prints", F.explode("to").alias("to"))
-        .select((F.col("to.cell").cast("long") * (1 << 32) + F.col("to.tile")).alias("target"), F.lit(True).alias("visits"), "prints")
+        .select("to.cell", "to.tile", F.lit(True).alias("visits"), "prints")
     )
-    dealt = own.unionByName(coming).repartition("target").sortWithinPartitions("target", "visits")
+    dealt = own.unionByName(coming).repartition("cell", "tile").sortWithinPartitions("cell", "tile", "visits")
     return dealt.mapInArrow(lambda batches: compare(batches, radius), "node long, root long").distinct()
 
 
+def _steps(parts: int, radius: int, base: int) -> set[int]:
+    """The differences between the numbers of cells whose counts differ by at most ``radius`` in all."""
+    reached = {(0, 0)}  # number, and how far it is
+    for i in range(parts):
+        reached |= {(n + d * base**i, far + abs(d)) for n, far in reached for d in range(-radius, radius + 1) if far + abs(d) <= radius}
+    return {n for n, _ in reached}
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges``, root being the least node that it is connected to.
 

@@ -3,9 +3,11 @@
 import random
 from itertools import combinations
 
+import pytest
 import xxhash
 
 from tallyframe.llm import simhash
+from tallyframe.llm.common import stored
 
 
 def plain_fingerprint(text, k=3):
@@ -59,7 +61,8 @@ def test_no_rows(nothing):
     assert simhash.one_of_each(nothing).count() == 0
 
 
-def test_links_of_dense_groups_and_of_cut_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [2, 4, 8])
+def test_links_of_dense_groups_and_of_cut_tiles(spark, monkeypatch, parts):
     """Many fingerprints near each other, chains, and cells of many tiles: the same groups as by all pairs, few links."""
     monkeypatch.setattr(simhash, "TILE", 16)
     draw = random.Random(5)
@@ -77,7 +80,7 @@ def test_links_of_dense_groups_and_of_cut_tiles(spark, monkeypatch):
             prints.add(p)
     prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     classes = spark.createDataFrame([(p,) for p in prints], "fp long")
-    found = simhash.links(classes, 3)
+    found = stored(simhash.links(classes, 3, parts), "links")
     assert found.count() < 130 * len(prints)
     named = {r["node"]: r["root"] for r in simhash.components(found).collect()}
     group = plain_components([p % (1 << 64) for p in prints])
@@ -85,6 +88,12 @@ def test_links_of_dense_groups_and_of_cut_tiles(spark, monkeypatch):
     assert {p: named.get(p, p) for p in prints} == {p: least[g] for p, g in zip(prints, group)}
 
 
+def test_steps_and_parts():
+    assert [len(simhash._steps(p, 3, 64 // p + 7)) for p in (1, 4, 8)] == [7, 129, 833]
+    assert [simhash.parts_for(n) for n in (0, 50_000_000, 50_000_001, 10**10)] == [4, 4, 8, 16]
+    assert 11**16 < 2**63  # the largest cell number of sixteen parts
+
+
 def test_one_of_each_group_stays(awkward, documents):
     kept = simhash.one_of_each(awkward)
     assert kept.columns == awkward.columns
