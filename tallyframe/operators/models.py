@@ -36,7 +36,8 @@ Roles = dict[str, str] | None
 SEED = 42
 TREES = 100
 RESTARTS = 10
-ITERATIONS = 300  # the limit; a start ends when its centres stay where they are
+ITERATIONS = 300  # the limit; a start ends when the squared shifts of its centres add up to no more than
+TOLERANCE = 1e-4  # this, in units of a feature's variance
 STARTS_AT_ONCE, FEW_ROWS = 10, 5_000_000
 MAX_CLUSTERS = 8
 SEGMENT_LABELS = ["Champions", "Loyal Customers", "At Risk", "Dormant / Lost"]
@@ -320,7 +321,10 @@ def _best_clusters(scaled: DataFrame, rows: int, k: int, restarts: int, iteratio
     vectors = scaled.select(F.col("_features").alias("_vector"))
 
     def run(start: int) -> tuple[float, int, KMeansModel, int]:
-        kmeans = KMeans(featuresCol="_vector", predictionCol="cluster", k=k, seed=SEED + start, maxIter=iterations)
+        # The library looks at each centre's distance by itself.
+        kmeans = KMeans(
+            featuresCol="_vector", predictionCol="cluster", k=k, seed=SEED + start, maxIter=iterations, tol=(TOLERANCE / k) ** 0.5
+        )
         model = kmeans.fit(vectors)
         return model.summary.trainingCost, start, model, model.summary.numIter
 
