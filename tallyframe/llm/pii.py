@@ -65,9 +65,11 @@ ANY = "|".join(
 )
 #: Every entity has one of these, which is quicker to see: the first character rules out most places.
 _ALL_TITLES = [t for g in TITLES.values() for t in g]
-HINT = "[0-9@%s](?:(?<=@)|(?<=[0-9])(?:[0-9]{2}|[0-9]?\\.[0-9])|%s)" % (
+HINT = "[0-9@+%s](?:(?<=@)|(?<=\\+)[0-9]|(?<=[0-9])(?:[0-9]{2}|[0-9]?\\.[0-9])|%s)" % (
     "".join(sorted({t[0] for t in _ALL_TITLES})), "|".join(f"(?<={t[0]}){t[1:]}[. ]" for t in _ALL_TITLES),
 )
+#: But a secret, which may have no digits.
+SECRET_HINT = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32}|[0-9A-F]{32})"
 #: Values with another try that are looked up within the expression; with more, texts are joined with theirs.
 FEW = 500
 
@@ -229,7 +231,7 @@ def _in_format(value: Column, made: Column) -> Column:
 def found_in(text: Column) -> Column:
     """All entities of a text in order; an empty array for a missing one."""
     none = F.array().cast("array<string>")
-    return F.coalesce(F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none), none)
+    return F.coalesce(F.when(text.rlike(HINT) | text.rlike(SECRET_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none), none)
 
 
 def retries(docs: DataFrame, text_col: str, key: str) -> DataFrame:
