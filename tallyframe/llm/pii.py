@@ -43,7 +43,12 @@ SYLLABLES = {
 NAME_SYLLABLES = 5
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{Ll}'’-]+"
+#: Parts of a name: words with inner capitals, hyphens and apostrophes, but without a genitive's; initials; what stands before a word.
+_WORD = r"(?:\p{Ll}{1,2}['’])?\p{Lu}(?:[\p{L}\p{M}]+|(?=['’-]\p{L}{2}))(?:(?!['’]s(?!\p{L}))['’-][\p{L}\p{M}]+)*"
+_INITIAL = r"(?:\p{Lu}\.-?)+|\p{Lu}(?=\h+\p{Lu}\p{L})"
+_BEFORE = r"(?:(?:van|von|vom|de|der|den|del|della|di|da|do|dos|das|du|la|las|le|los|el|al|bin|ibn|ter|ten|zu|zum|zur)\h+)*"
+_PART = rf"{_BEFORE}(?:{_WORD}|{_INITIAL})"
+_TITLES = "(?:(?:%s)\\.?\\h+)+" % "|".join(t for g in TITLES.values() for t in g)
 #: What is looked for, in this order at each place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
@@ -52,7 +57,7 @@ PATTERNS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": r"(?<!\p{L})(?:%s)\.? %s(?: %s)?" % ("|".join(t for g in TITLES.values() for t in g), _NAME, _NAME),
+    "name": rf"(?<!\p{{L}}){_TITLES}{_PART}(?:\h+(?!{_TITLES}){_PART})*",
 }
 # Back references are counted anew in the whole, so separators are spelled out there.
 ANY = "|".join(
@@ -66,7 +71,7 @@ ANY = "|".join(
 #: Every entity has one of these, which is quicker to see: the first character rules out most places.
 _ALL_TITLES = [t for g in TITLES.values() for t in g]
 HINT = "[0-9@+%s](?:(?<=@)|(?<=\\+)[0-9]|(?<=[0-9])(?:[0-9]{2}|[0-9]?\\.[0-9])|%s)" % (
-    "".join(sorted({t[0] for t in _ALL_TITLES})), "|".join(f"(?<={t[0]}){t[1:]}[. ]" for t in _ALL_TITLES),
+    "".join(sorted({t[0] for t in _ALL_TITLES})), "|".join(f"(?<={t[0]}){t[1:]}[.\\h]" for t in _ALL_TITLES),
 )
 #: But a secret, which may have no digits.
 SECRET_HINT = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32}|[0-9A-F]{32})"
@@ -92,14 +97,14 @@ def kind_of(value: Column) -> Column:
     )
 
 
-TITLE = r"^\p{L}+\.? "
+TITLE = f"^{_TITLES}"
 
 
 def _who(value: Column) -> Column:
-    title = F.regexp_extract(value, r"^(\p{L}+)\.? ", 1)
+    title = F.regexp_extract(value, r"^(\p{L}+)", 1)
     gender = let(title, lambda t: F.when(t.isin(*TITLES["m"]), "m").when(t.isin(*TITLES["f"]), "f").otherwise("n"))
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    return F.concat(gender, F.lit("/"), script, F.lit("/"), F.lower(F.regexp_replace(value, TITLE, "")))
+    return F.concat(gender, F.lit("/"), script, F.lit("/"), F.lower(F.regexp_replace(F.regexp_replace(value, TITLE, ""), r"\h+", " ")))
 
 
 def canonical(value: Column) -> Column:
@@ -215,8 +220,8 @@ def _in_format(value: Column, made: Column) -> Column:
 
         filled = F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), fill, lambda d: d["out"])
         full = F.initcap(F.split_part(same, F.lit("/"), F.lit(3)))
-        # As many words as there were.
-        two = F.regexp_replace(value, TITLE, "").contains(" ")
+        # One word for one, two for more.
+        two = F.regexp_replace(value, TITLE, "").rlike(r"\h")
         named = F.concat(F.regexp_extract(value, TITLE, 0), F.when(two, full).otherwise(F.split_part(full, F.lit(" "), F.lit(2))))
         loud = (value == F.upper(value)) & (value != F.lower(value))
         text = F.when(kind.isin("email", "secret"), F.when(loud, F.upper(same)).otherwise(same))
@@ -272,7 +277,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     The same entity gets the same surrogate wherever it is, distinct ones distinct
     surrogates, and none gets one that is an entity of ``docs``. Titles keep their
-    gender and names their script and number of words; numbers keep their length,
+    gender and names their script, and are of one word or two as they were; numbers keep their length,
     separators and check sum. A missing text stays missing. Rows and other columns stay as
     they are; an n_entities of ``docs`` gives way.
     """

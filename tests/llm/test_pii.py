@@ -60,6 +60,22 @@ def test_every_pattern_passes_the_first_look(spark):
         assert n == found and (new != text) == found, text
 
 
+NAMED = [
+    "Mr O'Brien", "Herr Müller-Lüdenscheidt", "Mr Ronald McDonald", "Madame Marie Curie-Joliot", "Dr J. Smith", "Dr  Jane   Smith",
+    "Mr John Ronald Reuel Tolkien", "Frau Prof. Dr. Weber", "Herr Ludwig van Beethoven", "Monsieur d'Artagnan", "Mr Xu", "Mr O’Neill-O’Hara",
+]
+
+
+def test_nothing_of_a_name_is_left(spark):
+    new = told(spark, [f"from {t}, {t}'s" for t in NAMED])
+    for old, (text, n) in zip(NAMED, new):
+        words = [w for w in re.findall(r"[^\W\d_]{3,}", old) if w not in ("Herr", "Madame", "Monsieur", "Frau", "Prof", "van")]
+        assert n == 2 and not any(w in text for w in words), (old, text)
+        first, second = re.fullmatch(r"from (.*), (.*)'s", text).groups()
+        assert first == second
+    assert len({t for t, _ in new}) == len(NAMED)
+
+
 def test_gender_of_given_names(spark):
     new = told(spark, ["Mr Tom Hill", "Mrs Ann Hill", "Dr. Kim Hill", "Госпожа Анна Каренина"])
     given = [t.split()[1] for t, _ in new]
