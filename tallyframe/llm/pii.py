@@ -168,14 +168,18 @@ def _pick(words: str, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in listed]), (F.pmod(n, F.lit(len(listed))) + 1).cast("int"))
 
 
-def _name(same: Column, n: Column, more: Column) -> Column:
+def _name(same: Column, n: Column, more: Column, tries: Column) -> Column:
     gender, script = F.split_part(same, F.lit("/"), F.lit(1)), F.split_part(same, F.lit("/"), F.lit(2))
     given, family = F.lit(""), F.lit("")
     for s, by_gender in GIVEN.items():
         for g, names in by_gender.items():
             given = F.when((gender == g) & (script == s), _pick(names, n)).otherwise(given)
-        family = F.when(script == s, F.concat(*[_pick(SYLLABLES[s], F.shiftright(more, 5 * i)) for i in range(NAME_SYLLABLES)])).otherwise(family)
-    return F.concat(gender, F.lit("/"), script, F.lit("/"), F.lower(given), F.lit(" "), family)
+        drawn = F.array(*[_pick(SYLLABLES[s], F.shiftright(more, 5 * i)) for i in range(12)])
+        # More syllables with the tries, so that there are always names enough.
+        family = F.when(script == s, F.array_join(F.slice(drawn, 1, F.lit(NAME_SYLLABLES) + F.floor(tries / 2).cast("int")), "")).otherwise(family)
+    # Of a one-word name only the family name is written.
+    before = F.when(F.split_part(same, F.lit("/"), F.lit(3)).contains(" "), F.concat(F.lower(given), F.lit(" "))).otherwise("")
+    return F.concat(gender, F.lit("/"), script, F.lit("/"), before, family)
 
 
 def surrogate(canon: Column, tries: Column, key: str) -> Column:
@@ -197,7 +201,7 @@ def surrogate(canon: Column, tries: Column, key: str) -> Column:
         lead = F.when(same.startswith("+"), 2).otherwise(0)
         number = F.concat(F.substring(same, F.lit(1), lead), _digits(F.substring(same, lead + 1, F.length(same)), key, tweak))
         made = F.when(kind == "email", mailbox).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card)
-        return F.concat(kind, F.lit(":"), made.when(kind == "name", _name(same, n, more)).otherwise(number))
+        return F.concat(kind, F.lit(":"), made.when(kind == "name", _name(same, n, more, tries)).otherwise(number))
 
     def drawn(s: Column) -> Column:
         n, more = _number(key, s["tweak"], s["same"]), _number(key, F.lit("more"), s["tweak"], s["same"])
@@ -220,9 +224,7 @@ def _in_format(value: Column, made: Column) -> Column:
 
         filled = F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), fill, lambda d: d["out"])
         full = F.initcap(F.split_part(same, F.lit("/"), F.lit(3)))
-        # One word for one, two for more.
-        two = F.regexp_replace(value, TITLE, "").rlike(r"\h")
-        named = F.concat(F.regexp_extract(value, TITLE, 0), F.when(two, full).otherwise(F.split_part(full, F.lit(" "), F.lit(2))))
+        named = F.concat(F.regexp_extract(value, TITLE, 0), full)
         loud = (value == F.upper(value)) & (value != F.lower(value))
         text = F.when(kind.isin("email", "secret"), F.when(loud, F.upper(same)).otherwise(same))
         return text.when(kind == "ip", same).when(kind == "name", named).otherwise(filled)

@@ -123,6 +123,13 @@ def test_collisions_get_another_try(spark, monkeypatch):
     assert [t for t, _ in told(spark, texts)] == first
 
 
+def test_one_word_names_are_compared_as_written(spark, monkeypatch):
+    monkeypatch.setattr(pii, "NAME_SYLLABLES", 1)
+    texts = [f"Mr {a}{b}{c}" for a in ("Ab", "Ba", "Ce", "Do", "Eg") for b in ("an", "ek", "il", "os") for c in ("ta", "ne", "ru")]
+    new = [t for t, _ in told(spark, texts)]
+    assert len(set(new)) == len(texts)
+
+
 def test_what_is_found_in_the_given_documents_goes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     old = {r["doc_id"]: r["text"] for r in docs.collect()}
