@@ -100,18 +100,33 @@ def kind_of(value: Column) -> Column:
 TITLE = f"^{_TITLES}"
 
 
-def _who(value: Column) -> Column:
-    title = F.regexp_extract(value, r"^(\p{L}+)", 1)
-    gender = let(title, lambda t: F.when(t.isin(*TITLES["m"]), "m").when(t.isin(*TITLES["f"]), "f").otherwise("n"))
-    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    return F.concat(gender, F.lit("/"), script, F.lit("/"), F.lower(F.regexp_replace(F.regexp_replace(value, TITLE, ""), r"\h+", " ")))
+def _gender(value: Column) -> Column:
+    """Of the first title that has one."""
+    titles = F.split(F.regexp_extract(value, TITLE, 0), r"\.?\h+")
+    m, f = (F.arrays_overlap(titles, F.array(*[F.lit(t) for t in TITLES[g]])) for g in "mf")
+    return F.when(m, "m").when(f, "f").otherwise("n")
+
+
+def _words(value: Column) -> Column:
+    """The words of a name behind its titles as an array of (word, canon): the last one is the family name, the others are given names."""
+
+    def of(s: Column) -> Column:
+        def entry(word: Column, i: Column) -> Column:
+            script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+            role = F.when(i == F.size(s["words"]) - 1, "name:").otherwise(F.concat(F.lit("given:"), s["gender"], F.lit("/")))
+            return F.struct(word.alias("word"), F.concat(role, script, F.lit("/"), F.lower(word)).alias("canon"))
+
+        return F.transform(s["words"], entry)
+
+    words = F.regexp_extract_all(F.regexp_replace(value, TITLE, ""), F.lit(f"{_WORD}|{_INITIAL}"), F.lit(0))
+    return let(F.struct(words.alias("words"), _gender(value).alias("gender")), of)
 
 
 def canonical(value: Column) -> Column:
-    """What spellings of one entity have in common, behind its type."""
+    """What spellings of one entity that isn't a name have in common, behind its type."""
 
     def of(kind: Column) -> Column:
-        same = F.when(kind.isin("email", "secret"), F.lower(value)).when(kind == "ip", value).when(kind == "name", _who(value))
+        same = F.when(kind.isin("email", "secret"), F.lower(value)).when(kind == "ip", value)
         return F.concat(kind, F.lit(":"), same.otherwise(F.regexp_replace(value, "[^0-9+]", "")))
 
     return let(kind_of(value), of)
@@ -163,23 +178,25 @@ def _luhn(d: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), add)
 
 
-def _pick(words: str, n: Column) -> Column:
-    listed = words.split()
-    return F.element_at(F.array(*[F.lit(w) for w in listed]), (F.pmod(n, F.lit(len(listed))) + 1).cast("int"))
+def _name(kind: Column, same: Column, more: Column, tries: Column) -> Column:
+    """Another family name, or another given name of the gender; longer ones with the tries, so that there are always enough."""
+
+    listed, start = F.lit(""), F.split_part(same, F.lit("/"), F.lit(-1))
+    for s in GIVEN:
+        for g, names in GIVEN[s].items():
+            listed = F.when((kind == "given") & same.startswith(f"{g}/{s}/"), names).otherwise(listed)
+        listed = F.when((kind == "name") & same.startswith(f"{s}/"), SYLLABLES[s]).otherwise(listed)
+    size = F.when(kind == "given", tries + 1).otherwise(F.lit(NAME_SYLLABLES) + F.floor(tries / 2).cast("int"))
 
+    def drawn(words: Column) -> Column:
+        def pick(i: Column) -> Column:
+            return F.element_at(words, (F.pmod(F.call_function("shiftright", more, 5 * i), F.size(words)) + 1).cast("int"))
 
-def _name(same: Column, n: Column, more: Column, tries: Column) -> Column:
-    gender, script = F.split_part(same, F.lit("/"), F.lit(1)), F.split_part(same, F.lit("/"), F.lit(2))
-    given, family = F.lit(""), F.lit("")
-    for s, by_gender in GIVEN.items():
-        for g, names in by_gender.items():
-            given = F.when((gender == g) & (script == s), _pick(names, n)).otherwise(given)
-        drawn = F.array(*[_pick(SYLLABLES[s], F.shiftright(more, 5 * i)) for i in range(12)])
-        # More syllables with the tries, so that there are always names enough.
-        family = F.when(script == s, F.array_join(F.slice(drawn, 1, F.lit(NAME_SYLLABLES) + F.floor(tries / 2).cast("int")), "")).otherwise(family)
-    # Of a one-word name only the family name is written.
-    before = F.when(F.split_part(same, F.lit("/"), F.lit(3)).contains(" "), F.concat(F.lower(given), F.lit(" "))).otherwise("")
-    return F.concat(gender, F.lit("/"), script, F.lit("/"), before, family)
+        return F.array_join(F.transform(F.sequence(F.lit(1), size), lambda i: pick(i - 1)), "-")
+
+    made = F.lower(let(F.split(listed, " "), drawn))
+    before = F.substring(same, F.lit(1), F.length(same) - F.length(start))
+    return F.concat(before, F.when(kind == "given", made).otherwise(F.replace(made, F.lit("-"), F.lit(""))))
 
 
 def surrogate(canon: Column, tries: Column, key: str) -> Column:
@@ -201,7 +218,7 @@ def surrogate(canon: Column, tries: Column, key: str) -> Column:
         lead = F.when(same.startswith("+"), 2).otherwise(0)
         number = F.concat(F.substring(same, F.lit(1), lead), _digits(F.substring(same, lead + 1, F.length(same)), key, tweak))
         made = F.when(kind == "email", mailbox).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card)
-        return F.concat(kind, F.lit(":"), made.when(kind == "name", _name(same, n, more, tries)).otherwise(number))
+        return F.concat(kind, F.lit(":"), made.when(kind.isin("name", "given"), _name(kind, same, more, tries)).otherwise(number))
 
     def drawn(s: Column) -> Column:
         n, more = _number(key, s["tweak"], s["same"]), _number(key, F.lit("more"), s["tweak"], s["same"])
@@ -223,11 +240,10 @@ def _in_format(value: Column, made: Column) -> Column:
             return F.struct(out.alias("out"), (done["i"] + put.cast("int")).alias("i"))
 
         filled = F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), fill, lambda d: d["out"])
-        full = F.initcap(F.split_part(same, F.lit("/"), F.lit(3)))
-        named = F.concat(F.regexp_extract(value, TITLE, 0), full)
+        named = F.regexp_replace(F.initcap(F.replace(F.element_at(F.split(same, "/"), -1), F.lit("-"), F.lit(" "))), " ", "-")
         loud = (value == F.upper(value)) & (value != F.lower(value))
         text = F.when(kind.isin("email", "secret"), F.when(loud, F.upper(same)).otherwise(same))
-        return text.when(kind == "ip", same).when(kind == "name", named).otherwise(filled)
+        return text.when(kind == "ip", same).when(kind.isin("name", "given"), named).otherwise(filled)
 
     kind, same = F.split_part(made, F.lit(":"), F.lit(1)), F.regexp_replace(made, "^[a-z]+:", "")
     return let(F.struct(kind.alias("kind"), same.alias("same"), F.regexp_replace(same, "[^0-9]", "").alias("digits")), of)
@@ -236,9 +252,40 @@ def _in_format(value: Column, made: Column) -> Column:
 # --- collisions ------------------------------------------------------------------------------
 
 def found_in(text: Column) -> Column:
-    """All entities of a text in order; an empty array for a missing one."""
+    """All entities of a text in order, as a struct: ``items`` (value, and words with their canonical forms), and
+    ``more``, the pattern of names and their words that are looked for beside ``ANY``.
+
+    Words of names with a title are also found alone in the same text. No items for a missing text.
+    """
+    words = "array<struct<word: string, canon: string>>"
+
+    def of(first: Column) -> Column:
+        known = F.flatten(F.transform(F.filter(first, lambda v: v.rlike(TITLE)), _words))
+        return let(known, lambda k: let(F.struct(first.alias("first"), k.alias("known"), bare(k).alias("more")), items))
+
+    def bare(known: Column) -> Column:
+        # Of two words of which one begins the other, the longer one comes first.
+        listed = F.sort_array(F.array_distinct(F.filter(known["word"], lambda w: w.rlike(rf"^{_WORD}$"))), asc=False)
+        pattern = F.concat(F.lit(r"|(?<![\p{L}\p{M}])(?:"), F.array_join(listed, "|"), F.lit(r")(?![\p{L}\p{M}])"))
+        return F.when(F.size(listed) > 0, pattern).otherwise("")
+
+    def items(s: Column) -> Column:
+        def item(v: Column) -> Column:
+            alone = F.filter(s["known"], lambda k: k["word"] == v)
+            other = F.array(F.struct(v.alias("word"), canonical(v).alias("canon")))
+            of = F.when(v.rlike(TITLE), _words(v)).when(F.size(alone) > 0, F.slice(alone, 1, 1)).otherwise(other)
+            return F.struct(v.alias("value"), of.cast(words).alias("words"))
+
+        every = F.when(s["more"] == "", s["first"]).otherwise(F.regexp_extract_all(text, F.concat(F.lit(ANY), s["more"]), F.lit(0)))
+        return F.struct(F.transform(every, item).alias("items"), s["more"].alias("more"))
+
     none = F.array().cast("array<string>")
-    return F.coalesce(F.when(text.rlike(HINT) | text.rlike(SECRET_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none), none)
+    first = F.coalesce(F.when(text.rlike(HINT) | text.rlike(SECRET_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none), none)
+    return let(first, of)
+
+
+def canons(found: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(found["items"], lambda i: i["words"]["canon"])))
 
 
 def retries(docs: DataFrame, text_col: str, key: str) -> DataFrame:
@@ -247,8 +294,8 @@ def retries(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     Values are compared as written out, that is by canonical form. Of several with
     one surrogate the least keeps it.
     """
-    values = docs.select(F.explode(F.array_distinct(found_in(quoted(text_col).cast("string")))).alias("v"))
-    known = stored(values.select(canonical(F.col("v")).alias("canon")).distinct(), "pii-entities")
+    values = docs.select(F.explode(canons(found_in(quoted(text_col).cast("string")))).alias("canon"))
+    known = stored(values.distinct(), "pii-entities")
     made = stored(known.select("canon", surrogate(F.col("canon"), F.lit(0), key).alias("made"), F.lit(0).alias("tries")), "pii-surrogates")
     while True:
         shared = made.groupBy("made").agg(F.min("canon").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -265,13 +312,20 @@ def retries(docs: DataFrame, text_col: str, key: str) -> DataFrame:
 def _rewritten(text: Column, key: str, tries_of: Callable[[Column], Column]) -> Column:
     """``text`` with what is in the column _found replaced."""
 
-    def replaced(value: Column) -> Column:
-        made = let(canonical(value), lambda canon: surrogate(canon, tries_of(canon), key))
-        return let(made, lambda m: _in_format(value, m))
+    def word(w: Column) -> Column:
+        return let(surrogate(w["canon"], tries_of(w["canon"]), key), lambda m: _in_format(w["word"], m))
+
+    def replaced(item: Column) -> Column:
+        # Titles and what stands before and between the words of a name stay.
+        head = F.regexp_extract(item["value"], TITLE, 0)
+        rest = F.substring(item["value"], F.length(head) + 1, F.length(item["value"]))
+        gaps = F.split(rest, f"{_WORD}|{_INITIAL}", -1)
+        name = F.array_join(F.zip_with(gaps, F.array_append(F.transform(item["words"], word), F.lit("")), lambda g, m: F.concat(g, m)), "")
+        return F.when(head == "", word(item["words"][0])).otherwise(F.concat(head, name))
 
-    between = F.split(text, ANY, -1)
-    put = F.array_append(F.transform("_found", replaced), F.lit(""))
-    return F.when(F.size("_found") > 0, F.array_join(F.zip_with(between, put, lambda g, m: F.concat(g, m)), "")).otherwise(text)
+    between = F.split(text, F.concat(F.lit(ANY), F.col("_found.more")), -1)
+    put = F.array_append(F.transform("_found.items", replaced), F.lit(""))
+    return F.when(F.size("_found.items") > 0, F.array_join(F.zip_with(between, put, lambda g, m: F.concat(g, m)), "")).otherwise(text)
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -279,8 +333,10 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     The same entity gets the same surrogate wherever it is, distinct ones distinct
     surrogates, and none gets one that is an entity of ``docs``. Titles keep their
-    gender and names their script, and are of one word or two as they were; numbers keep their length,
-    separators and check sum. A missing text stays missing. Rows and other columns stay as
+    gender and names their script and number of words; numbers keep their length,
+    separators and check sum. Family and given names are entities of their own, so people keep theirs
+    under any title, and the words of a titled name are replaced wherever they are alone in the same text; but
+    a given name gets one surrogate per gender of the titles, and the last word counts as the family name. A missing text stays missing. Rows and other columns stay as
     they are; an n_entities of ``docs`` gives way.
     """
     text = quoted(text_col).cast("string")
@@ -288,7 +344,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c.lower() not in ("n_entities", "_found")]
     again = retries(docs, text_col, key)
     docs = docs.withColumn("_found", found_in(text))
-    count = F.size("_found").cast("long").alias("n_entities")
+    count = F.size("_found.items").cast("long").alias("n_entities")
     if again.limit(FEW + 1).count() <= FEW:
         tries = {r["canon"]: r["tries"] for r in again.collect()}  # at most FEW
 
@@ -301,7 +357,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         return docs.select(*[new.alias(name) if c == name else quoted(c) for c in others], count)
     # Rows with such an entity get theirs as a map.
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-    each = rows.select("_row", F.explode(F.array_distinct(F.transform("_found", canonical))).alias("canon"))
+    each = rows.select("_row", F.explode(canons(F.col("_found"))).alias("canon"))
     maps = joined(each, again, "canon").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("canon", "tries"))).alias("_tries"))
     rows = rows.join(stored(maps, "pii-maps"), "_row", "left")
     new = _rewritten(text, key, lambda canon: F.coalesce(F.col("_tries")[canon], F.lit(0)))

@@ -130,6 +130,26 @@ def test_one_word_names_are_compared_as_written(spark, monkeypatch):
     assert len(set(new)) == len(texts)
 
 
+def test_names_are_the_same_under_any_title_and_without(spark):
+    texts = ["Mrs Anna Weber came. Mrs Weber and Anna Weber, that is Weber's Anna.", "Dr Anna Weber", "Dr. Weber", "Ms  Anna  Weber",
+             "Mr Anton Weber and Mr Anton Maier", "Weber and Anna have no title here"]
+    new = told(spark, texts)
+    full, given, family = re.match(r"Mrs ((\S+) (\S+)) came", new[0][0]).groups()
+    assert new[0] == (f"Mrs {full} came. Mrs {family} and {full}, that is {family}'s {given}.", 6)
+    assert new[1][0].endswith(f" {family}") and new[2][0] == f"Dr. {family}" and new[3][0] == f"Ms  {given}  {family}"
+    other, same, another = re.fullmatch(r"Mr (\S+) (\S+) and Mr \1 (\S+)", new[4][0]).groups()
+    assert same == family != another and other != given
+    assert new[5] == (texts[5], 0)
+
+
+def test_many_given_names_stay_distinct(spark, monkeypatch):
+    texts = [f"Mr {a}{b} Weber" for a in ("Ab", "Ba", "Ce", "Do", "Eg") for b in ("an", "ek", "il", "os", "um", "yr", "ta", "ne")]
+    new = [t for t, _ in told(spark, texts)]
+    assert len(set(new)) == len(texts) and len({t.split()[2] for t in new}) == 1
+    monkeypatch.setattr(pii, "FEW", 0)
+    assert [t for t, _ in told(spark, texts)] == new
+
+
 def test_what_is_found_in_the_given_documents_goes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     old = {r["doc_id"]: r["text"] for r in docs.collect()}
