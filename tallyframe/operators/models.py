@@ -10,7 +10,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -108,6 +108,33 @@ def test_share(rows: int) -> float:
     return max(0.2, min(0.4, 20 / rows))
 
 
+def training_sample(rows: DataFrame, training_rows: int) -> DataFrame:
+    """About ``training_rows`` of ``rows`` (_features, _label, _hash) with a _weight, chosen by their hash.
+
+    Each class gets half, and what the other one leaves of its half, so a rare
+    class is learned from whole. Distinct rows are chosen; copies count, but of
+    more rows than a class may have, several are one row of more weight.
+    """
+    found = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.approx_count_distinct("_hash", 0.01).alias("n")).collect()}  # two rows
+    quotas = {c: max(training_rows // 2, training_rows - found.get(1 - c, 0)) for c in (0, 1)}
+    # Estimates are one or a few percent off; a class that fits is taken whole.
+    shares = {c: HASHES if n <= 1.05 * quotas[c] else int(HASHES * quotas[c] / n) + 1 for c, n in found.items()}
+
+    def by_class(values: dict[int, int]) -> Column:
+        return F.when(F.col("_label") == 1, values.get(1, 0)).otherwise(values.get(0, 0))
+
+    chosen = F.shiftrightunsigned(F.xxhash64("_hash", F.lit("training")), 32) < by_class(shares)
+    values = vector_to_array("_features").alias("_values")
+    distinct = rows.filter(chosen).groupBy("_label", "_hash", values).agg(F.count("*").alias("_copies"))
+    copies = {r["_label"]: r["n"] for r in distinct.groupBy("_label").agg(F.sum("_copies").alias("n")).collect()}  # two rows
+    pieces = F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), by_class(quotas) / by_class(copies)) * F.col("_copies"))).cast("int")
+    dealt = distinct.withColumn("_pieces", pieces).withColumn("_piece", F.explode(F.sequence(F.lit(1), F.col("_pieces"))))
+    weight = F.round(F.col("_copies") / F.col("_pieces") * WEIGHT_STEPS) / WEIGHT_STEPS
+    return dealt.select(
+        array_to_vector("_values").alias("_features"), "_label", F.xxhash64("_hash", "_piece").alias("_hash"), weight.alias("_weight")
+    )
+
+
 def predict_churn(
     df: DataFrame,
     roles: Roles = None,
@@ -119,7 +146,7 @@ def predict_churn(
     """A random forest for 'churn is above 0', with both classes weighing the same.
 
     The forest learns from about ``training_rows`` of the rows that aren't held
-    out; the held-out ones are all tested, and all rows are scored.
+    out, half of each class where both have as many; the held-out ones are all tested, and all rows are scored.
     """
     target = need_role(df, "churn", roles)
     known = drop_non_numbers(df, target).persist(KEPT)
@@ -135,15 +162,13 @@ def predict_churn(
     kept = ready.select("_features", "_label", "_hash").persist(KEPT)
     is_test = binary_holdout(kept, F.col("_hash"), "_label", test_share(rows))
     known.unpersist()
-    share = F.lit(min(HASHES, int(HASHES * training_rows / rows) + 1))
-    chosen = F.shiftrightunsigned(F.xxhash64("_hash", F.lit("training")), 32) < share
-    learned = kept.filter(~is_test & chosen)
-    sizes = {r["_label"]: r["count"] for r in learned.groupBy("_label").count().collect()}  # two rows
-    total = sum(sizes.values())
+    learned = training_sample(kept.filter(~is_test), training_rows).persist(KEPT)
+    sizes = {r["_label"]: r["count"] for r in learned.groupBy("_label").agg(F.sum("_weight").alias("count")).collect()}  # two rows
+    total, dealt = sum(sizes.values()), learned.count()
     # Both classes get the same total weight, rows / (2 * rows of the class), in steps that add up exactly in any order.
     weights = {c: max(1, round(WEIGHT_STEPS * total / (2 * n))) / WEIGHT_STEPS for c, n in sizes.items()}
     weight = F.when(F.col("_label") == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
-    training = arranged(learned.withColumn("_weight", weight), total, ROWS_PER_TREE_PART, "_hash").persist(KEPT)
+    training = arranged(learned.withColumn("_weight", F.col("_weight") * weight), dealt, ROWS_PER_TREE_PART, "_hash").persist(KEPT)
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_probability",
         rawPredictionCol="_raw", predictionCol="_predicted",
@@ -151,6 +176,7 @@ def predict_churn(
     )
     model = forest.fit(training)
     training.unpersist()
+    learned.unpersist()
     report = classification_metrics(model.transform(kept.filter(is_test)), "_label", "_predicted")
     measured = report.collect()  # two rows
     report = df.sparkSession.createDataFrame(measured, report.schema)

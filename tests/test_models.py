@@ -97,6 +97,18 @@ def test_weights_come_from_training_rows(customers):
     assert sum(r["support"] for r in few.report.collect()) == 80
 
 
+def test_a_rare_class_is_learned_from_and_copies_are_dealt(spark):
+    """One churned row in 10,000, and copies of one row that are a third of the others."""
+    rows = spark.range(100_000).select(
+        F.array(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double"))).alias("v"), (F.col("id") % 10_000 == 1).cast("int").alias("_label"))
+    rows = rows.select(models.array_to_vector("v").alias("_features"), "_label", models.value_hash(["v", "_label"]).alias("_hash"))
+    learned = models.training_sample(rows, 4000).collect()
+    assert sum(r["_label"] for r in learned) == rows.filter("_label = 1").count() == 10
+    assert 3000 < len(learned) < 8500
+    copies = [r for r in learned if r["_features"][0] == 0.0 and r["_label"] == 0]
+    assert len(copies) < 4100 and len({r["_hash"] for r in copies}) == len(copies)
+
+
 def test_churn_guards(spark, customers):
     with pytest.raises(MissingRole):
         models.predict_churn(customers.drop("churn"))
