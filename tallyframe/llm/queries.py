@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprint, language, mixing, packing, pii, quality, sharding, simhash, urls
+from . import audit, bpe, chat, fim, fingerprint, language, mixing, packing, pii, quality, sharding, simhash, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -294,3 +294,100 @@ SELECT conv_id, CAST((k - 1) // 512 AS INTEGER) AS part, count(*) AS turns,
     string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY k) AS text
 FROM placed WHERE conv_id IN (SELECT conv_id FROM staying) GROUP BY ALL
 """
+
+
+# --- 11: fill in the middle ------------------------------------------------------------------
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the texts with their middle at the end, and what they are taken back to, by digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fim.restore(fim.transform(docs, rate=50, spm=80, seed=42))
+    digests = [F.sha2(c, 256).alias(f"{name}_sha256") for c, name in (("output", "output"), ("restored", "restored"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH drawn AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t,
+        sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), numbers AS (
+    SELECT *, len(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+        CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+    FROM drawn
+), cuts AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+            WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM numbers
+), parts AS (
+    SELECT *, array_to_string(t[1 : a], '') AS p, array_to_string(t[a + 1 : b], '') AS m, array_to_string(t[b + 1 :], '') AS s FROM cuts
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+    CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+# --- 12: filter interaction audit ------------------------------------------------------------
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all their orders, for each source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH split AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+        min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+    FROM documents
+), told AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+        + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INT)
+        + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(s.doc_id > first, false) AS INT) AS bits
+    FROM split s LEFT JOIN told t ON s.doc_id = t.doc_id
+), masks AS (
+    SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM flags GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS places
+    FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+    SELECT filter_order, step, places[step] AS own, CAST(coalesce(list_sum(places[1 : step - 1]), 0) AS INT) AS before
+    FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), sums AS (
+    SELECT part, filter_order, step, own, CAST(sum(n) FILTER (bits & (before | own) = 0) AS BIGINT) AS kept,
+        sum(n) FILTER (bits & own > 0 AND bits & before = 0) AS removed, sum(n) FILTER (bits & own > 0 AND bits & before > 0) AS redundant,
+        sum(n) FILTER (bits = own) AS unique_fails, sum(good) FILTER (bits & own > 0 AND bits & before = 0) AS good_lost,
+        sum(toxic) FILTER (bits & own > 0 AND bits & before = 0) AS toxic_lost
+    FROM masks, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, coalesce(kept, 0) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+    CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+    CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM sums
+"""
+
+
+# --- 13: byte-level BPE ----------------------------------------------------------------------
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    """Token ids of each text, and the bytes that they are decoded to, by digests."""
+    import public_tokenizers
+
+    ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    return told.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -11,7 +11,7 @@ sys.path.insert(0, {ROOT!r})
 import __spark_entry__ as entry
 from tallyframe.session import build_session
 spark = build_session("workers", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"}})
-for key in ("op1_packing", "op2_fingerprint", "op3_language", "op6_simhash", "op8_quality"):
+for key in ("op1_packing", "op2_fingerprint", "op3_language", "op6_simhash", "op8_quality", "op11_fill_in_middle", "op12_filter_audit", "op13_byte_bpe"):
     assert entry.queries()[key](spark, "/root/testdata/sf0.001").count() >= 200, key
 print("DONE")
 """
