@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.roles import quoted
 from .common import give_back, joined, ship, stored
 
-#: Rows of one part in a block of lists; what a task holds.
-BLOCK = 1 << 16
+#: Rows of one part in a block of lists, at most, and of a task on average.
+BLOCK = 1 << 15
 #: Bytes of a text whose words are looked at together.
 AT_ONCE = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -180,7 +180,9 @@ def posted(failing: DataFrame, filters: int, losses: int) -> DataFrame:
             rows = [(part, *row) for row in counted(ids, bits, filters, losses)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    ranged = failing.select("part", "id", "bits").repartitionByRange("part", "id").sortWithinPartitions("part", "id")
+    # Merging takes far more time than its few bytes tell, so the ranges follow from the rows.
+    ranges = failing.count() // BLOCK + 1
+    ranged = failing.select("part", "id", "bits").repartitionByRange(ranges, "part", "id").sortWithinPartitions("part", "id")
     sums = [F.sum(c).alias(c) for c in ("count", *[f"loss_{k}" for k in range(losses)])]
     return ranged.mapInArrow(merge, schema).groupBy("part", "filter", "before").agg(*sums)
 

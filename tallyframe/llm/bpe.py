@@ -25,7 +25,7 @@ from ..functions.roles import quoted
 from .common import give_back, others, ship
 
 #: Pieces that a task remembers; twice as many are held at most. Longer ones aren't remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Characters of texts that become one batch, and pieces of one text that are worked on together.
 AT_ONCE, PIECES = 1 << 20, 1 << 17
 NONE = 1 << 62
@@ -55,12 +55,24 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
 
-class Codec:
+class Decoder:
+    """Ids back to bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.bytes_of = {i: unspelled(spelled(token)) for token, i in ranks.items()}
+
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes of the tokens, in which characters that tokens split are whole again."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class Codec(Decoder):
     """Encodes and decodes by ``ranks``; pieces of a text are the matches of ``pattern``, what it doesn't match is left out."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         from tokenizers import models
 
+        super().__init__(ranks)
         self.ranks, self.split = ranks, regex.compile(pattern)
         letters, merges = {token: spelled(token) for token in ranks}, []
         for token in sorted(ranks, key=ranks.__getitem__):
@@ -69,12 +81,9 @@ class Codec:
         vocabulary = {letters[token]: i for token, i in ranks.items()}
         # A piece that is a token is that token, as with the ranks alone.
         self.model = models.BPE(vocabulary, merges, ignore_merges=True)
-        self.bytes_of = {i: unspelled(token) for token, i in vocabulary.items()}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    # -- encoding
-
     def piece(self, piece: str) -> bytes:
         """The ids of a piece as little-endian unsigned 32-bit numbers."""
         found = self.new.get(piece)
@@ -158,12 +167,6 @@ class Codec:
             raise ValueError("The pattern leaves out a part of the text.")
         return character[ends - sizes].astype(np.int32), (character[ends - 1] + 1).astype(np.int32)
 
-    # -- decoding
-
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes of the tokens, in which characters that tokens split are whole again."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 def doubtful(data: bytes) -> bool:
     """Whether three bytes in a row are found twice, so that one token could be made in two places."""
@@ -176,7 +179,12 @@ def readable(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _decoder(content: bytes) -> Decoder:
+    return Decoder(read_ranks(content))
+
+
+@lru_cache(maxsize=1)
 def _codec(content: bytes, pattern: str) -> Codec:
     return Codec(read_ranks(content), pattern)
 
@@ -218,7 +226,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     return told.select(*others(told, "_encoded"), "_encoded.*")
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with decoded, the bytes of its ids; missing ids give missing bytes, none empty ones.
 
     ``decoded_text`` makes them readable. An id outside the vocabulary is an error.
@@ -227,9 +235,9 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
 
     @F.arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(content.value, pattern)
+        decoder = _decoder(content.value)
         for batch in batches:
-            found = pa.array([codec.decode(v.as_py()) if v.is_valid else None for v in batch], pa.binary())
+            found = pa.array([decoder.decode(v.as_py()) if v.is_valid else None for v in batch], pa.binary())
             del batch
             give_back()
             yield found

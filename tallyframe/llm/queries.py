@@ -389,5 +389,5 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
 
     ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    told = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    told = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return told.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -115,7 +115,7 @@ def test_cut_lists_of_ids_stay_readable(spark, codec, ranks_path):
     ids = codec.encode(text)
     assert codec.decode(ids).decode() == text
     cut = spark.createDataFrame([(bytearray(ids[:k]),) for k in range(0, len(ids) + 1, 4)] + [(None,)], "ids binary")
-    rows = bpe.decode(cut, ranks_path, PATTERN).withColumn("t", bpe.decoded_text(F.col("decoded"))).collect()
+    rows = bpe.decode(cut, ranks_path).withColumn("t", bpe.decoded_text(F.col("decoded"))).collect()
     assert rows[-1]["decoded"] is None and rows[-1]["t"] is None
     for k, row in enumerate(rows[:-1]):
         assert text.encode().startswith(bytes(row["decoded"])) and text.startswith(row["t"].rstrip("�")), k
@@ -140,11 +140,11 @@ def test_memory_of_pieces_is_bounded(ranks_path, plain, monkeypatch):
 
 def test_awkward_rows(spark, awkward, nothing, ranks_path, plain):
     clashing = awkward.withColumns({"ids": F.lit("x"), "N_tokens": F.lit(0), "decoded": F.lit(None)})
-    told = bpe.decode(bpe.encode(clashing, ranks_path, PATTERN, places=True), ranks_path, PATTERN)
+    told = bpe.decode(bpe.encode(clashing, ranks_path, PATTERN, places=True), ranks_path)
     rows = told.collect()
     assert len(rows) == awkward.count() and sorted(c.lower() for c in told.columns) == sorted({c.lower() for c in told.columns})
     for row in rows:
         text = row["text"] or ""
         assert numbers(row["ids"]) == plain.encode_ordinary(text) and row["n_tokens"] == len(row["starts"]) == len(row["ends"])
         assert bytes(row["decoded"]) == text.encode()
-    assert bpe.decode(bpe.encode(nothing, ranks_path, PATTERN), ranks_path, PATTERN).count() == 0
+    assert bpe.decode(bpe.encode(nothing, ranks_path, PATTERN), ranks_path).count() == 0
