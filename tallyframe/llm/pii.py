@@ -43,21 +43,26 @@ SYLLABLES = {
 NAME_SYLLABLES = 5
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# Java's matcher goes one call deeper with each turn of a repeated group, unless the group is possessive (+ at its end):
+# every repetition here is one of those, of a class of characters, or has a small bound.
 #: Parts of a name: words with inner capitals, hyphens and apostrophes, but without a genitive's; initials; what stands before a word.
-_WORD = r"(?:\p{Ll}{1,2}['’])?\p{Lu}(?:[\p{L}\p{M}]+|(?=['’-]\p{L}{2}))(?:(?!['’]s(?!\p{L}))['’-][\p{L}\p{M}]+)*"
-_INITIAL = r"(?:\p{Lu}\.-?)+|\p{Lu}(?=\h+\p{Lu}\p{L})"
-_BEFORE = r"(?:(?:van|von|vom|de|der|den|del|della|di|da|do|dos|das|du|la|las|le|los|el|al|bin|ibn|ter|ten|zu|zum|zur)\h+)*"
+_WORD = r"(?:\p{Ll}{1,2}['’])?\p{Lu}(?:[\p{L}\p{M}]+|(?=['’-]\p{L}{2}))(?:(?!['’]s(?!\p{L}))['’-][\p{L}\p{M}]+)*+"
+_INITIAL = r"(?:\p{Lu}\.-?)++|\p{Lu}(?=\h+\p{Lu}\p{L})"
+_BEFORE = r"(?:(?:van|von|vom|de|der|den|del|della|di|da|do|dos|das|du|la|las|le|los|el|al|bin|ibn|ter|ten|zu|zum|zur)\h++)*+"
 _PART = rf"{_BEFORE}(?:{_WORD}|{_INITIAL})"
-_TITLES = "(?:(?:%s)\\.?\\h+)+" % "|".join(t for g in TITLES.values() for t in g)
-#: What is looked for, in this order at each place.
+_TITLES = "(?:(?:%s)\\.?\\h++){1,5}" % "|".join(t for g in TITLES.values() for t in g)
+#: Words in a name, and labels in a host name before the last: what goes beyond isn't part of it.
+NAME_WORDS, LABELS = 8, 126
+#: What is looked for, in this order at each place. An email begins where no earlier character could be part of it, or behind
+#: another entity, so that each run of such characters is looked at once.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": rf"(?:\G|(?<![A-Za-z0-9._+-]))[A-Za-z0-9._+-]++@(?:[A-Za-z0-9-]{{1,63}}\.){{1,{LABELS}}}[A-Za-z]{{2,63}}",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": rf"(?<!\p{{L}}){_TITLES}{_PART}(?:\h+(?!{_TITLES}){_PART})*",
+    "name": rf"(?<!\p{{L}}){_TITLES}{_PART}(?:\h++(?!{_TITLES}){_PART}){{0,{NAME_WORDS - 1}}}",
 }
 # Back references are counted anew in the whole, so separators are spelled out there.
 ANY = "|".join(
@@ -77,6 +82,8 @@ HINT = "[0-9@+%s](?:(?<=@)|(?<=\\+)[0-9]|(?<=[0-9])(?:[0-9]{2}|[0-9]?\\.[0-9])|%
 SECRET_HINT = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32}|[0-9A-F]{32})"
 #: Values with another try that are looked up within the expression; with more, texts are joined with theirs.
 FEW = 500
+#: A set of numbers is crowded if more than one in so many of it is an original.
+CROWDED = 10
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -260,7 +267,7 @@ def found_in(text: Column) -> Column:
     words = "array<struct<word: string, canon: string>>"
 
     def of(first: Column) -> Column:
-        known = F.flatten(F.transform(F.filter(first, lambda v: v.rlike(TITLE)), _words))
+        known = F.flatten(F.transform(F.array_distinct(F.filter(first, lambda v: v.rlike(TITLE))), _words))
         return let(known, lambda k: let(F.struct(first.alias("first"), k.alias("known"), bare(k).alias("more")), items))
 
     def bare(known: Column) -> Column:
@@ -288,14 +295,39 @@ def canons(found: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(found["items"], lambda i: i["words"]["canon"])))
 
 
+def _space(canon: Column) -> tuple[Column, Column]:
+    """The name of the set that a number's surrogate comes from, null for what isn't a number, and the size of the set.
+
+    A permutation keeps its type, its length and the first digit of a country.
+    """
+    kind, same = F.split_part(canon, F.lit(":"), F.lit(1)), F.regexp_replace(canon, "^[a-z]+:", "")
+    lead = F.when(same.startswith("+"), F.substring(same, 1, 2)).otherwise("")
+    free = F.length(same) - F.when(kind == "card", 1).otherwise(F.length(lead))
+    name = F.when(kind == "ip", "ip").when(kind.isin("card", "phone", "id"), F.concat_ws("/", kind, lead, F.length(same).cast("string")))
+    return name, F.when(kind == "ip", F.lit(2.0**32)).otherwise(F.pow(F.lit(10.0), free))
+
+
+def crowded(known: DataFrame) -> list[str]:
+    """The sets of numbers of which ``known`` (canon) holds more than one in ``CROWDED``; a type, a length and a digit each, so a few hundred at most."""
+    name, size = _space(F.col("canon"))
+    full = known.groupBy(name.alias("space")).agg(F.count("*").alias("n"), F.max(size).alias("size"))
+    return [r["space"] for r in full.filter(f"space is not null and n * {CROWDED} > size").collect()]
+
+
 def retries(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     """(canon, tries) of the entities whose first surrogate isn't theirs alone, or is an entity itself; a table.
 
     Values are compared as written out, that is by canonical form. Of several with
-    one surrogate the least keeps it.
+    one surrogate the least keeps it. Numbers of a set of which they fill more than one in ``CROWDED`` keep their
+    first surrogate: these are distinct, as they come from a permutation of the set, but some
+    are other originals, which can't be helped where there is little else. Elsewhere each round leaves
+    a fifth or less of the collisions; names and mailboxes draw from sets that grow or are vast.
     """
     values = docs.select(F.explode(canons(found_in(quoted(text_col).cast("string")))).alias("canon"))
     known = stored(values.distinct(), "pii-entities")
+    full = crowded(known)
+    if full:
+        known = stored(known.filter(~F.coalesce(_space(F.col("canon"))[0].isin(full), F.lit(False))), "pii-entities")
     made = stored(known.select("canon", surrogate(F.col("canon"), F.lit(0), key).alias("made"), F.lit(0).alias("tries")), "pii-surrogates")
     while True:
         shared = made.groupBy("made").agg(F.min("canon").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -332,12 +364,15 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the entities of the text replaced; ``n_entities`` says how many.
 
     The same entity gets the same surrogate wherever it is, distinct ones distinct
-    surrogates, and none gets one that is an entity of ``docs``. Titles keep their
+    surrogates, and none gets one that is an entity of ``docs``, but for numbers so short that ``docs`` hold a tenth of
+    all there are (see ``retries``). Titles keep their
     gender and names their script and number of words; numbers keep their length,
     separators and check sum. Family and given names are entities of their own, so people keep theirs
     under any title, and the words of a titled name are replaced wherever they are alone in the same text; but
-    a given name gets one surrogate per gender of the titles, and the last word counts as the family name. A missing text stays missing. Rows and other columns stay as
-    they are; an n_entities of ``docs`` gives way.
+    a given name gets one surrogate per gender of the titles, and the last word counts as the family name. Names have up to five titles
+    and eight words, hosts up to 126 labels of 63 characters; what goes beyond stays as it is. Texts may be of any length: time grows
+    with it, and with the distinct titled names of a text times its entities. A missing text stays missing. Rows, also repeated ones, and other columns stay as
+    they are; an n_entities of ``docs`` gives way. No rows in, no rows out.
     """
     text = quoted(text_col).cast("string")
     name = docs.select(quoted(text_col)).columns[0]

@@ -163,6 +163,53 @@ def test_what_is_found_in_the_given_documents_goes(spark):
         assert r["n_entities"] == len(plain.findall(old[r["doc_id"]]))
 
 
+MILLION = 1_000_000
+#: Each of these, or a few, is an entity: there are a fiftieth as many.
+DENSE = ("a@b.cc ", "1.2.3.4 ", "Mr Abcd, ", "4845 ", "Mr ", "a@", "22 ", "+1", "Mr. ", "Dr. ")
+#: The inner part of each repetition, behind what leads into it.
+REPEATED = [
+    ("", "a", ""), ("", "a", "@x.com"), ("a@", "b.", "com"), ("a@", "b", ".com"), ("", "a@", ""), ("a@b.", "c", ""), ("a@b", "-", ".com"), ("", "a@b.cc ", ""),
+    ("", "0", ""), ("", "ab12", "z"), ("", "ab12", ""), ("", "AB", "."), ("", "1.", "1"), ("", "1.2.3.4 ", ""), ("", "4845 ", ""), ("+1 ", "22 ", ""), ("", "+1", ""),
+    ("", "123-45-", ""), ("(212) ", "555-", ""), ("", "Mr ", "Smith"), ("Mr ", "van ", "Dam"), ("Mr ", "Abcd ", ""), ("Mr A", "b", ""), ("Mr Ab", "-Ab", ""),
+    ("Mr ", "A.", "Smith"), ("Mr ", "A.-", ""), ("Mr ", "A ", "Smith"), ("Mr", " ", "Smith"), ("Mr ", "Ab’", "x"), ("Mr. ", "Dr. ", "X"), ("", "Mr Abcd, ", ""),
+    ("Mr \U00010400\U00010428", "a\U00010428", ""),
+]
+
+
+def test_a_million_repetitions(spark):
+    """No pattern goes deep or takes the square of a text's length; the text around what is found stays."""
+    cases = [(i, b, x, a, MILLION // (50 if x in DENSE else 1)) for i, (b, x, a) in enumerate(REPEATED)]
+    docs = spark.createDataFrame(cases, "doc_id long, b string, x string, a string, n int").repartitionByRange(len(cases), "doc_id")
+    docs = docs.select("doc_id", F.concat("b", F.expr("repeat(x, n)"), "a", F.lit(" end Mr Xu")).alias("text"))
+    new = pii.replace(docs, "k").select("doc_id", "n_entities", F.substring("text", -40, 40).alias("end")).collect()
+    assert len(new) == len(cases)
+    for r in new:
+        assert r["n_entities"] >= 1 and " end Mr " in r["end"] and not r["end"].endswith(" Xu"), REPEATED[r["doc_id"]]
+
+
+def test_bounds_of_names_and_hosts(spark):
+    words = " ".join(["Aa"] * 8)
+    new = told(spark, [f"Mr {words} Bb Cc", "a@" + "b." * 126 + "com", "a@" + "b." * 127 + "com", "a@" + "y" * 64 + ".com", "x" * 300 + "@mail.com"])
+    assert new[0][0].endswith(" Bb Cc") and "Aa" not in new[0][0] and new[0][1] == 1
+    assert [n for _, n in new[1:]] == [1, 0, 0, 1] and "xxx" not in new[4][0]
+
+
+def test_an_email_right_behind_another_entity(spark):
+    (new, n), = told(spark, ["+33 6 12 34 56 78abc@x.com and a@b.com..or"])
+    assert n == 3 and "abc" not in new and new.endswith("..or")
+
+
+def test_a_crowded_set_of_numbers(spark):
+    """Three fifths of all numbers of five digits: distinct surrogates, and an end."""
+    docs = spark.range(60_000).select(F.col("id"), F.format_string("+1 %d %02d %02d", F.floor(F.col("id") / 10000), F.floor(F.col("id") / 100) % 100, F.col("id") % 100).alias("text"))
+    docs = docs.unionByName(spark.range(3).select(F.lit(-1).alias("id"), F.format_string("+1 (017) 555-771%d", "id").alias("text")))
+    known = docs.select(F.explode(pii.canons(pii.found_in(F.col("text")))).alias("canon"))
+    assert pii.crowded(known) == ["phone/+1/7"]
+    new = pii.replace(docs, "k").select("text").distinct()
+    assert new.count() == 60_003
+    assert new.filter(F.col("text").rlike(r"^\+1 [0-9] [0-9]{2} [0-9]{2}$")).count() == 60_000
+
+
 def test_main_path_is_native(documents):
     plan = pii.replace(documents, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
