@@ -1,20 +1,20 @@
 """History tables: profiles, logins, data sets, reports, predictions, notifications.
 
-The tables are Parquet folders with fixed columns, in versions. Appends add files
-to the current version; updates and deletes give the new content of the table as a
-DataFrame, which ``replace`` writes as the next version.
+The tables are Parquet folders with fixed columns, named by snapshots (``store``). Appends add
+a folder; updates and deletes give the new content of a table as a DataFrame, which
+``change`` or ``replace`` puts in the place of the old one.
 """
 
 from __future__ import annotations
 
 import json
-import re
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.kpi import clean_email, display_name
 from ..functions.roles import quoted
+from . import store
 
 # Columns, types and defaults of the tables.
 TABLES = {
@@ -81,40 +81,38 @@ def new_rows(df: DataFrame, table: str) -> DataFrame:
 
 
 def current_version(spark: SparkSession, table: str, folder: str) -> int | None:
-    """The highest version that has files; None before the first rows."""
-    try:
-        files = spark.read.parquet(f"{folder}/{table}").inputFiles()
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-    return max(int(re.search(r"/version=(\d+)/[^/]*$", f)[1]) for f in files)
+    """How often the table was rewritten; None before the first rows."""
+    state = store.latest(spark, folder)[1]
+    return state[table]["version"] if table in state else None
 
 
 def append(df: DataFrame, table: str, folder: str) -> None:
-    """Add rows to the current version of the table below ``folder``."""
-    version = current_version(df.sparkSession, table, folder) or 0
-    new_rows(df, table).write.mode("append").parquet(f"{folder}/{table}/version={version}")
+    """Add rows to the table below ``folder``; several jobs may do so at once."""
+    store.append(new_rows(df, table), table, folder)
 
 
-def replace(df: DataFrame, table: str, folder: str) -> None:
-    """Make ``df``, which may be read from the table, its content.
+def replace(df: DataFrame, table: str, folder: str, since: int | None = None) -> None:
+    """Make ``df``, which may be read from the table, its content; see ``store.replace`` for ``since``.
 
-    It is written as the next version, whose files appear when the job commits;
-    readers see the old version until then, and a job that fails leaves it current.
+    Readers see the old content until the new one is whole, also if a job stops halfway.
     """
-    version = current_version(df.sparkSession, table, folder)
-    following = 0 if version is None else version + 1
-    # What a failed job left in that folder gives way.
-    new_rows(df, table).write.mode("overwrite").parquet(f"{folder}/{table}/version={following}")
+    store.replace(new_rows(df, table), table, folder, since)
+
+
+def change(spark: SparkSession, table: str, folder: str, how: Callable[[DataFrame], DataFrame]) -> None:
+    """Rewrite the table by ``how``; what other jobs add meanwhile is worked on too."""
+    store.rewrite(spark, folder, {table: (table_schema(table), lambda rows: new_rows(how(rows), table))})
 
 
 def read_table(spark: SparkSession, table: str, folder: str) -> DataFrame:
-    """The current version of the table."""
-    version = current_version(spark, table, folder)
-    if version is None:
-        return spark.createDataFrame([], table_schema(table))
-    return spark.read.schema(table_schema(table)).parquet(f"{folder}/{table}/version={version}")
+    """The table as of the last snapshot."""
+    return store.frame(spark, store.latest(spark, folder)[1], table, table_schema(table), folder)
+
+
+def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All tables as of one snapshot."""
+    state = store.latest(spark, folder)[1]
+    return {t: store.frame(spark, state, t, table_schema(t), folder) for t in TABLES}
 
 
 def catalogue_row(df: DataFrame, name: str, user_id: Column | None = None) -> DataFrame:
@@ -276,6 +274,18 @@ def cascade_delete(child: DataFrame, deleted: DataFrame) -> DataFrame:
     return child.join(deleted.select(F.col("id").alias("user_id")), "user_id", "left_anti").select(*child.columns)
 
 
+#: The tables whose rows belong to a profile.
+CHILDREN = ("login_history", "datasets", "reports", "predictions", "notifications")
+
+
+def delete_profiles(spark: SparkSession, folder: str, deleted: DataFrame) -> None:
+    """Delete profiles (column id) and all their rows in the stored tables, which change in one step."""
+    gone = deleted.select(F.col("id").cast("string").alias("id")).distinct()
+    changes = {t: (table_schema(t), lambda rows: cascade_delete(rows, gone)) for t in CHILDREN}
+    changes["profiles"] = (table_schema("profiles"), lambda rows: rows.join(gone, "id", "left_anti"))
+    store.rewrite(spark, folder, changes)
+
+
 def owner_delete(table: DataFrame, requests: DataFrame) -> DataFrame:
     """The rows that remain; a request removes a row only if it names its owner."""
     return table.join(requests.select("id", "user_id"), ["id", "user_id"], "left_anti").select(*table.columns)

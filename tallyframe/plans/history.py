@@ -176,6 +176,71 @@ def cascade_delete(spark, folder):
     return history.cascade_delete(logins(spark, folder), deleted.select(F.col("c_custkey").alias("id")))
 
 
+ORDERED_SQL = {
+    "datasets": "SELECT o_custkey AS user_id, 'orders-' || o_orderkey AS name FROM orders",
+    "reports": "SELECT o_custkey AS user_id, 'Order ' || o_orderkey AS title FROM orders WHERE o_orderstatus = 'F'",
+    "predictions": "SELECT o_custkey AS user_id, 'Churn Prediction' AS prediction_type, 'Random Forest Classifier' AS model_name, "
+    "o_custkey % 1000 / 8 AS accuracy FROM orders WHERE o_orderstatus = 'O'",
+}
+
+
+def from_orders(spark, folder):
+    """Rows of the tables that orders stand in for."""
+    orders = table(spark, folder, "orders")
+    user, key = F.col("o_custkey").alias("user_id"), F.col("o_orderkey").cast("string")
+    return {
+        "datasets": orders.select(user, F.concat(F.lit("orders-"), key).alias("name")),
+        "reports": orders.filter("o_orderstatus = 'F'").select(user, F.concat(F.lit("Order "), key).alias("title")),
+        "predictions": orders.filter("o_orderstatus = 'O'").select(
+            user, F.lit("Churn Prediction").alias("prediction_type"), F.lit("Random Forest Classifier").alias("model_name"),
+            (F.col("o_custkey") % 1000 / 8).alias("accuracy"),
+        ),
+    }
+
+
+@query(
+    "cascade_all_tables",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", COUNT(*) AS rows, COUNT(DISTINCT user_id) AS users FROM ({sql})
+            WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"""
+        for name, sql in {
+            **ORDERED_SQL, "login_history": f"SELECT user_id FROM {LOGINS_SQL}", "notifications": f"SELECT user_id FROM {NOTIFICATIONS_SQL}",
+            "profiles": f"SELECT id AS user_id FROM {PROFILES_SQL}",
+        }.items()
+    ),
+)
+def cascade_all_tables(spark, folder):
+    """Profiles deleted with all their rows in the stored tables, which are read back as of one snapshot."""
+    store = new_folder(spark, "history")
+    history.append(profiles(spark, folder), "profiles", store)
+    for name, rows in {**from_orders(spark, folder), "login_history": logins(spark, folder), "notifications": notifications(spark, folder)}.items():
+        history.append(rows, name, store)
+    deleted = table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'")
+    history.delete_profiles(spark, store, deleted.select(F.col("c_custkey").alias("id")))
+    counts = [
+        rows.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.count_distinct("id" if name == "profiles" else "user_id").alias("users"))
+        for name, rows in history.read_tables(spark, store).items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query(
+    "report_notifications",
+    f"SELECT user_id, 'Report Saved' AS title, title || ' has been saved.' AS message, 'info' AS type FROM ({ORDERED_SQL['reports']})",
+)
+def report_notifications(spark, folder):
+    return history.saved_notifications(from_orders(spark, folder)["reports"])
+
+
+@query(
+    "model_notifications",
+    f"""SELECT user_id, prediction_type || ' Complete' AS title, model_name || ', score ' || format('{{:,.1f}}', accuracy) AS message, 'success' AS type
+        FROM ({ORDERED_SQL['predictions']})""",
+)
+def model_notifications(spark, folder):
+    return history.prediction_notifications(from_orders(spark, folder)["predictions"])
+
+
 # Requests name an owner; where the value is high they name the wrong one.
 REQUESTS_SQL = """(SELECT event_id AS id, CASE WHEN value > 50 THEN user_id + 1 ELSE user_id END AS user_id
     FROM events WHERE event_type = 'click')"""
@@ -198,7 +263,7 @@ def written_back(spark, folder, change):
     """The notifications after a change of the stored table, with ids as in the given one."""
     store = new_folder(spark, "history")
     history.append(notifications(spark, folder), "notifications", store)
-    history.replace(change(history.read_table(spark, "notifications", store)), "notifications", store)
+    history.change(spark, "notifications", store, change)
     after = history.read_table(spark, "notifications", store)
     ids = {c: F.col(c).cast("long") for c in ("id", "user_id")}
     return after.withColumns({**ids, "created_at": F.col("created_at").cast("timestamp_ntz")})
