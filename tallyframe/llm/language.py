@@ -104,7 +104,7 @@ class Network:
 
     def probabilities(self, x: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         """For windows of bytes, by table look-up instead of products."""
-        # Filters of all widths start at every place where the widest fits; the few last places of the narrower aren't looked at.
+        # Filters of all widths start together at every place where the widest fits, the narrower ones at the few last places by themselves.
         n, widest = x.shape[1] - max(WIDTHS) + 1, max(WIDTHS)
         bias = np.concatenate([self.w[f"bias{k}"] for k in WIDTHS])
         result = np.empty((len(x), len(self.labels)), np.float32)
@@ -115,7 +115,12 @@ class Network:
             for j in range(2, widest, 2):
                 more = tables[j // 2].take(pairs[:, j : j + n], axis=0)
                 value[:, :, -more.shape[2] :] += more
-            pooled = np.maximum(value.max(axis=1) + bias, 0)
+            best, ends = value.max(axis=1), self.w["emb"][some[:, n:]].reshape(len(some), -1)
+            for j, k in enumerate(WIDTHS):
+                for last in range(widest - k):
+                    own = best[:, j * FILTERS : (j + 1) * FILTERS]
+                    np.maximum(own, ends[:, last * DIM : (last + k) * DIM] @ self.w[f"conv{k}"], out=own)
+            pooled = np.maximum(best + bias, 0)
             result[i : i + AT_ONCE] = softmax(pooled @ self.w["out"] + self.w["out_bias"])
         return result
 
@@ -141,7 +146,11 @@ def is_held_out(ident: Column) -> Column:
 
 
 def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Labels and windows from about ``rows`` labelled texts in equal parts by language, chosen by a hash of the id."""
+    """Labels and windows from about ``rows`` labelled texts in equal parts by language, chosen by a hash of id and text.
+
+    Windows that are alike count once, so copies bring no more than one text does; at most twice the windows
+    of ``rows`` texts come to the driver, those of the least hashes.
+    """
     ident, lang = quoted(id_col), quoted(lang_col).cast("string")
     known = docs.select(ident.alias("_id"), lang.alias("_lang"), quoted(text_col).cast("string").alias("_text"))
     known = known.filter(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & ~is_held_out(F.col("_id")))
@@ -151,10 +160,11 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, int)
     each, spread = max(1, rows // len(sizes)), 1 << 30
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["_lang"], int(min(1.0, each / r["n"]) * spread) + 1)])
-    chosen = known.filter(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(spread)) < F.coalesce(share[F.col("_lang")], F.lit(0)))
+    chosen = known.filter(F.pmod(F.xxhash64("_id", "_text", F.lit("sample")), F.lit(spread)) < F.coalesce(share[F.col("_lang")], F.lit(0)))
     starts = [F.greatest(F.floor(F.length("_text") * i / WINDOWS_EACH), F.lit(0)).cast("int") + 1 for i in range(WINDOWS_EACH)]
     parts = chosen.filter("_text is not null").select("_lang", F.explode(F.array_distinct(F.array(*[F.substring(F.col("_text"), s, F.lit(WINDOW)) for s in starts]))).alias("t"))
-    found = sorted((r["_lang"], r["t"]) for r in parts.filter("t != ''").collect())
+    few = parts.filter("t != ''").distinct().orderBy(F.xxhash64("_lang", "t"), "_lang", "t").limit(2 * rows * WINDOWS_EACH)
+    found = sorted((r["_lang"], r["t"]) for r in few.collect())
     labels = sorted({lang for lang, _ in found})
     x, whose, _ = windows([t.encode("utf-8", "surrogatepass")[:WINDOW] for _, t in found]) if found else (np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), None)
     return labels, x, np.array([labels.index(found[i][0]) for i in whose], int)
@@ -204,7 +214,8 @@ def identify(
     """``docs`` with held_out, lang_pred and score (0 to 1); learns from ``docs`` unless a network is given.
 
     Only ids, labels and texts of rows that aren't held out are learned from, and only
-    the text goes into a prediction. Columns of ``docs`` with the names that are added give way.
+    the text goes into a prediction. All windows of a text count, by their bytes, however long it is. Rows
+    that repeat are told alike; an empty table stays empty. Columns of ``docs`` with the names that are added give way.
     """
     network = network or fit(docs, id_col, text_col, lang_col)
     kept = [quoted(c) for c in docs.columns if c.lower() not in ("held_out", "lang_pred", "score")]

@@ -44,18 +44,56 @@ def test_no_rows_and_nothing_to_learn_from(nothing, awkward):
 
 
 def test_look_ups_equal_products():
+    """At all places of a window, the last ones of the narrower filters among them."""
     network = language.Network(["a", "b", "c"])
     x = np.random.default_rng(2).integers(0, 256, (70, language.WINDOW), dtype=np.uint8)
-    # Without the last places of the narrower filters, which the look-ups leave out.
-    widest = max(language.WIDTHS)
-    pooled = []
-    e = network.w["emb"][x]
-    for k in language.WIDTHS:
-        at = range(x.shape[1] - widest + 1)
-        value = np.stack([e[:, i : i + k].reshape(len(x), -1) @ network.w[f"conv{k}"] for i in at], axis=1)
-        pooled.append(value.max(axis=1) + network.w[f"bias{k}"])
-    want = language.softmax(np.maximum(np.concatenate(pooled, axis=1), 0) @ network.w["out"] + network.w["out_bias"])
-    assert np.allclose(network.probabilities(x, network.tables()), want, atol=1e-4)
+    at = network._forward(x)[1]
+    assert any((best > language.WINDOW - max(language.WIDTHS)).any() for best in at)
+    assert np.allclose(network.probabilities(x, network.tables()), network._forward(x)[3], atol=1e-5)
+    # A window whose only high place for width 2 is its very end.
+    network.w["emb"][:] = 0
+    network.w["emb"][7] = 1
+    network.w["conv2"][:] = 1
+    x = np.zeros((2, language.WINDOW), np.uint8)
+    x[1, -2:] = 7
+    assert np.allclose(network.probabilities(x, network.tables()), network._forward(x)[3], atol=1e-5)
+
+
+def plain_scores(network, text):
+    """The mean over all windows, weighed by bytes, of the outputs by plain products."""
+    data = text.encode()
+    total = np.zeros(len(network.labels))
+    for i in range(0, max(1, len(data)), language.WINDOW):
+        some = data[i : i + language.WINDOW]
+        x = np.frombuffer(some.ljust(language.WINDOW, b"\0"), np.uint8)
+        pooled = []
+        for k in language.WIDTHS:
+            values = [network.w["emb"][x[p : p + k]].ravel() @ network.w[f"conv{k}"] for p in range(language.WINDOW - k + 1)]
+            pooled.append(np.maximum(np.max(values, axis=0) + network.w[f"bias{k}"], 0))
+        out = np.concatenate(pooled) @ network.w["out"] + network.w["out_bias"]
+        total += max(1, len(some)) * np.exp(out - out.max()) / np.exp(out - out.max()).sum()
+    return total / total.sum()
+
+
+def test_predictions_equal_plain_convolution(documents, awkward):
+    network = language.fit(documents)
+    some = documents.select("doc_id", "text", "lang").filter("length(text) < 3000").limit(60)
+    rows = language.identify(some.unionByName(awkward.select("doc_id", "text", "lang").filter("length(text) < 3000")), network=network).collect()
+    assert len(rows) > 60
+    for r in rows:
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        want = plain_scores(network, r["text"])
+        assert r["lang_pred"] == network.labels[want.argmax()] and abs(r["score"] - want.max()) < 1e-4
+
+
+def test_copies_of_a_row_are_learned_from_once(spark, documents):
+    one = documents.filter(~language.is_held_out(F.col("doc_id")) & F.col("lang").isNotNull()).limit(1)
+    hot = one.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(30_000)))).drop("_n")
+    labels, x, y = language.training_windows(documents.unionByName(hot), "doc_id", "text", "lang", rows=200)
+    assert len(np.unique(x, axis=0)) == len(x) <= 2 * 200 * language.WINDOWS_EACH
+    assert language.training_windows(hot, "doc_id", "text", "lang")[1].shape[0] <= language.WINDOWS_EACH
 
 
 def test_gradients():
