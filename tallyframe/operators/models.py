@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+import uuid
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.coerce import as_number, drop_non_numbers
 from ..functions.kpi import fmt_currency, risk_level
 from ..functions.roles import MissingRole, find_role, need_role, numeric_columns, quoted, text_columns
+from ..session import new_folder
+from . import store
 from .encode import label_encode
 from .profile import impute_median, varied_columns
 from .reports import MESSAGES, MIN_CHURN_ROWS, MIN_CLV_ROWS, report_head
@@ -93,14 +99,73 @@ def arranged(df: DataFrame, rows: int, per_part: int, key: str) -> DataFrame:
     return df.repartition(rows // per_part + 1, key).sortWithinPartitions(key)
 
 
+def written(features: Features) -> Features:
+    """The features as a table in the shared folder, so that fitting and scoring don't work them out again."""
+    frame, folder = features.frame, new_folder(features.frame.sparkSession, "features")
+    frame.write.parquet(folder)
+    return features._replace(frame=frame.sparkSession.read.schema(frame.schema).parquet(folder))
+
+
+# -- kept models ---------------------------------------------------------------------
+
+
+def content_key(df: DataFrame, exclude: Sequence[str], *settings) -> str:
+    """A name for what a model is made of: the numbers and texts of ``df`` in any order, and its settings."""
+    names = sorted({*numeric_columns(df, exclude), *text_columns(df, exclude)})
+    columns = [quoted(c) for c in names]
+    # Two sums of independent hashes, so that swapping values between rows can't go unseen.
+    hashes = [F.xxhash64(F.lit(salt), *columns).cast("decimal(38)") for salt in (1, 2)]
+    whole = df.agg(F.count(F.lit(1)), *[F.sum(h) for h in hashes]).first()
+    kinds = [(f.name, f.dataType.simpleString()) for f in df.schema if f.name in names]
+    return hashlib.md5(json.dumps([kinds, list(map(str, whole)), settings]).encode()).hexdigest()
+
+
+def kept(spark: SparkSession, folder: str | None, name: Callable[[], str], fit: Callable[[str | None], dict]) -> dict:
+    """What ``fit`` found out, once for each name below ``folder``; anew without a folder.
+
+    ``fit`` gets a folder of its own for what is large. The file that names it comes last and whole, so a
+    model that is found is complete; of two jobs that fit at once, one's counts.
+    """
+    if folder is None:
+        return fit(None)
+    path = f"{folder}/models/{name()}.json"
+    text = store.read_text(spark, path)
+    if text is None:
+        store.publish(spark, json.dumps(fit(f"{folder}/models/{uuid.uuid4().hex}")), path)
+        text = store.read_text(spark, path)
+    return json.loads(text)
+
+
 # -- churn ---------------------------------------------------------------------------
 
 
-class ChurnModel(NamedTuple):
-    scores: DataFrame  # every row with churn_probability, predicted_churn, risk_level
-    importance: DataFrame  # (feature, importance), most important first
-    report: DataFrame  # precision, recall, F1, support per class on the test rows
-    accuracy: float | None  # percent on the test rows; None if there are none
+class ChurnModel:
+    """A fitted forest: what is known of it, and the scores of all rows once they are asked for."""
+
+    def __init__(self, spark: SparkSession, facts: dict, score: Callable[[], DataFrame]) -> None:
+        self._spark, self._facts, self._score = spark, facts, score
+        self.folder = facts["forest"]  # where it is kept; None if it isn't
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """Every row with churn_probability, predicted_churn, risk_level."""
+        return self._score()
+
+    @property
+    def importance(self) -> DataFrame:
+        """(feature, importance), most important first."""
+        return self._spark.createDataFrame([tuple(r) for r in self._facts["importance"]], "feature string, importance double")
+
+    @property
+    def report(self) -> DataFrame:
+        """Precision, recall, F1, support per class on the test rows."""
+        schema = "class string, precision double, recall double, f1 double, support long, accuracy double"
+        return self._spark.createDataFrame([tuple(r) for r in self._facts["report"]], schema)
+
+    @property
+    def accuracy(self) -> float | None:
+        """Percent on the test rows; None if there are none."""
+        return self._facts["report"][0][-1]
 
 
 def test_share(rows: int) -> float:
@@ -142,27 +207,57 @@ def predict_churn(
     trees: int = TREES,
     depth: int = TREE_DEPTH,
     training_rows: int = TRAINING_ROWS,
+    keep: str | None = None,
 ) -> ChurnModel:
     """A random forest for 'churn is above 0', with both classes weighing the same.
 
     The forest learns from about ``training_rows`` of the rows that aren't held
     out, half of each class where both have as many; the held-out ones are all tested, and all rows are scored.
+    With ``keep``, a shared folder, it is fitted once for the same data and settings and loaded from then on.
     """
-    target = need_role(df, "churn", roles)
-    known = drop_non_numbers(df, target).persist(KEPT)
-    features = feature_frame(known, target, exclude, 2, "churn_features")
-    rows, churned = known.agg(F.count(F.lit(1)), F.count_if(quoted(target) > 0)).first()
-    if churned in (0, rows):
-        raise NotReady(MESSAGES["churn_classes"])
-    if rows < MIN_CHURN_ROWS:
-        raise NotReady(MESSAGES["churn_rows"])
-
+    spark, target = df.sparkSession, need_role(df, "churn", roles)
+    known = drop_non_numbers(df, target)
+    made: dict = {}
+
+    def features() -> Features:
+        if "features" not in made:
+            made["features"] = written(feature_frame(known.persist(KEPT), target, exclude, 2, "churn_features"))
+            known.unpersist()
+        return made["features"]
+
+    def fit(folder: str | None) -> dict:
+        rows, churned = known.agg(F.count(F.lit(1)), F.count_if(quoted(target) > 0)).first()
+        ready = features()
+        if churned in (0, rows):
+            raise NotReady(MESSAGES["churn_classes"])
+        if rows < MIN_CHURN_ROWS:
+            raise NotReady(MESSAGES["churn_rows"])
+        forest, measured = fit_forest(ready, target, rows, trees, depth, training_rows)
+        made["forest"] = forest
+        if folder:
+            forest.write().save(folder)
+        weights = zip(ready.names, map(float, forest.featureImportances.toArray()))
+        return {"forest": folder, "importance": sorted(weights, key=lambda r: -r[1]), "report": [list(r) for r in measured]}
+
+    def name() -> str:
+        return "churn-" + content_key(known, exclude, target, trees, depth, training_rows)
+
+    facts = kept(spark, keep, name, fit)
+
+    def score() -> DataFrame:
+        forest = made["forest"] if "forest" in made else RandomForestClassificationModel.load(facts["forest"])
+        return forest_scores(features(), forest, [c for c in df.columns if c in features().frame.columns])
+
+    return ChurnModel(spark, facts, score)
+
+
+def fit_forest(features: Features, target: str, rows: int, trees: int, depth: int, training_rows: int) -> tuple[RandomForestClassificationModel, list]:
+    """The forest, and the rows of its report on the held-out rows."""
     label = (quoted(target) > 0).cast("int")
     ready = assembled(features).withColumn("_label", label).withColumn("_hash", value_hash([*features.names, target]))
-    kept = ready.select("_features", "_label", "_hash").persist(KEPT)
-    is_test = binary_holdout(kept, F.col("_hash"), "_label", test_share(rows))
-    known.unpersist()
-    learned = training_sample(kept.filter(~is_test), training_rows).persist(KEPT)
+    held = ready.select("_features", "_label", "_hash").persist(KEPT)
+    is_test = binary_holdout(held, F.col("_hash"), "_label", test_share(rows))
+    learned = training_sample(held.filter(~is_test), training_rows).persist(KEPT)
     sizes = {r["_label"]: r["count"] for r in learned.groupBy("_label").agg(F.sum("_weight").alias("count")).collect()}  # two rows
     total, dealt = sum(sizes.values()), learned.count()
     # Both classes get the same total weight, rows / (2 * rows of the class), in steps that add up exactly in any order.
@@ -177,25 +272,58 @@ def predict_churn(
     model = forest.fit(training)
     training.unpersist()
     learned.unpersist()
-    report = classification_metrics(model.transform(kept.filter(is_test)), "_label", "_predicted")
-    measured = report.collect()  # two rows
-    report = df.sparkSession.createDataFrame(measured, report.schema)
-    accuracy = measured[0]["accuracy"]
-    kept.unpersist()
+    measured = classification_metrics(model.transform(held.filter(is_test)), "_label", "_predicted").collect()  # two rows
+    held.unpersist()
+    return model, measured
+
 
+def forest_scores(features: Features, forest: RandomForestClassificationModel, columns: Sequence[str]) -> DataFrame:
     # Rounded first, then compared, so that what is shown decides.
     probability = F.round(vector_to_array("_probability")[1], 3)
-    scores = model.transform(ready).withColumn("churn_probability", probability).select(
-        *[quoted(c) for c in df.columns if c in features.frame.columns],
+    return forest.transform(assembled(features)).withColumn("churn_probability", probability).select(
+        *[quoted(c) for c in columns],
         "churn_probability",
         (F.col("churn_probability") >= 0.5).cast("int").alias("predicted_churn"),
         risk_level(F.col("churn_probability")).alias("risk_level"),
     )
-    importance = df.sparkSession.createDataFrame(
-        sorted(zip(features.names, map(float, model.featureImportances.toArray())), key=lambda r: -r[1]),
-        "feature string, importance double",
+
+
+def forest_table(spark: SparkSession, folder: str) -> DataFrame:
+    """(tree, node, feature, cut, left, right, churned): a kept forest as rows, a leaf having no feature.
+
+    A row goes left where its feature is at most the cut; churned is the weighted share of churned training
+    rows at the node. Nodes are numbered from 0 in each tree.
+    """
+    node, inner = F.col("nodeData"), F.col("nodeData.leftChild") >= 0
+    stats = F.col("nodeData.impurityStats")
+    return spark.read.parquet(f"{folder}/data").select(
+        F.col("treeID").alias("tree"), node["id"].alias("node"),
+        F.when(inner, node["split"]["featureIndex"]).alias("feature"),
+        F.when(inner, node["split"]["leftCategoriesOrThreshold"][0]).alias("cut"),
+        F.when(inner, node["leftChild"]).alias("left"), F.when(inner, node["rightChild"]).alias("right"),
+        (stats[1] / (stats[0] + stats[1])).alias("churned"),
     )
-    return ChurnModel(scores, importance, report, accuracy)
+
+
+def walked(rows: DataFrame, names: Sequence[str], nodes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+    """``rows`` with probability: the mean over the trees of a ``forest_table`` of churned where the row ends.
+
+    The table goes to the tasks as one value, a forest being as bounded as its training sample; rows aren't moved.
+    """
+    fields = ["node", "feature", "cut", "left", "right", "churned"]
+    trees = nodes.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("nodes"))
+    forest = trees.agg(F.collect_list("nodes").alias("forest")).scalar()
+    x = F.array(*[quoted(c).cast("double") for c in names])
+
+    def end(tree: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            side = F.when(F.get(x, tree[at]["feature"]) <= tree[at]["cut"], tree[at]["left"]).otherwise(tree[at]["right"])
+            return F.when(tree[at]["feature"].isNull(), at).otherwise(side)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step, lambda at: tree[at]["churned"])
+
+    shares = F.aggregate(F.transform("_forest", end), F.lit(0.0), lambda s, p: s + p)
+    return rows.withColumn("_forest", forest).withColumn("probability", shares / F.size("_forest")).drop("_forest")
 
 
 # -- lifetime value --------------------------------------------------------------------
@@ -260,6 +388,7 @@ class Segments(NamedTuple):
     counts: DataFrame  # rows per segment
     k: int
     passes: list[int]  # of each start
+    centres: list[list[float]]  # of the clusters, in standard units of the features
 
 
 def segment_label(rank: Column) -> Column:
@@ -287,12 +416,15 @@ def segment_users(
     exclude: Sequence[str] = (),
     restarts: int = RESTARTS,
     iterations: int = ITERATIONS,
+    keep: str | None = None,
 ) -> Segments:
     """K-means on standardised features; the best of several starts is kept.
 
-    The result holds the rows as they came, with cluster and segment.
+    The result holds the rows as they came, with cluster and segment. With ``keep``, a shared folder, centres are
+    looked for once for the same data and settings.
     """
     # The original row rides along, because features are encoded and filled in place.
+    spark = df.sparkSession
     known = df.withColumn("_row", F.struct("*")).persist(KEPT)
     encoded = label_encode(known, text_columns(df, exclude))
     candidates = numeric_columns(encoded, exclude)
@@ -306,17 +438,24 @@ def segment_users(
     if k < 2:
         raise NotReady(MESSAGES["segment_rows"])
 
-    vectors = VectorAssembler(inputCols=names, outputCol="_raw").transform(filled)
-    scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True).fit(vectors)
-    scaled = scaler.transform(vectors)
-    scaled = arranged(scaled.select("_features", value_hash(names).alias("_hash")), rows, ROWS_PER_PASS_PART, "_hash")
-    scaled = scaled.select("_features").persist(KEPT)
-    scaled.count()
-    best, passes = _best_clusters(scaled, rows, k, restarts, iterations)
-    scaled.unpersist()
+    def fit(folder: str | None) -> dict:
+        vectors = VectorAssembler(inputCols=names, outputCol="_raw").transform(filled)
+        scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True).fit(vectors)
+        scaled = scaler.transform(vectors)
+        scaled = arranged(scaled.select("_features", value_hash(names).alias("_hash")), rows, ROWS_PER_PASS_PART, "_hash")
+        scaled = scaled.select("_features").persist(KEPT)
+        scaled.count()
+        best, passes = _best_clusters(scaled, rows, k, restarts, iterations)
+        scaled.unpersist()
+        centres = [list(map(float, c)) for c in best.clusterCenters()]
+        return {"mean": list(map(float, scaler.mean)), "spread": list(map(float, scaler.std)), "centres": centres, "passes": passes}
+
+    def name() -> str:
+        return "segments-" + content_key(df, exclude, names, k, restarts, iterations)
+
+    facts = kept(spark, keep, name, fit)
     known.unpersist()
-
-    clustered = best.transform(scaler.transform(vectors))
+    clustered = filled.withColumn("cluster", nearest(names, facts["mean"], facts["spread"], facts["centres"]))
     # Clusters are ranked by revenue as it came; revenue as text by its codes.
     reference = find_role(df, "revenue", roles)
     reference = reference if reference in encoded.columns else names[0]
@@ -332,10 +471,22 @@ def segment_users(
         placed.groupBy("segment").agg(*means),
         placed.groupBy("segment").agg(F.count(F.lit(1)).alias("rows")),
         k,
-        passes,
+        facts["passes"],
+        facts["centres"],
     )
 
 
+def nearest(names: Sequence[str], mean: Sequence[float], spread: Sequence[float], centres: Sequence[Sequence[float]]) -> Column:
+    """The number of the nearest centre, the first of equal ones; there are at most eight."""
+
+    def distance(centre: Sequence[float]) -> Column:
+        parts = [F.pow((quoted(n).cast("double") - m) / (s or 1.0) - c, F.lit(2)) for n, m, s, c in zip(names, mean, spread, centre)]
+        return sum(parts[1:], parts[0])
+
+    ways = F.array(*[distance(c) for c in centres])
+    return F.transform(F.array(ways), lambda w: (F.array_position(w, F.array_min(w)) - 1).cast("int"))[0]
+
+
 def _best_clusters(scaled: DataFrame, rows: int, k: int, restarts: int, iterations: int) -> tuple[KMeansModel, list[int]]:
     """The model with the least squared distance, the first of equal ones, and the passes of each start.
 
@@ -382,8 +533,10 @@ def _in_order(row: Column, first: int) -> Column:
     return F.slice(F.array_sort(F.collect_list(row)), 1, first)["text"]
 
 
-def all_prediction_rows(df: DataFrame, generated: str, exclude: Sequence[str] = (), periods: int = 6) -> DataFrame:
-    """One row per model, with its score and main findings below the head of a report."""
+def all_prediction_rows(
+    df: DataFrame, generated: str, exclude: Sequence[str] = (), periods: int = 6, keep: str | None = None
+) -> DataFrame:
+    """One row per model, with its score and main findings below the head of a report; for ``keep`` see the models."""
     head = F.col("head")
 
     def headed(kind: str, facts: DataFrame) -> DataFrame:
@@ -391,8 +544,8 @@ def all_prediction_rows(df: DataFrame, generated: str, exclude: Sequence[str] =
         text = report_head(df.drop(*exclude), kind, generated).select("head").scalar()
         return facts.withColumn("head", text)
 
-    churn, clv = predict_churn(df, exclude=exclude), predict_clv(df, exclude=exclude)
-    segments = segment_users(df, exclude=exclude)
+    churn, clv = predict_churn(df, exclude=exclude, keep=keep), predict_clv(df, exclude=exclude)
+    segments = segment_users(df, exclude=exclude, keep=keep)
     high = churn.scores.agg(F.count_if(F.col("risk_level") == "High").alias("high"))
     forecast = forecast_fit(df).select("r2_pct", revenue_direction(df).select("trend").scalar().alias("trend"))
     score = F.round("r2_pct", 1)

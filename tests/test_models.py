@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.roles import MissingRole
 from tallyframe.operators import models
+from tallyframe.session import new_folder
 
 
 @pytest.fixture(scope="module")
@@ -211,3 +212,58 @@ def test_prediction_rows(customers):
     lines = rows["Trend Analysis"]["summary"].split("\n")
     assert [line.split(":")[0] for line in lines] == ["engagement", "revenue", "churn", "ltv"]
     assert all(line.endswith("%/day)") for line in lines)
+
+
+# -- kept models ----------------------------------------------------------------------
+
+
+def test_a_forest_is_fitted_once_and_scores_alike(spark, customers, monkeypatch):
+    folder = new_folder(spark, "kept")
+    first = models.predict_churn(customers, exclude=["row_id"], trees=5, keep=folder)
+    scores = sorted(map(tuple, first.scores.collect()))
+
+    def no_fit(*_):
+        raise AssertionError("fitted again")
+
+    monkeypatch.setattr(models, "fit_forest", no_fit)
+    # The same rows in another order and with a column that isn't a feature.
+    again = models.predict_churn(customers.repartition(3).withColumn("day", F.current_date()), exclude=["row_id"], trees=5, keep=folder)
+    assert again.importance.collect() == first.importance.collect() and again.report.collect() == first.report.collect()
+    assert again.accuracy == first.accuracy
+    assert sorted(map(tuple, again.scores.select(*first.scores.columns).collect())) == scores
+    for other in (customers.withColumn("revenue", F.col("revenue") + (F.col("row_id") == 3).cast("int")), customers.drop("engagement")):
+        with pytest.raises(AssertionError, match="fitted again"):
+            models.predict_churn(other, exclude=["row_id"], trees=5, keep=folder)
+    with pytest.raises(AssertionError, match="fitted again"):
+        models.predict_churn(customers, exclude=["row_id"], trees=6, keep=folder)
+
+
+def test_a_forest_as_a_table_scores_as_the_library(spark, customers):
+    model = models.predict_churn(customers, exclude=["row_id"], trees=7, keep=new_folder(spark, "kept"))
+    nodes = models.forest_table(spark, model.folder)
+    inner = nodes.filter("feature is not null")
+    assert nodes.select("tree").distinct().count() == 7 and inner.count() + 7 == nodes.count() - inner.count()
+    known = models.drop_non_numbers(customers, "churn")
+    features = models.feature_frame(known, "churn", ["row_id"], 2, "churn_features")
+    rows = models.walked(features.frame, features.names, nodes).select("row_id", F.round("probability", 3).alias("p"))
+    assert {tuple(r) for r in rows.collect()} == {(r["row_id"], r["churn_probability"]) for r in model.scores.collect()}
+
+
+def test_centres_are_a_fixed_point(spark, customers, monkeypatch):
+    """Each row has the nearest centre, and each centre is the mean of its rows, worked out with numpy."""
+    import numpy as np
+
+    folder = new_folder(spark, "kept")
+    names = ["revenue", "engagement", "ltv"]
+    df = customers.select("row_id", *names).dropna()
+    found = models.segment_users(df, 3, exclude=["row_id"], restarts=2, keep=folder)
+    rows = found.rows.select("cluster", *names).collect()
+    x = np.array([[float(r[n]) for n in names] for r in rows])
+    x = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    cluster, centres = np.array([r["cluster"] for r in rows]), np.array(found.centres)
+    assert (((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1) == cluster).all()
+    for k in range(3):
+        assert np.abs(x[cluster == k].mean(axis=0) - centres[k]).max() < 0.02
+    monkeypatch.setattr(models, "_best_clusters", None)
+    again = models.segment_users(df, 3, exclude=["row_id"], restarts=2, keep=folder)
+    assert sorted(map(tuple, again.rows.collect())) == sorted(map(tuple, found.rows.collect())) and again.passes == found.passes
