@@ -4,6 +4,10 @@ A sketch counts values in bins that keep the first seven binary digits, so a
 quantile is known to within 1/64 of itself. Sketches are merged by adding their
 counts, whatever the order, and rerunning gives the same thresholds. A group that
 is too small takes the thresholds of its language, and a small language those of all.
+
+No threshold is a constant: how far a group's texts spread is the distance of its
+quartiles, or what a single occurrence makes in its median text where that is more,
+so that a measure that most texts have none of tolerates a few in a text of usual size.
 """
 
 from __future__ import annotations
@@ -20,16 +24,16 @@ from .common import joined, ship, stored
 SPACE, SYMBOLS, CAPITALS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_echoes")
-#: Measures of a text, as whole numbers: numerator, denominator, factor, and the least spread
-#: that the quartiles of a group are taken to have.
+#: Measures of a text, as whole numbers: numerator, denominator, factor. Repeated words have their own fixed rule.
 MEASURES = {
-    "word_length": ("word_chars", "n_words", 100, 50),
-    "symbols": ("n_symbols", "n_words", 1000, 100),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 150),
-    "repeats": ("n_repeat_words", "n_words", 1000, 100),
-    "capitals": ("n_capitals", "word_chars", 1000, 50),
-    "echoes": ("n_echoes", "n_words", 1000, 30),
+    "word_length": ("word_chars", "n_words", 100),
+    "symbols": ("n_symbols", "n_words", 1000),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000),
+    "capitals": ("n_capitals", "word_chars", 1000),
+    "echoes": ("n_echoes", "n_words", 1000),
 }
+#: What measures are shares of; their medians tell the size of a group's usual text.
+SIZES = ("n_words", "n_lines", "word_chars")
 DIGITS = 7
 
 
@@ -98,29 +102,29 @@ def merged(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def quartiles(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, measure, rows, q1, q3). A group has as many rows as bins, which are some hundreds."""
+    """(keys, measure, rows, q1, q2, q3). A group has as many rows as bins, which are some hundreds."""
     group = Window.partitionBy(*keys, "measure")
     upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     ranked = sketches.withColumn("_upto", upto).withColumn("_rows", F.sum("n").over(group))
-    at = [F.min(F.when(F.col("_upto") * 4 >= F.col("_rows") * k, F.col("bin"))).alias(f"q{k}") for k in (1, 3)]
+    at = [F.min(F.when(F.col("_upto") * 4 >= F.col("_rows") * k, F.col("bin"))).alias(f"q{k}") for k in (1, 2, 3)]
     return ranked.groupBy(*keys, "measure").agg(F.max("_rows").alias("rows"), *at)
 
 
 def fences(rows: DataFrame, least_rows: int, reach: int) -> DataFrame:
     """(_group, and low_/high_ of each measure) for each pair of ``_lang`` and ``_source`` in ``rows``."""
-    by_source = stored(sketch(rows, ["_lang", "_source"], list(MEASURES)), "quality-sketches")
+    by_source = stored(sketch(rows, ["_lang", "_source"], [*MEASURES, *SIZES]), "quality-sketches")
     levels = []
     for keys in (["_lang", "_source"], ["_lang"], []):
-        q = quartiles(merged(by_source, keys), keys)
-        spread = F.lit(0)
-        for name, (_, _, _, least) in MEASURES.items():
-            spread = F.when(F.col("measure") == name, F.greatest(F.col("q3") - F.col("q1"), F.lit(least))).otherwise(spread)
-        q = q.withColumn("_low", F.col("q1") - reach * spread).withColumn("_high", F.col("q3") + reach * spread)
-        wide = q.groupBy(*keys).agg(
+        found = quartiles(merged(by_source, keys), keys).groupBy(*keys).agg(
             F.max("rows").alias("_rows"),
-            *[F.max(F.when(F.col("measure") == m, F.col(f"_{side}"))).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")],
+            *[F.max(F.when(F.col("measure") == v, F.col(q))).alias(f"{q}_{v}") for v in (*MEASURES, *SIZES) for q in ("q1", "q2", "q3")],
         )
-        levels.append(wide)
+        ends = []
+        for m, (_, size, factor) in MEASURES.items():
+            once = F.ceil(F.lit(factor) / F.greatest(F.col(f"q2_{size}"), F.lit(1)))
+            spread = F.greatest(F.col(f"q3_{m}") - F.col(f"q1_{m}"), once)
+            ends += [(F.col(f"q1_{m}") - reach * spread).alias(f"low_{m}"), (F.col(f"q3_{m}") + reach * spread).alias(f"high_{m}")]
+        levels.append(found.select(*keys, "_rows", *ends))
     own, lang, every = levels
     limits = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
     lang = lang.filter(F.col("_rows") >= least_rows).select("_lang", F.struct(*limits).alias("_of_lang"))
@@ -142,15 +146,18 @@ def rate(
     least_words: int = 20,
     most_repeats: int = 30,
     least_rows: int = 30,
-    reach: int = 3,
+    reach: int = 5,
 ) -> DataFrame:
     """(id, counts, base_failed, kept): one row per row of ``docs``.
 
     ``base_failed``: fewer than ``least_words`` words, or more than ``most_repeats``
     percent of them repeated. Of the others those are kept whose measures all lie
     within the quartiles of their language and source, widened by ``reach`` times their
-    distance. Groups of fewer than ``least_rows`` rows look to their language, and that to
+    distance, or times what one occurrence makes in a text of the group's median size if
+    that is more. Groups of fewer than ``least_rows`` rows look to their language, and that to
     all. A missing language or source is a group of its own; a missing text has no words.
+    Texts are counted whole, however long; repeated rows count as often as they come; other
+    columns of ``docs``, whatever their names, are not looked at. No rows in, no rows out.
     """
     ship(docs.sparkSession)
     name = docs.select(quoted(id_col)).columns[0]
@@ -159,7 +166,7 @@ def rate(
     found = docs.select(quoted(id_col).alias("_id"), *group, counted(quoted(text_col).cast("string")).alias("_c"))
     rows = found.select("_id", "_lang", "_source", "_c.*")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    measures = [F.floor(k * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long").alias(m) for m, (a, b, k, _) in MEASURES.items()]
+    measures = [F.floor(k * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long").alias(m) for m, (a, b, k) in MEASURES.items()]
     rows = stored(rows.select("*", failed.alias("base_failed"), *measures), "quality-counts")
     limits = fences(rows.filter("not base_failed"), least_rows, reach)
     placed = joined(rows.withColumn("_group", F.concat_ws("\0", "_lang", "_source")), limits, "_group", "left")

@@ -157,7 +157,7 @@ def op1_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, the two fixed rules, and thresholds per language and source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rated = quality.rate(docs, least_words=20, most_repeats=30, least_rows=30, reach=3)
+    rated = quality.rate(docs, least_words=20, most_repeats=30, least_rows=30, reach=5)
     return rated.drop("n_lines", "n_capitals", "n_echoes")
 
 
@@ -187,11 +187,15 @@ WITH split AS (
 ), rated AS (
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
         100 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_symbols // greatest(n_words, 1) AS symbols,
-        1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats,
+        1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
         1000 * n_capitals // greatest(word_chars, 1) AS capitals, 1000 * n_echoes // greatest(n_words, 1) AS echoes
     FROM counted
 ), long AS (
-    SELECT r, lang, source, measure, v FROM rated UNPIVOT (v FOR measure IN (word_length, symbols, dup_lines, repeats, capitals, echoes)) WHERE NOT base_failed
+    SELECT r, lang, source, u.measure, u.v FROM rated,
+        unnest([{'measure': 'word_length', 'v': word_length}, {'measure': 'symbols', 'v': symbols}, {'measure': 'dup_lines', 'v': dup_lines},
+            {'measure': 'capitals', 'v': capitals}, {'measure': 'echoes', 'v': echoes}, {'measure': 'n_words', 'v': n_words},
+            {'measure': 'n_lines', 'v': n_lines}, {'measure': 'word_chars', 'v': word_chars}]) AS t(u)
+    WHERE NOT base_failed
 ), bins AS (
     SELECT *, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS b FROM long
 ), ranked AS (
@@ -199,19 +203,21 @@ WITH split AS (
     UNION ALL SELECT 2, lang, NULL, measure, b, row_number() OVER (PARTITION BY lang, measure ORDER BY b), count(*) OVER (PARTITION BY lang, measure) FROM bins
     UNION ALL SELECT 3, NULL, NULL, measure, b, row_number() OVER (PARTITION BY measure ORDER BY b), count(*) OVER (PARTITION BY measure) FROM bins
 ), quartiles AS (
-    SELECT level, lang, source, measure, max(n) AS n, min(b) FILTER (4 * k >= n) AS q1, min(b) FILTER (4 * k >= 3 * n) AS q3
+    SELECT level, lang, source, measure, max(n) AS n, min(b) FILTER (4 * k >= n) AS q1, min(b) FILTER (4 * k >= 2 * n) AS q2, min(b) FILTER (4 * k >= 3 * n) AS q3
     FROM ranked GROUP BY ALL
 ), fences AS (
-    SELECT *, greatest(q3 - q1, CASE measure WHEN 'word_length' THEN 50 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 150
-        WHEN 'repeats' THEN 100 WHEN 'capitals' THEN 50 ELSE 30 END) AS spread
-    FROM quartiles
+    SELECT q.*, greatest(q.q3 - q.q1, (m.k + greatest(d.q2, 1) - 1) // greatest(d.q2, 1)) AS spread
+    FROM quartiles q
+    JOIN (VALUES ('word_length', 'n_words', 100), ('symbols', 'n_words', 1000), ('dup_lines', 'n_lines', 1000),
+        ('capitals', 'word_chars', 1000), ('echoes', 'n_words', 1000)) m(measure, size, k) ON m.measure = q.measure
+    JOIN quartiles d ON d.measure = m.size AND d.level = q.level AND d.lang IS NOT DISTINCT FROM q.lang AND d.source IS NOT DISTINCT FROM q.source
 ), outside AS (
     SELECT DISTINCT l.r FROM long l
     LEFT JOIN fences a ON a.level = 1 AND a.lang = l.lang AND a.source = l.source AND a.measure = l.measure AND a.n >= 30
     LEFT JOIN fences b ON b.level = 2 AND b.lang = l.lang AND b.measure = l.measure AND b.n >= 30
     JOIN fences c ON c.level = 3 AND c.measure = l.measure
-    WHERE v < coalesce(a.q1 - 3 * a.spread, b.q1 - 3 * b.spread, c.q1 - 3 * c.spread)
-        OR v > coalesce(a.q3 + 3 * a.spread, b.q3 + 3 * b.spread, c.q3 + 3 * c.spread)
+    WHERE v < coalesce(a.q1 - 5 * a.spread, b.q1 - 5 * b.spread, c.q1 - 5 * c.spread)
+        OR v > coalesce(a.q3 + 5 * a.spread, b.q3 + 5 * b.spread, c.q3 + 5 * c.spread)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
     CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,

@@ -47,6 +47,30 @@ def test_thresholds_follow_language_and_source(spark):
     assert got[203]["kept"]  # its groups are too small, so all rows decide
 
 
+def test_limits_of_every_measure_follow_the_spread(spark):
+    """Two groups around the same middle: the one that spreads more has wider limits, for each measure."""
+    draw = random.Random(3)
+    rows = []
+    for source, far in (("calm", 1), ("wild", 9)):
+        for i in range(200):
+            away = draw.randint(-far, far)
+            values = {"word_length": 500 + 10 * away, "symbols": 200 + away * 10, "dup_lines": 300 + away * 20, "capitals": 100 + 3 * away, "echoes": 90 + 5 * away}
+            rows.append(("=en", f"={source}", *[values[m] for m in quality.MEASURES], 500, 60, 2500))
+    names = ", ".join(["_lang string", "_source string", *[f"{c} long" for c in (*quality.MEASURES, *quality.SIZES)]])
+    got = {r["_group"].split("=")[-1]: r for r in quality.fences(spark.createDataFrame(rows, names), 30, 5).collect()}
+    for m in quality.MEASURES:
+        assert got["wild"][f"high_{m}"] > got["calm"][f"high_{m}"] > got["calm"][f"low_{m}"] > got["wild"][f"low_{m}"], m
+
+
+def test_limits_follow_the_usual_size_where_most_texts_have_none(spark):
+    """One occurrence weighs more in short texts, so a group of short ones tolerates a larger share."""
+    rows = [("=en", f"={name}", 500, 0, 0, 0, 0, words, lines, 5 * words) for name, words, lines in (("short", 40, 4), ("long", 4000, 64)) for _ in range(40)]
+    names = ", ".join(["_lang string", "_source string", *[f"{c} long" for c in (*quality.MEASURES, *quality.SIZES)]])
+    got = {r["_group"].split("=")[-1]: r for r in quality.fences(spark.createDataFrame(rows, names), 30, 5).collect()}
+    assert (got["short"]["high_symbols"], got["long"]["high_symbols"]) == (5 * 25, 5)
+    assert (got["short"]["high_dup_lines"], got["long"]["high_dup_lines"]) == (5 * 250, 5 * 16)
+
+
 def test_sketches_merge_and_bound_the_error(spark):
     values = [random.Random(1).randint(0, 100_000) for _ in range(3000)]
     df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)], "g int, v long")
