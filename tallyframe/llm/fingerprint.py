@@ -28,8 +28,12 @@ STRICT, LOOSE = 1 << 24, 1 << 28
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 #: Bytes that are hashed together.
 AT_ONCE = 1 << 20
-#: Text in a stretch of neighbouring documents, and ids looked at for each stretch to find where it begins.
+#: Text in a stretch of neighbouring documents, and keys looked at for each stretch to find where it begins.
 STRETCH, LOOKED_AT = 16 << 20, 50
+#: Beyond so many stretches they get longer, so the driver looks at no more than a million keys, whatever the input.
+MOST_STRETCHES = 20_000
+#: What a row counts beside its text.
+ROW = 64
 
 Print = dict[str, int]
 
@@ -127,23 +131,32 @@ def _order(ident: int | None, digest: int) -> int:
     return ((ident + (1 << 63) + 1 if ident is not None else 0) << 64) + digest + (1 << 63)
 
 
-def in_stretches(docs: DataFrame) -> DataFrame:
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def crowd_size(slim: DataFrame) -> tuple[int, int]:
+    """How many stretches ``slim`` (id, h, n) makes, and the size that the copies of one row may have without being a crowd."""
+    size = slim.agg(F.sum("n")).first()[0] or 0
+    stretches = min(size // STRETCH + 1, MOST_STRETCHES)
+    return stretches, max(STRETCH, size // stretches) // 4
+
+
+def in_stretches(docs: DataFrame, slim: DataFrame, stretches: int) -> DataFrame:
     """``docs`` (id, text) with _stretch and _ends, sorted within partitions by stretch and, in it, by id and text.
 
     A stretch holds neighbouring documents and, with _ends set, the first of the
     next stretch; the last one has the very first document there. The texts are
-    shuffled once. Where stretches begin is found from a sample of ids; it
-    changes how the work is split, and nothing else.
+    shuffled once. Where stretches begin is found from a sample of the distinct keys in
+    ``slim``, about ``LOOKED_AT`` for each; it changes how the work is split, and nothing else.
     """
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    slim = stored(docs.select("id", text_hash.alias("h"), F.octet_length("text").alias("n")), "print-ids")
-    whole = slim.agg(F.count("*").alias("rows"), F.sum("n").alias("bytes"), F.min(F.struct("id", "h")).alias("first")).first()
+    keys = slim.groupBy("id", "h").agg(F.count("*").alias("copies"))
+    whole = keys.agg(F.count("*").alias("keys"), F.min(F.struct("id", "h")).alias("first")).first()
     starts = []
-    if whole["rows"]:
-        stretches = (whole["bytes"] or 0) // STRETCH + 1
-        share = min(1.0, stretches * LOOKED_AT / whole["rows"])
-        seen = slim.filter(F.pmod(F.xxhash64("h", "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "h")
-        seen = sorted({_order(*r) for r in seen.collect()})
+    if whole["keys"]:
+        share = min(1.0, stretches * LOOKED_AT / whole["keys"])
+        seen = keys.filter(F.pmod(F.xxhash64("h", "id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select("id", "h")
+        seen = sorted(_order(*r) for r in seen.collect())
         starts = sorted({_order(*whole["first"]), *seen[LOOKED_AT::LOOKED_AT]})
 
     @F.pandas_udf("array<long>")
@@ -156,7 +169,7 @@ def in_stretches(docs: DataFrame) -> DataFrame:
         return pd.Series(result)
 
     # Ids as text on the way, as numbers beside nulls would become floats.
-    dealt = docs.withColumn("_h", text_hash).withColumn("_to", F.explode(places(F.col("id").cast("string"), "_h")))
+    dealt = docs.withColumn("_h", _text_hash()).withColumn("_to", F.explode(places(F.col("id").cast("string"), "_h")))
     dealt = dealt.withColumn("_stretch", F.shiftright("_to", 1)).withColumn("_ends", F.col("_to").bitwiseAND(1) == 1).drop("_to")
     return dealt.repartition("_stretch").sortWithinPartitions("_stretch", "_ends", F.col("id").asc_nulls_first(), "_h")
 
@@ -182,6 +195,16 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield some
 
 
+def _likened(pairs: list[tuple]) -> list[tuple]:
+    """(id, text, print, the next text and its print) to the columns of ``SCHEMA``."""
+    edited = [t[: len(t) - len(t) // 2] + then[: len(t) // 2] for _, t, _, then, _ in pairs]
+    rows = []
+    for (ident, text, own, _, after), new, changed in zip(pairs, edited, prints(edited)):
+        sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+        rows.append((ident, len(text), sha, written(own), written(changed), contained(own, changed), contained(own, after)))
+    return rows
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows as ``in_stretches`` sorts them, to ``SCHEMA``."""
     last = None  # (stretch, id, text, print) that waits for the next
@@ -191,11 +214,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if last is not None and last[0] == stretch:
                 pairs.append((last, text, own))
             last = None if ends else (stretch, ident, text, own)
-        edited = [t[: len(t) - len(t) // 2] + then[: len(t) // 2] for (_, _, t, _), then, _ in pairs]
-        rows = []
-        for ((_, ident, text, own), _, after), new, changed in zip(pairs, edited, prints(edited)):
-            sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((ident, len(text), sha, written(own), written(changed), contained(own, changed), contained(own, after)))
+        rows = _likened([(ident, text, own, then, after) for (_, ident, text, own), then, after in pairs])
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -209,8 +228,37 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     first as many, or all, of the next document's by ascending id; after the last
     comes the first. Ids are whole numbers; null comes first, and rows of one id go
     by a hash of their texts. A missing text is empty.
+
+    Equal rows follow each other, so all copies but one have their own text as the next one. Where copies of
+    one row are many (a quarter of a stretch) they are counted before the shuffle and travel as one.
+    Other columns, whatever their names, are not looked at; texts are read whole, however long. No rows in, no rows out.
     """
     ship(docs.sparkSession)
     name = docs.select(quoted(id_col)).columns[0]
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
-    return in_stretches(rows).select("_stretch", "_ends", "id", "text").mapInArrow(compare, SCHEMA).withColumnRenamed("id", name)
+    slim = stored(rows.select("id", _text_hash().alias("h"), (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW).alias("n")), "print-ids")
+    stretches, crowd = crowd_size(slim)
+    # At most four crowds fill a stretch, so their keys are few.
+    crowds = stored(slim.groupBy("id", "h").agg(F.sum("n").alias("n"), F.count("*").alias("c")).filter((F.col("n") > crowd) & (F.col("c") > 1)), "print-crowds")
+    if not crowds.limit(1).count():
+        found = in_stretches(rows, slim, stretches).select("_stretch", "_ends", "id", "text").mapInArrow(compare, SCHEMA)
+        return found.withColumnRenamed("id", name)
+    hashed = rows.withColumn("h", _text_hash())
+    keys = F.broadcast(crowds.select(F.col("id").alias("_id"), F.col("h").alias("_h")))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    merged = hashed.join(keys, same, "left_semi").groupBy("id", F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("copies"))
+    merged = stored(merged, "print-copies")
+    single = hashed.join(keys, same, "left_anti").select("id", "text").unionByName(merged.select("id", "text"))
+    found = in_stretches(single, slim, stretches).select("_stretch", "_ends", "id", "text").mapInArrow(compare, SCHEMA)
+    ahead = ", ".join(SCHEMA.split(", ")[1:])
+
+    @F.pandas_udf(ahead)
+    def with_itself(texts: pd.Series) -> pd.DataFrame:
+        result: list[tuple] = []
+        for some in _portions(texts):
+            result += [r[1:] for r in _likened([(None, t, own, t, own) for t, own in zip(some, prints(some))])]
+        return pd.DataFrame(result, columns=[c.split()[0] for c in ahead.split(", ")])
+
+    # The places of all copies but the last are alike: worked out once, then repeated.
+    own = merged.filter("copies > 1").select("id", with_itself("text").alias("r"), F.explode(F.sequence(F.lit(2), F.col("copies"))))
+    return found.unionByName(own.select("id", "r.*")).withColumnRenamed("id", name)

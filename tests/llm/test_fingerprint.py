@@ -64,6 +64,23 @@ def test_awkward_rows(spark, awkward):
     check(spark.createDataFrame([(5, "only one document, a little longer than one chunk " * 3)], "doc_id long, text string"))
 
 
+def test_a_row_that_makes_up_a_third_of_the_table(spark, documents, monkeypatch):
+    monkeypatch.setattr(fp, "STRETCH", 20_000)
+    rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").limit(120).collect()]
+    rows += [(7, "the same row, " * 30)] * 60 + [(None, None)] * 900 + [(10_000, "last")]
+    docs = spark.createDataFrame([r for r in rows if r[0] != 7 or r[1].startswith("the same")], "doc_id long, text string").repartition(5)
+    check(docs)
+    slim = docs.select(docs.doc_id.alias("id"), fp._text_hash().alias("h"), fp.F.coalesce(fp.F.octet_length("text"), fp.F.lit(0)).alias("n"))
+    assert fp.crowd_size(slim.withColumn("n", slim.n + fp.ROW))[1] < 60 * 420  # so the copies did travel as one
+
+
+def test_the_driver_looks_at_a_bounded_number_of_keys(documents, monkeypatch):
+    """Longer stretches instead of more of them, and copies are one key; the rows stay the same."""
+    monkeypatch.setattr(fp, "STRETCH", 2_000)
+    monkeypatch.setattr(fp, "MOST_STRETCHES", 4)
+    check(documents)
+
+
 def test_no_rows(nothing):
     assert fp.with_next(nothing).count() == 0
 
