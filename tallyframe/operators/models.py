@@ -15,7 +15,6 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.coerce import as_number, drop_non_numbers
@@ -26,7 +25,7 @@ from . import store
 from .encode import label_encode
 from .profile import impute_median, varied_columns
 from .reports import MESSAGES, MIN_CHURN_ROWS, MIN_CLV_ROWS, report_head
-from .split import HASHES, binary_holdout, value_hash
+from .split import HASHES, binary_holdout, text_hash, value_hash
 from .stats import (
     classification_metrics,
     column_trends,
@@ -51,6 +50,8 @@ SUMMARY_COLUMNS = 5
 TREND_LINES = 10
 NAMED_SEGMENTS = 4
 CLV_TEST_SHARE = 0.2
+# What is left of a feature's variance when the features before it explain it.
+DEPENDENT = 1e-10
 
 # Trees grow until their leaves are pure, or to the deepest that the library allows.
 TREE_DEPTH = 30
@@ -341,42 +342,83 @@ def value_target(df: DataFrame, roles: Roles = None) -> str:
     return name
 
 
-def predict_clv(df: DataFrame, roles: Roles = None, exclude: Sequence[str] = ()) -> ValueModel:
+def eliminated(matrix: Column, size: int) -> Column:
+    """The solution of a symmetric system of equations, one array per row with the right-hand side at its end.
+
+    Gauss and Jordan's way with the diagonal as pivots. A column that those before it explain (its pivot is
+    below ``DEPENDENT``; the matrix is one of correlations) gets 0.
+    """
+
+    def step(m: Column, p: Column) -> Column:
+        top, pivot = F.get(m, p), F.get(F.get(m, p), p)
+        first = F.when(pivot > DEPENDENT, F.transform(top, lambda v: v / pivot)).otherwise(F.transform(top, lambda v: F.lit(0.0)))
+        # In an array of one, so that it is worked out once a step.
+        return F.flatten(F.transform(F.array(first), lambda f: F.transform(
+            m, lambda row, i: F.when(i == p, f).otherwise(F.zip_with(row, f, lambda x, y: x - F.get(row, p) * y))
+        )))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), matrix, step)
+    return F.transform(done, lambda row: F.element_at(row, -1))
+
+
+def least_squares(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
+    """One row: (base, weights), of the plane through ``target`` over the columns ``names`` with the least squares.
+
+    All means and covariances come from one aggregate, whose sums are merged without losing digits.
+    """
+    x, y = [quoted(n).cast("double") for n in names], quoted(target).cast("double")
+    places = range(len(x))
+    found = df.agg(
+        *[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(x)], F.avg(y).alias("mean"),
+        *[F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i in places for j in places if i <= j],
+        *[F.covar_pop(c, y).alias(f"y_{i}") for i, c in enumerate(x)],
+    )
+    spread = [F.sqrt(F.col(f"c_{i}_{i}")) for i in places]
+
+    def share(value: Column, by: Column) -> Column:
+        return F.coalesce(F.try_divide(value, by), F.lit(0.0))
+
+    rows = [
+        F.array(
+            *[share(F.col(f"c_{min(i, j)}_{max(i, j)}"), spread[i] * spread[j]) for j in places], share(F.col(f"y_{i}"), spread[i])
+        )
+        for i in places
+    ]
+    solved = found.withColumn("solved", eliminated(F.array(*rows), len(x)))
+    weights = F.array(*[share(F.get("solved", F.lit(i)), spread[i]) for i in places])
+    explained = sum((F.get("weights", F.lit(i)) * F.col(f"mean_{i}") for i in places), F.lit(0.0))
+    return solved.withColumn("weights", weights).select((F.col("mean") - explained).alias("base"), "weights")
+
+
+def predict_clv(df: DataFrame, roles: Roles = None, exclude: Sequence[str] = (), held_by: Sequence[str] = ()) -> ValueModel:
     """Least squares for the lifetime value (or revenue) on all other columns.
 
-    The normal equations take one pass over the rows; only a matrix as wide as
-    the features comes back.
+    The normal equations take one pass over the rows that aren't held out, and stay in the plan as one row. Rows are held out by
+    a hash of their values, or of the columns ``held_by`` as text, which other engines can repeat.
     """
     target = value_target(df, roles)
     known = drop_non_numbers(df, target).persist(KEPT)
-    features = feature_frame(known, target, exclude, 1, "clv_features")
-    rows = known.count()
-    if rows < MIN_CLV_ROWS:
-        raise NotReady(MESSAGES["clv_rows"])
-    ready = assembled(features).withColumn("_actual", quoted(target).cast("double")).withColumn("_all", F.lit(0))
-    ready = ready.withColumn("_hash", value_hash([*features.names, target]))
-    kept = ready.select("_features", "_actual", "_all", "_hash").persist(KEPT)
-    is_test = binary_holdout(kept, F.col("_hash"), "_all", CLV_TEST_SHARE)
+    features = written(feature_frame(known, target, exclude, 1, "clv_features"))
     known.unpersist()
-    line = LinearRegression(
-        featuresCol="_features", labelCol="_actual", predictionCol="_predicted", solver="normal", regParam=0.0
-    )
-    model = line.fit(kept.filter(~is_test))
-    fit = regression_metrics(model.transform(kept.filter(is_test)), "_actual", "_predicted").first()
-    kept.unpersist()
-
-    predicted = F.round(F.greatest(F.lit(0.0), F.col("_predicted")), 2)
-    scored = model.transform(ready).withColumn("predicted_clv", predicted).select(
+    if features.frame.count() < MIN_CLV_ROWS:
+        raise NotReady(MESSAGES["clv_rows"])
+    row = text_hash(held_by) if held_by else value_hash([*features.names, target])
+    ready = features.frame.withColumns({"_actual": quoted(target).cast("double"), "_all": F.lit(0), "_hash": row})
+    is_test = binary_holdout(ready, F.col("_hash"), "_all", CLV_TEST_SHARE)
+    plane = least_squares(ready.filter(~is_test), features.names, "_actual").select(F.struct("base", "weights").alias("plane")).scalar()
+    parts = [quoted(n).cast("double") * F.get(F.col("_plane.weights"), F.lit(i)) for i, n in enumerate(features.names)]
+    scored = ready.withColumn("_plane", plane).withColumn("_predicted", sum(parts, F.col("_plane.base")))
+    scored = scored.withColumn("predicted_clv", F.round(F.greatest(F.lit(0.0), F.col("_predicted")), 2))
+    scores = scored.select(
         *[quoted(c) for c in df.columns if c in features.frame.columns and c != target],
         F.col("_actual").alias("actual_clv"),
         "predicted_clv",
     )
-    scores = with_value_segments(scored, "predicted_clv")
-    metrics = scored.agg(
-        F.lit(fit["mae"]).cast("double").alias("mae"), F.lit(fit["r2"]).cast("double").alias("r2"),
-        F.round(F.avg("predicted_clv"), 2).alias("avg_predicted_clv"),
-    )
-    return ValueModel(scores, metrics)
+    # One row by construction: both are aggregates without a group.
+    fit = regression_metrics(scored.filter(is_test), "_actual", "_predicted").select(F.struct("mae", "r2").alias("fit")).scalar()
+    metrics = scored.agg(F.round(F.avg("predicted_clv"), 2).alias("avg_predicted_clv")).withColumn("_fit", fit)
+    metrics = metrics.select(F.col("_fit.mae").alias("mae"), F.col("_fit.r2").alias("r2"), "avg_predicted_clv")
+    return ValueModel(with_value_segments(scores, "predicted_clv"), metrics)
 
 
 # -- segments ---------------------------------------------------------------------------
@@ -534,9 +576,9 @@ def _in_order(row: Column, first: int) -> Column:
 
 
 def all_prediction_rows(
-    df: DataFrame, generated: str, exclude: Sequence[str] = (), periods: int = 6, keep: str | None = None
+    df: DataFrame, generated: str, exclude: Sequence[str] = (), periods: int = 6, keep: str | None = None, held_by: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per model, with its score and main findings below the head of a report; for ``keep`` see the models."""
+    """One row per model, with its score and main findings below the head of a report; for ``keep`` and ``held_by`` see the models."""
     head = F.col("head")
 
     def headed(kind: str, facts: DataFrame) -> DataFrame:
@@ -544,7 +586,7 @@ def all_prediction_rows(
         text = report_head(df.drop(*exclude), kind, generated).select("head").scalar()
         return facts.withColumn("head", text)
 
-    churn, clv = predict_churn(df, exclude=exclude, keep=keep), predict_clv(df, exclude=exclude)
+    churn, clv = predict_churn(df, exclude=exclude, keep=keep), predict_clv(df, exclude=exclude, held_by=held_by)
     segments = segment_users(df, exclude=exclude, keep=keep)
     high = churn.scores.agg(F.count_if(F.col("risk_level") == "High").alias("high"))
     forecast = forecast_fit(df).select("r2_pct", revenue_direction(df).select("trend").scalar().alias("trend"))

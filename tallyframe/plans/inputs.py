@@ -75,7 +75,8 @@ def fact_orders_sql(*wanted: str) -> str:
         "ltv": "CAST(v.total AS DOUBLE)",
         "users": "COALESCE(l.n_lines, 0)",
         "engagement": "CAST(COALESCE(l.qty, 0) AS DOUBLE)",
-        "retention": "1.0 - ROUND(CAST(COALESCE(l.disc, 0) AS DOUBLE), 4)",
+        # As decimals, so that halves are rounded as Spark rounds them.
+        "retention": "1.0 - CAST(ROUND(CAST(COALESCE(l.disc, 0) AS DECIMAL(18,9)), 4) AS DOUBLE)",
     }
     joins = ""
     if "plan" in need:

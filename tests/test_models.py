@@ -167,6 +167,22 @@ def test_clv_equals_least_squares(customers):
         assert r["predicted_clv"] == pytest.approx(expected[r["row_id"]], abs=0.006)
 
 
+def test_normal_equations_of_dependent_and_far_apart_columns(spark):
+    """To 1e-9 of a plain solution; a column that others explain, or that never changes, gets no weight."""
+    rng = np.random.default_rng(5)
+    a, b, c = rng.normal(1e6, 30, 500), rng.normal(0, 1e-3, 500), rng.integers(0, 5, 500).astype(float)
+    y = 3 * a - 2e4 * b + 7 * c + rng.normal(0, 0.5, 500)
+    rows = [tuple(map(float, r)) for r in zip(a, b, a + c, c, np.full(500, 4.0), y)]
+    df = spark.createDataFrame(rows, "a double, b double, sum double, c double, same double, y double").repartition(7)
+    got = models.least_squares(df, ["a", "b", "sum", "c", "same"], "y").first()
+    assert got["weights"][3:] == [0.0, 0.0]
+    x = np.column_stack([a, b, a + c])
+    centred = x - x.mean(0)
+    plain = np.linalg.lstsq(centred / centred.std(0), y - y.mean(), rcond=None)[0] / centred.std(0)
+    assert got["weights"][:3] == pytest.approx(list(plain), rel=1e-9)
+    assert got["base"] == pytest.approx(y.mean() - plain @ x.mean(0), rel=1e-7)
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     rng = np.random.default_rng(3)
