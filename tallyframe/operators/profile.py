@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.coerce import as_number
 from ..functions.roles import numeric_columns, quoted, text_columns
+from ..session import new_folder
 from .quantiles import exact_quantiles
 
 PAIRS_PER_PASS = 400  # correlations computed by one aggregation
+FEW_HASHES = 2_000_000  # of repeated rows, 16 bytes each, that are broadcast
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
@@ -76,17 +78,27 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, few: int = FEW_HASHES) -> DataFrame:
     """One row: how many rows repeat an earlier one; nulls are alike.
 
-    Copies are merged before the shuffle, so a row that occurs very often
-    travels once per task.
+    Rows meet by a hash of 128 bits, so what travels does not depend on their width; copies are merged before the
+    shuffle. Only rows whose hashes meet are compared whole, and of those each task sends one of a kind. They are picked out where
+    they lie if there are at most ``few`` such hashes, which are broadcast, and by a shuffled join beyond.
     """
-    copies = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
-    return copies.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"),
-    )
+    marks = [quoted(c).isNull() for c in df.columns]  # a hash skips nulls
+    keys = [F.xxhash64(F.lit(salt), *marks, *[quoted(c) for c in df.columns]).alias(f"_h{salt}") for salt in (1, 2)]
+    hashed = df.select(*keys, F.struct("*").alias("_row"))
+    counts = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_copies"))
+    folder = new_folder(df.sparkSession, "row-hashes")
+    counts.filter("_copies > 1").write.parquet(folder)
+    met = df.sparkSession.read.schema("_h1 long, _h2 long, _copies long").parquet(folder)
+    keyed = met.select("_h1", "_h2")
+    picked = hashed.join(F.broadcast(keyed) if keyed.limit(few + 1).count() <= few else keyed, ["_h1", "_h2"], "left_semi")
+    kinds = picked.groupBy("_row").agg(F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias("n"))
+    copies = met.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("n"))
+    # Both are one row by construction: aggregates without a group.
+    repeated = copies.select("n").scalar() - kinds.select("n").scalar()
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", repeated.alias("duplicates"))
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

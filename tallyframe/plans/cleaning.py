@@ -63,8 +63,7 @@ def csv_source(spark, folder):
     path, dirty = new_folder(spark, "source"), fact_orders_dirty(spark, folder)
     longer = F.col("row_id").cast("decimal(38,0)") + F.lit("12345678901234567890").cast("decimal(38,0)")
     write_csv(dirty.withColumns({"long_id": F.col("row_id") + 1234567890123456789, "longer_id": longer}), path)
-    # One record a line, so the files are split.
-    return read_csv(spark, path, multi_line=False).withColumn("longer_id", F.col("longer_id").cast("string"))
+    return read_csv(spark, path).withColumn("longer_id", F.col("longer_id").cast("string"))
 
 
 @query(

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from ..operators import breakdown, metrics
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import breakdown, metrics, sketches
+from ..session import new_folder
 from . import sqltext as sql
 from .inputs import (
     FACT_MONTHS_SQL, FACT_SIGNUPS_SQL, fact_months, fact_orders, fact_orders_dirty, fact_orders_dirty_sql,
@@ -306,3 +311,30 @@ def cohort_retention(spark, folder):
 )
 def dau_mau(spark, folder):
     return metrics.dau_mau(table(spark, folder, "events"), "user_id", "ts")
+
+
+# Spans of days whose users are counted from the sets of their days.
+ROLLING = [7, 28]
+
+
+@query(
+    "active_users_by_span",
+    """WITH seen AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+            days AS (SELECT UNNEST(range(MIN(day), MAX(day) + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM seen)
+       SELECT 'month' AS span, CAST(date_trunc('month', day) AS DATE) AS day, COUNT(DISTINCT user_id) AS users FROM seen GROUP BY ALL
+       UNION ALL SELECT 'week', CAST(date_trunc('week', day) AS DATE), COUNT(DISTINCT user_id) FROM seen GROUP BY ALL"""
+    + "".join(
+        f""" UNION ALL SELECT '{n} days', d.day, COUNT(DISTINCT user_id) FROM days d JOIN seen s
+             ON s.day BETWEEN d.day - {n - 1} AND d.day GROUP BY ALL"""
+        for n in ROLLING
+    ),
+)
+def active_users_by_span(spark, folder):
+    """Months, weeks and rolling spans, all merged from one kept set per day and range of users, not from the events."""
+    events = table(spark, folder, "events")
+    path = new_folder(spark, "daily-sets")
+    sketches.daily_sets(events, "user_id", "ts", sketches.user_numbers(events, "user_id")).write.parquet(path)
+    sets = spark.read.schema("day date, range long, users binary").parquet(path)
+    parts = [("month", sketches.active_users(sets, F.trunc("day", "MM").alias("day"))), ("week", sketches.active_users(sets, F.trunc("day", "week").alias("day")))]
+    parts += [(f"{n} days", sketches.rolling_users(sets, n)) for n in ROLLING]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(span).alias("span"), "day", "users") for span, df in parts])

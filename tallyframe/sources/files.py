@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.roles import normalise_columns, quoted
@@ -16,13 +18,15 @@ WHOLE_PATTERN = r"^\s*[+-]?\d+\s*$"
 MOST_DIGITS = 38
 DECIMAL_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
 BOOLEAN_PATTERN = r"^(True|TRUE|true|False|FALSE|false)$"
+# Files of at most this many bytes are one task's work in any case.
+ONE_TASK = 128 << 20
 
 
 class UnsupportedSource(ValueError):
     """The file is of a kind that cannot be read, or holds no rows."""
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
     """A CSV with a header row.
 
     Every cell is read as text and the spellings of a missing cell become null.
@@ -32,17 +36,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     double, boolean, else text. Dates stay text, and so do whole numbers of more
     than 38 digits.
 
-    Quoted cells may hold line breaks. A file is then read by one task; give
-    ``multi_line=False`` for large files whose records are one line each.
+    Quoted cells may hold line breaks, for which one task has to read the whole file. Large files are looked at first,
+    and are shared by many tasks if no cell of theirs goes on in the next line; ``multi_line`` decides for all without looking.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    reader = spark.read.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")
+    groups = _by_breaks(spark, path) if multi_line is None else [(multi_line, [path])]
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])
-        cells = _known(reader.schema(text).option("emptyValue", "").option("nullValue", "").csv(path))
-        return cells.select(*[_cast(quoted(f.name), f.dataType).alias(f.name) for f in wanted])
-    cells = reader.option("emptyValue", "").option("nullValue", "").csv(path)
-    known = _known(cells.toDF(*[f"c{i}" for i in range(len(cells.columns))]))
+        names = [f.name for f in wanted]
+    else:
+        names = reader.option("multiLine", groups[-1][0]).csv(path).columns
+    text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    parts = [_known(reader.option("multiLine", multi).schema(text).csv(paths)) for multi, paths in groups]
+    known = reduce(DataFrame.unionAll, parts)
+    if schema is not None:
+        return known.select(*[_cast(F.col(c), f.dataType).alias(f.name) for c, f in zip(known.columns, wanted)])
     digits = {c: F.length(F.regexp_replace(c, r"^\s*[+-]?0*|\s", "")) for c in known.columns}
     fits = known.agg(*[
         F.struct(
@@ -54,7 +62,28 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         ).alias(c)
         for c in known.columns
     ]).first()
-    return known.select(*[_typed(c, fits[c]).alias(name) for c, name in zip(known.columns, cells.columns)])
+    return known.select(*[_typed(c, fits[c]).alias(name) for c, name in zip(known.columns, names)])
+
+
+def _by_breaks(spark: SparkSession, path: str) -> list[tuple[bool, list[str]]]:
+    """(whether cells may hold line breaks, files): the files of ``path``, those that can be split first.
+
+    A line that ends inside a quoted cell has an odd number of quotes, so a file whose lines all have an even number
+    holds one record a line. The driver gets names of files, as it does for any read.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("uri"), "length")
+    large = {r["uri"]: r["path"] for r in files.filter(F.col("length") > ONE_TASK).collect()}
+    if not large or any(mark in name for name in large.values() for mark in "*?[]{}\\"):  # names that would be read as patterns
+        return [(True, [path])]
+    lines = spark.read.text(list(large.values())).select("value", F.col("_metadata.file_path").alias("uri"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = {r["uri"] for r in lines.filter(quotes % 2 == 1).select("uri").distinct().collect()}
+    plain = [name for uri, name in large.items() if uri not in broken]
+    if not plain:
+        return [(True, [path])]
+    small = [r["path"] for r in files.filter(F.col("length") <= ONE_TASK).collect()]
+    others = [*small, *[large[uri] for uri in broken]]
+    return [(False, plain), (True, others)] if others else [(False, plain)]
 
 
 def _known(cells: DataFrame) -> DataFrame:

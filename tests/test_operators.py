@@ -10,8 +10,10 @@ from tallyframe.functions.coerce import total
 from tallyframe.functions.roles import MissingRole
 from tallyframe.operators import breakdown, encode, history, metrics, profile, quantiles, reports, split, stats
 from tallyframe.session import new_folder
+from tallyframe.sources import files
 from tallyframe.sources.files import UnsupportedSource, load, read_csv, write_csv
 from tallyframe.sources.sample import sample_metrics
+from tests.test_scale import settings
 
 
 # -- quantiles -------------------------------------------------------------------------
@@ -434,3 +436,40 @@ def test_alerts(spark):
         "MRR": ("warning", "MRR is now 1,234.50 (threshold: 2,000.00)."),
         "Churn": ("target met", "Churn is now 9.00 (threshold: 10.00)."),
     }
+
+
+def test_large_files_are_split_unless_a_cell_goes_on_in_the_next_line(spark, tmp_path, monkeypatch):
+    plain = "id,text\n" + "".join(f'{i},"a, ""{i}"""\n' for i in range(300))
+    broken = "id,text\n" + "".join(f'{i},"a\n{i}"\n' for i in range(300, 600))
+    folder = tmp_path / "x y.csv"
+    folder.mkdir()
+    (folder / "plain 1.csv").write_text(plain)
+    (folder / "broken.csv").write_text(broken)
+    (folder / "small.csv").write_text('id,text\n600,"b\nc"\n')
+    monkeypatch.setattr(files, "ONE_TASK", 1000)
+    groups = files._by_breaks(spark, str(folder))
+    assert [(multi, sorted(p.rsplit("/", 1)[1] for p in names)) for multi, names in groups] == [
+        (False, ["plain 1.csv"]), (True, ["broken.csv", "small.csv"]),
+    ]
+    expected = [(i, f'a, "{i}"') for i in range(300)] + [(i, f"a\n{i}") for i in range(300, 600)] + [(600, "b\nc")]
+    for schema in (None, "id long, text string"):
+        assert sorted(map(tuple, read_csv(spark, str(folder), schema).collect())) == expected
+    with settings(spark, spark__sql__files__maxPartitionBytes="1000", spark__sql__files__openCostInBytes="0"):
+        assert read_csv(spark, str(folder / "plain 1.csv"), "id long, text string").rdd.getNumPartitions() > 2
+        assert read_csv(spark, str(folder / "broken.csv"), "id long, text string").rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_duplicate_rows_of_wide_and_awkward_tables(spark, few):
+    nan = float("nan")
+    rows = [(None, "a", 0.0), (None, "a", -0.0), ("a", None, 0.0), ("a", None, nan), ("a", None, nan), (None, None, None), (None, None, None), ("", "a", 0.0)]
+    df = spark.createDataFrame(rows, "x string, y string, `z.1` double")
+    assert tuple(profile.duplicate_rows(df, few).first()) == (8, 3)
+    assert tuple(profile.duplicate_rows(df.limit(0), few).first()) == (0, 0)
+    assert tuple(profile.duplicate_rows(df.select("x").limit(1), few).first()) == (1, 0)
+
+
+def test_rows_whose_hashes_meet_are_compared_whole(spark, monkeypatch):
+    df = spark.range(12).select((F.col("id") % 5).alias("a"), F.lit("w" * 100).alias("b"))
+    monkeypatch.setattr(profile.F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
+    assert tuple(profile.duplicate_rows(df).first()) == (12, 7)
