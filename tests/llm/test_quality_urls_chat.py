@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.llm import chat, quality, urls
@@ -160,7 +161,17 @@ def plain_maximal(convs):
     return staying
 
 
-def test_snapshots(spark):
+@pytest.fixture()
+def many_slices(spark):
+    """Small partitions stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("long", [1_000_000, 3, 0])
+def test_snapshots(spark, monkeypatch, many_slices, long):
+    monkeypatch.setattr(chat, "LONG", long)
     draw = random.Random(2)
     convs = {}
     for i in range(0, 120, 4):
@@ -181,7 +192,36 @@ def test_snapshots(spark):
         assert got[i]["text"] == "".join(f"<|im_start|>{r or 'unknown'}\n{x or ''}<|im_end|>\n" for r, x in convs[i])
 
 
-def test_parts_missing_turns_and_no_rows(spark, monkeypatch):
+def test_a_hot_conversation_and_a_hot_turn_are_spread(spark, monkeypatch, many_slices):
+    """A third of all rows are one conversation, another third one turn of another; both are in order, and snapshots of them go."""
+    monkeypatch.setattr(chat, "LONG", 1000)
+    hot = [(1, t, "user", f"text {t}") for t in range(5000)] + [(2, 7, "user", "again")] * 5000 + [(2, 8, "user", "x" * 300_000)]
+    cold = [(c, t, "user", f"text {t if c > 9 else t + c}") for c in range(3, 500) for t in range(1 + c % 17)]
+    cold += [(500, t, "user", f"text {t}") for t in range(2500)] + [(501, 7, None, "again")] * 1200
+    draw = random.Random(5)
+    rows = hot + cold
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    convs = {}
+    for c, t, r, x in sorted(rows, key=lambda r: r[:2]):
+        convs.setdefault(c, []).append((r, x))
+    placed = chat._in_ranges(chat._turns(df.filter("conv_id <= 2"), "conv_id", "turn", "role", "text"))
+    sizes = {(r["_conv"], r["_slice"]): r["count"] for r in placed.groupBy("_conv", "_slice").count().collect()}
+    assert all(max(n for (c, _), n in sizes.items() if c == conv) < 3000 for conv in (1, 2))
+    want = {c: v for c, v in convs.items() if not any(len(b) > len(v) and b[: len(v)] == v or b == v and j < c for j, b in convs.items())}
+    assert {1, 2, 501} <= set(want) and 500 not in want
+    texts = {}
+    for r in chat.render(df).collect():
+        assert r["turns"] == min(chat.PART, len(want[r["conv_id"]]) - r["part"] * chat.PART)
+        texts.setdefault(r["conv_id"], {})[r["part"]] = r["text"]
+    assert {c: "".join(x for _, x in sorted(parts.items())) for c, parts in texts.items()} == {
+        c: "".join(f"<|im_start|>{r or 'unknown'}\n{x}<|im_end|>\n" for r, x in turns) for c, turns in want.items()
+    }
+
+
+@pytest.mark.parametrize("long", [1_000_000, 1])
+def test_parts_missing_turns_and_no_rows(spark, monkeypatch, long):
+    monkeypatch.setattr(chat, "LONG", long)
     monkeypatch.setattr(chat, "PART", 2)
     df = spark.createDataFrame([(1, 5, "b", "5"), (1, None, "c", "last"), (1, 2, "a", "2"), (1, 2, "a", "2"), (1, 5, "a", "tie")], "conv_id long, turn long, role string, text string")
     got = sorted(map(tuple, chat.render(df).collect()))
