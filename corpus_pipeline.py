@@ -12,15 +12,16 @@ from tallyframe.functions.roles import quoted
 from tallyframe.llm import language, mixing, packing, pii, simhash
 from tallyframe.llm.common import stored
 
-#: A text goes if its language can't be told: no letter, or no language as probable as this.
-LEAST_SCORE = 0.3
 #: What the surrogates are drawn with; a secret of whoever runs it.
 PII_KEY = "an example key"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = docs.withColumn("_told", language.predicted(F.col("text").cast("string"), language.fit(docs)))
-    return told.filter((F.col("_told.lang_pred") != language.UNKNOWN) & (F.col("_told.score") >= LEAST_SCORE)).drop("_told")
+    """Texts without a letter go, and those that are more like noise than like a language of ``docs``; without any label, only the first."""
+    network = language.fit(docs, noise=True)
+    if not network.labels:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
+    return docs.withColumn("_told", language.predicted(F.col("text").cast("string"), network)).filter(F.col("_told.lang_pred") != language.UNKNOWN).drop("_told")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
