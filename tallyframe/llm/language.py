@@ -22,23 +22,34 @@ WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 #: Labelled rows that the network learns from, over all languages together, and windows taken from each.
 TRAINING_ROWS, WINDOWS_EACH = 4000, 4
 EPOCHS, BATCH, RATE, SEED = 6, 64, 4e-3, 11
+#: Batches that a network that tells noise sees at least, however few its windows are.
+NOISE_STEPS = 600
 #: Windows that go through the filters at once.
 AT_ONCE = 64
 UNKNOWN = "und"
+#: Noise is told from text where it is the likelier, and likelier than in this share of the windows learned from.
+CLEAN_SHARE = 0.999
+#: Where the letters of some scripts begin; noise holds letters of those that no window learned from has.
+SCRIPTS = [0x370, 0x410, 0x531, 0x5D0, 0x621, 0x905, 0x985, 0xE01, 0x10D0, 0x3041, 0x4E00, 0x6000, 0x7000, 0xAC00, 0xB800]
+LETTERS = 48
 
 
 class Network:
-    """Weights, training and application. ``labels`` are in order of the outputs."""
+    """Weights, training and application. ``labels`` are in order of the outputs; with ``noise`` one more output tells it.
 
-    def __init__(self, labels: list[str], seed: int = SEED) -> None:
+    A text is noise where that output's mean is above ``limit``.
+    """
+
+    def __init__(self, labels: list[str], seed: int = SEED, noise: bool = False) -> None:
         draw = np.random.default_rng(seed)
-        self.labels = labels
+        self.labels, self.noise, self.limit = labels, noise, 1.0
+        outputs = len(labels) + noise
         self.w = {"emb": draw.normal(0, 0.5, (256, DIM)).astype(np.float32)}
         for k in WIDTHS:
             self.w[f"conv{k}"] = draw.normal(0, (2 / (k * DIM)) ** 0.5, (k * DIM, FILTERS)).astype(np.float32)
             self.w[f"bias{k}"] = np.zeros(FILTERS, np.float32)
-        self.w["out"] = draw.normal(0, 0.1, (FILTERS * len(WIDTHS), len(labels))).astype(np.float32)
-        self.w["out_bias"] = np.zeros(len(labels), np.float32)
+        self.w["out"] = draw.normal(0, 0.1, (FILTERS * len(WIDTHS), outputs)).astype(np.float32)
+        self.w["out_bias"] = np.zeros(outputs, np.float32)
 
     def _forward(self, x: np.ndarray):
         e = self.w["emb"][x]
@@ -107,7 +118,7 @@ class Network:
         # Filters of all widths start together at every place where the widest fits, the narrower ones at the few last places by themselves.
         n, widest = x.shape[1] - max(WIDTHS) + 1, max(WIDTHS)
         bias = np.concatenate([self.w[f"bias{k}"] for k in WIDTHS])
-        result = np.empty((len(x), len(self.labels)), np.float32)
+        result = np.empty((len(x), len(self.w["out_bias"])), np.float32)
         for i in range(0, len(x), AT_ONCE):
             some = x[i : i + AT_ONCE].astype(np.intp)
             pairs = (some[:, :-1] << 8) | some[:, 1:]
@@ -170,13 +181,45 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return labels, x, np.array([labels.index(found[i][0]) for i in whose], int)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS) -> Network:
+def noise_windows(x: np.ndarray, count: int, seed: int = SEED) -> np.ndarray:
+    """``count`` windows as long as some of ``x``: in turn their bytes shuffled, any bytes, printable ones, letters of scripts that ``x`` lacks."""
+    draw = np.random.default_rng(seed)
+    seen = {c for row in x for c in row.tobytes().decode("utf-8", "ignore")}
+    scripts = [at for at in SCRIPTS if not any(chr(c) in seen for c in range(at, at + LETTERS))]
+    result = np.zeros((count, WINDOW), np.uint8)
+    for i, row in enumerate(x[draw.integers(0, len(x), count)]):
+        size = max(1, int((row != 0).sum()))
+        if i % 4 == 0:
+            made = draw.permutation(row[row != 0])
+        elif i % 4 == 1:
+            made = draw.integers(0, 256, size).astype(np.uint8)
+        elif i % 4 == 2 or not scripts:
+            made = draw.integers(32, 127, size).astype(np.uint8)
+        else:
+            letters = draw.choice(scripts) + draw.integers(0, LETTERS, size)
+            letters[draw.random(size) < 0.15] = 32
+            made = np.frombuffer("".join(map(chr, letters)).encode()[:size], np.uint8)
+        result[i, : len(made)] = made
+    return result
+
+
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS, noise: bool = False
+) -> Network:
+    """A network of the languages of ``docs``; with ``noise`` also of what is no text of theirs, made from as many windows as a language has."""
     labels, x, y = training_windows(docs, id_col, text_col, lang_col, rows)
-    return Network(labels).train(x, y)
+    if not noise or not labels:
+        return Network(labels).train(x, y)
+    made = noise_windows(x, -(-len(x) // len(labels)))
+    network = Network(labels, noise=True)
+    epochs = max(EPOCHS, -(-NOISE_STEPS * BATCH // (len(x) + len(made))))
+    network.train(np.concatenate([x, made]), np.concatenate([y, np.full(len(made), len(labels))]), epochs)
+    network.limit = max(0.5, float(np.quantile(network.probabilities(x, network.tables())[:, -1], CLEAN_SHARE)))
+    return network
 
 
 def predicted(texts: Column, network: Network) -> Column:
-    """A struct of lang_pred and score: ``und`` with 0 for a missing text, one without a letter, or nothing learned."""
+    """A struct of lang_pred and score: ``und`` with 0 for a missing text, one without a letter, noise, or nothing learned."""
     ship(SparkSession.active())
 
     @F.pandas_udf("lang_pred string, score double")
@@ -192,12 +235,13 @@ def predicted(texts: Column, network: Network) -> Column:
                     size += len(data[-1])
                     first += 1
                 x, whose, weight = windows(data)
-                total = np.zeros((len(data), len(network.labels)))
+                total = np.zeros((len(data), len(network.w["out_bias"])))
                 np.add.at(total, whose, network.probabilities(x, tables) * weight[:, None])
                 total /= total.sum(axis=1, keepdims=True)
-                best = total.argmax(axis=1)
-                names += [network.labels[b] for b in best]
-                scores += total[np.arange(len(best)), best].clip(0, 1).tolist()
+                best = total[:, : len(network.labels)].argmax(axis=1)
+                known = total[:, -1] <= network.limit if network.noise else np.full(len(best), True)
+                names += [network.labels[b] if k else UNKNOWN for b, k in zip(best, known)]
+                scores += np.where(known, total[np.arange(len(best)), best].clip(0, 1), 0.0).tolist()
             del batch, texts
             give_back()
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})

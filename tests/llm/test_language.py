@@ -123,3 +123,12 @@ def test_windows_cover_the_whole_text():
     assert whose.tolist() == [0, 1, 2, 3, 3, 3]
     assert size.tolist() == [1, 1, language.WINDOW, language.WINDOW, language.WINDOW, 5]
     assert b"".join(x[whose == 3].tobytes().rstrip(b"\0") for _ in [0]) == texts[3]
+
+
+def test_noise_holds_no_script_that_is_learned():
+    greek = "Αυτό είναι ένα κείμενο".encode()
+    x, _, _ = language.windows([greek * 5, b"plain text " * 20])
+    made = language.noise_windows(x, 400)
+    assert made.shape == (400, language.WINDOW) and (made == language.noise_windows(x, 400)).all()
+    letters = "".join(row.tobytes().decode("utf-8", "ignore") for row in made[3::4])
+    assert any("А" <= c <= "р" for c in letters) and not any("Ͱ" <= c < "Π" for c in letters)

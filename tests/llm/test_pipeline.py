@@ -1,8 +1,11 @@
 """Every stage of the pipeline on what the one before it kept, and the rows at its end."""
 
+import random
+import string
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyframe.llm import language, mixing
@@ -32,8 +35,30 @@ def test_language_keeps_what_has_a_language(stages):
     before, after = stages["documents"].count(), stages["language"].count()
     assert 0.98 * before <= after <= before
     gone = stages["documents"].join(stages["language"], "doc_id", "left_anti")
-    told = gone.select(language.predicted(gone["text"], language.fit(stages["documents"])).alias("t")).collect()
-    assert all(r["t"]["lang_pred"] == "und" or r["t"]["score"] < corpus_pipeline.LEAST_SCORE for r in told)
+    told = gone.select(language.predicted(gone["text"], language.fit(stages["documents"], noise=True)).alias("t")).collect()
+    assert all(r["t"]["lang_pred"] == "und" for r in told)
+
+
+def test_language_rejects_noise_and_unlearned_scripts(spark, stages):
+    draw = random.Random(3)
+    letters = string.ascii_letters + string.digits + "+/"
+    bad = ["".join(draw.choices(letters, k=draw.randint(60, 900))) for _ in range(40)]
+    bad += [" ".join("".join(draw.choices(string.ascii_lowercase, k=draw.randint(2, 9))) for _ in range(60)) for _ in range(40)]
+    bad += [x * 5 for x in (
+        "Это пример текста на русском языке, которого никто не учил. ", "Αυτό είναι ένα κείμενο στα ελληνικά. ", "זהו טקסט בעברית שאיש לא למד ",
+        "これは日本語の文章です。学習されていない。", "这是一个没有学过的语言的文本。",
+    )]
+    docs = stages["documents"]
+    more = spark.createDataFrame([(10**9 + i, x) for i, x in enumerate(bad)], "doc_id long, text string")
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(more, allowMissingColumns=True), SMALL)
+    assert kept.filter(f"doc_id >= {10**9}").count() <= 0.05 * len(bad)
+    assert kept.filter(f"doc_id < {10**9}").count() >= 0.99 * docs.filter("text rlike '\\\\p{L}'").count()
+
+
+def test_language_without_labels_keeps_texts(stages):
+    docs = stages["documents"].withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.known_language(docs.sparkSession, docs, SMALL)
+    assert kept.count() == stages["documents"].filter("text rlike '\\\\p{L}'").count()
 
 
 def test_one_of_each_group(stages):
