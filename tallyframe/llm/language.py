@@ -27,8 +27,9 @@ NOISE_STEPS = 600
 #: Windows that go through the filters at once.
 AT_ONCE = 64
 UNKNOWN = "und"
-#: Noise is told from text where it is the likelier, and likelier than in this share of the windows learned from.
-CLEAN_SHARE = 0.999
+#: Noise is told from text where it is the likelier, and likelier than in this share of the beginnings, of these lengths,
+#: of the windows learned from: a short text shows less of its language.
+CLEAN_SHARE, BEGINNINGS = 0.999, (128, 64, 32, 16)
 #: Where the letters of some scripts begin; noise holds letters of those that no window learned from has.
 SCRIPTS = [0x370, 0x410, 0x531, 0x5D0, 0x621, 0x905, 0x985, 0xE01, 0x10D0, 0x3041, 0x4E00, 0x6000, 0x7000, 0xAC00, 0xB800]
 LETTERS = 48
@@ -214,7 +215,9 @@ def fit(
     network = Network(labels, noise=True)
     epochs = max(EPOCHS, -(-NOISE_STEPS * BATCH // (len(x) + len(made))))
     network.train(np.concatenate([x, made]), np.concatenate([y, np.full(len(made), len(labels))]), epochs)
-    network.limit = max(0.5, float(np.quantile(network.probabilities(x, network.tables())[:, -1], CLEAN_SHARE)))
+    tables = network.tables()
+    found = [network.probabilities(np.where(np.arange(WINDOW) < n, x, 0).astype(np.uint8), tables)[:, -1] for n in BEGINNINGS]
+    network.limit = max(0.5, float(np.quantile(np.concatenate(found), CLEAN_SHARE)))
     return network
 
 

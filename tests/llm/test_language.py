@@ -132,3 +132,11 @@ def test_noise_holds_no_script_that_is_learned():
     assert made.shape == (400, language.WINDOW) and (made == language.noise_windows(x, 400)).all()
     letters = "".join(row.tobytes().decode("utf-8", "ignore") for row in made[3::4])
     assert any("А" <= c <= "р" for c in letters) and not any("Ͱ" <= c < "Π" for c in letters)
+
+
+def test_few_beginnings_of_texts_are_noise(documents):
+    network = language.fit(documents, noise=True)
+    _, x, _ = language.training_windows(documents, "doc_id", "text", "lang")
+    assert 0.5 <= network.limit < 1
+    short = np.where(np.arange(language.WINDOW) < 40, x, 0).astype(np.uint8)
+    assert (network.probabilities(short, network.tables())[:, -1] > network.limit).mean() <= 0.01
