@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.roles import quoted
 from ..operators.joins import attach
-from ..session import new_folder
+from ..session import new_folder, ship  # noqa: F401
 
 #: A word of a text: everything between white space of one byte.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,23 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application: they may have no copy of their own."""
-    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
-    if context.applicationId in _shipped or not package.is_dir():
-        return
-    _shipped.add(context.applicationId)
-    folder = tempfile.mkdtemp(prefix="tallyframe-")  # the driver's; Spark hands the file out from there
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/{package.name}.zip", "w") as file:
-        for module in sorted(package.rglob("*.py")):
-            file.write(module, module.relative_to(package.parent))
-    context.addPyFile(f"{folder}/{package.name}.zip")
-
-
 def give_back() -> None:
     """In a Python worker, which lives on after a task: return to the system what Arrow holds for its next batches."""
     pa.default_memory_pool().release_unused()

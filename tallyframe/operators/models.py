@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.coerce import as_number, drop_non_numbers
 from ..functions.kpi import fmt_currency, risk_level
 from ..functions.roles import MissingRole, find_role, need_role, numeric_columns, quoted, text_columns
-from ..session import new_folder
+from ..session import new_folder, ship
 from . import store
 from .encode import label_encode
 from .profile import impute_median, varied_columns
@@ -60,6 +62,7 @@ TRAINING_ROWS = 4_000
 # Training rows per partition; how many there are follows from the rows alone, never from the cores.
 ROWS_PER_TREE_PART = 2_000
 ROWS_PER_PASS_PART = 50_000
+ROWS_PER_BLOCK_PART = 250_000
 WEIGHT_STEPS = 1024
 KEPT = StorageLevel.MEMORY_AND_DISK
 
@@ -487,9 +490,8 @@ def segment_users(
         scaled = arranged(scaled.select("_features", value_hash(names).alias("_hash")), rows, ROWS_PER_PASS_PART, "_hash")
         scaled = scaled.select("_features").persist(KEPT)
         scaled.count()
-        best, passes = _best_clusters(scaled, rows, k, restarts, iterations)
+        centres, passes = _best_clusters(scaled, rows, k, restarts, iterations)
         scaled.unpersist()
-        centres = [list(map(float, c)) for c in best.clusterCenters()]
         return {"mean": list(map(float, scaler.mean)), "spread": list(map(float, scaler.std)), "centres": centres, "passes": passes}
 
     def name() -> str:
@@ -529,28 +531,96 @@ def nearest(names: Sequence[str], mean: Sequence[float], spread: Sequence[float]
     return F.transform(F.array(ways), lambda w: (F.array_position(w, F.array_min(w)) - 1).cast("int"))[0]
 
 
-def _best_clusters(scaled: DataFrame, rows: int, k: int, restarts: int, iterations: int) -> tuple[KMeansModel, list[int]]:
-    """The model with the least squared distance, the first of equal ones, and the passes of each start.
+def _best_clusters(scaled: DataFrame, rows: int, k: int, restarts: int, iterations: int) -> tuple[list[list[float]], list[int]]:
+    """The centres with the least squared distance, the first of equal ones, and the passes of each start.
 
-    The starts do not depend on each other: on few rows, where a pass is mostly
-    waiting, several run at once.
+    The library picks where the starts begin. From there they share each pass over the rows, until the last of them has ended.
     """
-    # Not the persisted frame itself: of a projection the algorithm keeps its own
-    # plain vectors for its many passes, instead of decoding the columns in each.
-    vectors = scaled.select(F.col("_features").alias("_vector"))
-
-    def run(start: int) -> tuple[float, int, KMeansModel, int]:
-        # The library looks at each centre's distance by itself.
-        kmeans = KMeans(
-            featuresCol="_vector", predictionCol="cluster", k=k, seed=SEED + start, maxIter=iterations, tol=(TOLERANCE / k) ** 0.5
+    ship(scaled.sparkSession)
+    starts = _beginnings(scaled, rows, k, restarts)
+    values = scaled.select(vector_to_array("_features").alias("values")).coalesce(rows // ROWS_PER_BLOCK_PART + 1)
+    blocks = values.mapInArrow(_packed, "block binary").persist(KEPT)
+    costs, passes = [float("inf")] * restarts, [0] * restarts
+    going = list(range(restarts)) if iterations else []
+    while going:
+        found = _shared_pass(blocks, {s: starts[s] for s in going})
+        still = []
+        for s in going:
+            costs[s], shift = sum(cost for cost, _ in found[s].values()), 0.0
+            for c, (_, mean) in found[s].items():
+                shift = max(shift, float(((mean - starts[s][c]) ** 2).sum()))
+                starts[s][c] = mean
+            passes[s] += 1
+            # Each centre is looked at by itself.
+            if shift > TOLERANCE / k and passes[s] < iterations:
+                still.append(s)
+        going = still
+    blocks.unpersist()
+    best = min(range(restarts), key=lambda s: (costs[s], s))
+    return [list(map(float, c)) for c in starts[best]], passes
+
+
+def _beginnings(scaled: DataFrame, rows: int, k: int, restarts: int) -> list[np.ndarray]:
+    """The centres that each start begins with, at most ``k``.
+
+    The starts do not depend on each other: on few rows, where a pass is mostly waiting, several run at once.
+    """
+
+    def pick(start: int) -> np.ndarray:
+        kmeans = KMeans(featuresCol="_features", predictionCol="cluster", k=k, seed=SEED + start, maxIter=0, solver="block")
+        return np.array(kmeans.fit(scaled).clusterCenters())
+
+    with ThreadPoolExecutor(STARTS_AT_ONCE if rows <= FEW_ROWS else 1) as pool:
+        return list(pool.map(inheritable_thread_target(scaled.sparkSession)(pick), range(restarts)))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers of each batch of rows as one value."""
+    for batch in batches:
+        if batch.num_rows:
+            numbers = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([numbers.tobytes()], pa.binary())})
+
+
+def _shared_pass(blocks: DataFrame, starts: dict[int, np.ndarray]) -> dict[int, dict[int, tuple[float, np.ndarray]]]:
+    """For each start and cluster that has rows: their squared distance from its centre, and their mean."""
+    size = len(next(iter(starts.values()))[0])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = np.vstack(list(starts.values()))
+        lengths = (centres ** 2).sum(axis=1)[:, None]
+        whole = np.zeros((len(centres), size + 2))  # rows, squared distance, sums of the features
+        for batch in batches:
+            for block in batch.column(0):
+                x = np.frombuffer(block.as_buffer()).reshape(-1, size)
+                far, own = lengths - 2 * (centres @ x.T), (x ** 2).sum(axis=1)
+                first = 0
+                for of_start in starts.values():
+                    after = first + len(of_start)
+                    least, at = far[first].copy(), np.zeros(len(x), dtype=np.int8)
+                    for c in range(1, len(of_start)):
+                        at[far[first + c] < least] = c
+                        np.minimum(least, far[first + c], out=least)
+                    member = (at == np.arange(len(of_start), dtype=np.int8)[:, None]).astype(float)
+                    whole[first:after, 0] += member.sum(axis=1)
+                    whole[first:after, 1] += member @ np.maximum(least + own, 0.0)
+                    whole[first:after, 2:] += member @ x
+                    first = after
+        keys = [(s, c) for s, of_start in starts.items() for c in range(len(of_start))]
+        columns = [[s for s, _ in keys], [c for _, c in keys], *whole.T]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v, kind) for v, kind in zip(columns, [pa.int32(), pa.int32(), *[pa.float64()] * (size + 2)])],
+            names=["start", "cluster", "n", "cost", *[f"s{i}" for i in range(size)]],
         )
-        model = kmeans.fit(vectors)
-        return model.summary.trainingCost, start, model, model.summary.numIter
 
-    at_once = STARTS_AT_ONCE if rows <= FEW_ROWS else 1
-    with ThreadPoolExecutor(at_once) as pool:
-        found = list(pool.map(inheritable_thread_target(scaled.sparkSession)(run), range(restarts)))
-    return min(found, key=lambda m: m[:2])[2].setFeaturesCol("_features"), [m[3] for m in found]
+    numbers = ["n", "cost", *[f"s{i}" for i in range(size)]]
+    parts = blocks.mapInArrow(sums, "start int, cluster int, " + ", ".join(f"{n} double" for n in numbers))
+    # A row per centre.
+    whole = parts.groupBy("start", "cluster").agg(*[F.sum(n).alias(n) for n in numbers]).filter("n > 0").collect()
+    found: dict = {s: {} for s in starts}
+    for r in whole:
+        found[r["start"]][r["cluster"]] = (r["cost"], np.array(r[4:]) / r["n"])
+    return found
 
 
 # -- rows for the predictions table --------------------------------------------------------
