@@ -103,11 +103,15 @@ def arranged(df: DataFrame, rows: int, per_part: int, key: str) -> DataFrame:
     return df.repartition(rows // per_part + 1, key).sortWithinPartitions(key)
 
 
+def stored(df: DataFrame, label: str = "rows") -> DataFrame:
+    """``df`` as a table in the shared folder, so that the many passes over it don't work it out again."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def written(features: Features) -> Features:
-    """The features as a table in the shared folder, so that fitting and scoring don't work them out again."""
-    frame, folder = features.frame, new_folder(features.frame.sparkSession, "features")
-    frame.write.parquet(folder)
-    return features._replace(frame=frame.sparkSession.read.schema(frame.schema).parquet(folder))
+    return features._replace(frame=stored(features.frame, "features"))
 
 
 # -- kept models ---------------------------------------------------------------------
@@ -462,15 +466,17 @@ def segment_users(
     restarts: int = RESTARTS,
     iterations: int = ITERATIONS,
     keep: str | None = None,
+    is_stored: bool = False,
 ) -> Segments:
     """K-means on standardised features; the best of several starts is kept.
 
     The result holds the rows as they came, with cluster and segment. With ``keep``, a shared folder, centres are
-    looked for once for the same data and settings.
+    looked for once for the same data and settings. The rows are stored first, unless ``is_stored`` says that they are.
     """
-    # The original row rides along, because features are encoded and filled in place.
     spark = df.sparkSession
-    known = df.withColumn("_row", F.struct("*")).persist(KEPT)
+    df = df if is_stored else stored(df)
+    # The original row rides along, because features are encoded and filled in place.
+    known = df.withColumn("_row", F.struct("*"))
     encoded = label_encode(known, text_columns(df, exclude))
     candidates = numeric_columns(encoded, exclude)
     varied = {r["column"] for r in varied_columns(encoded, candidates).collect() if r["varied"]} if candidates else set()
@@ -498,7 +504,6 @@ def segment_users(
         return "segments-" + content_key(df, exclude, names, k, restarts, iterations)
 
     facts = kept(spark, keep, name, fit)
-    known.unpersist()
     clustered = filled.withColumn("cluster", nearest(names, facts["mean"], facts["spread"], facts["centres"]))
     # Clusters are ranked by revenue as it came; revenue as text by its codes.
     reference = find_role(df, "revenue", roles)
