@@ -216,21 +216,22 @@ def predict_churn(
     depth: int = TREE_DEPTH,
     training_rows: int = TRAINING_ROWS,
     keep: str | None = None,
+    is_stored: bool = False,
 ) -> ChurnModel:
     """A random forest for 'churn is above 0', with both classes weighing the same.
 
     The forest learns from about ``training_rows`` of the rows that aren't held
     out, half of each class where both have as many; the held-out ones are all tested, and all rows are scored.
     With ``keep``, a shared folder, it is fitted once for the same data and settings and loaded from then on.
+    The rows are stored first, unless ``is_stored`` says that they are.
     """
     spark, target = df.sparkSession, need_role(df, "churn", roles)
-    known = drop_non_numbers(df, target)
+    known = drop_non_numbers(df if is_stored else stored(df), target)
     made: dict = {}
 
     def features() -> Features:
         if "features" not in made:
-            made["features"] = written(feature_frame(known.persist(KEPT), target, exclude, 2, "churn_features"))
-            known.unpersist()
+            made["features"] = written(feature_frame(known, target, exclude, 2, "churn_features"))
         return made["features"]
 
     def fit(folder: str | None) -> dict:
@@ -263,7 +264,8 @@ def fit_forest(features: Features, target: str, rows: int, trees: int, depth: in
     """The forest, and the rows of its report on the held-out rows."""
     label = (quoted(target) > 0).cast("int")
     ready = assembled(features).withColumn("_label", label).withColumn("_hash", value_hash([*features.names, target]))
-    held = ready.select("_features", "_label", "_hash").persist(KEPT)
+    # Not kept: a pass reads from the table what it needs, and only the last two need vectors.
+    held = ready.select("_features", "_label", "_hash")
     is_test = binary_holdout(held, F.col("_hash"), "_label", test_share(rows))
     learned = training_sample(held.filter(~is_test), training_rows).persist(KEPT)
     sizes = {r["_label"]: r["count"] for r in learned.groupBy("_label").agg(F.sum("_weight").alias("count")).collect()}  # two rows
@@ -281,7 +283,6 @@ def fit_forest(features: Features, target: str, rows: int, trees: int, depth: in
     training.unpersist()
     learned.unpersist()
     measured = classification_metrics(model.transform(held.filter(is_test)), "_label", "_predicted").collect()  # two rows
-    held.unpersist()
     return model, measured
 
 
