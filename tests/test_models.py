@@ -283,3 +283,55 @@ def test_centres_are_a_fixed_point(spark, customers, monkeypatch):
     monkeypatch.setattr(models, "_best_clusters", None)
     again = models.segment_users(df, 3, exclude=["row_id"], restarts=2, keep=folder)
     assert sorted(map(tuple, again.rows.collect())) == sorted(map(tuple, found.rows.collect())) and again.passes == found.passes
+
+
+# -- work that is done once ---------------------------------------------------------------
+
+
+def test_starts_share_their_passes_and_end_as_the_library_does(spark, customers, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    vectors = VectorAssembler(inputCols=["engagement", "revenue"], outputCol="_features").transform(
+        customers.dropna().select(F.col("engagement") / 50, (F.col("revenue") / 500).alias("revenue")).toDF("engagement", "revenue")
+    ).select("_features").persist()
+    rows, shared, one = vectors.count(), [], models._shared_pass
+    monkeypatch.setattr(models, "_shared_pass", lambda blocks, starts: shared.append(list(starts)) or one(blocks, starts))
+    centres, passes = models._best_clusters(vectors, rows, 3, 4, models.ITERATIONS)
+    assert len(shared) == max(passes) < sum(passes) and shared[0] == [0, 1, 2, 3]
+    fits = [
+        KMeans(featuresCol="_features", k=3, seed=models.SEED + s, maxIter=models.ITERATIONS, tol=(models.TOLERANCE / 3) ** 0.5).fit(vectors)
+        for s in range(4)
+    ]
+    assert passes == [f.summary.numIter for f in fits]
+    best = min(fits, key=lambda f: f.summary.trainingCost)
+    assert np.abs(np.array(centres) - np.array(best.clusterCenters())).max() < 1e-9
+
+
+@pytest.mark.parametrize("use", [
+    lambda df: models.predict_churn(df, exclude=["row_id"], trees=3).scores.collect(),
+    lambda df: [f.collect() for f in models.segment_users(df, 3, exclude=["row_id"], restarts=2)[:3]],
+    lambda df: models.all_prediction_rows(df, "now", exclude=["row_id"]).collect(),
+], ids=["churn", "segments", "prediction_rows"])
+def test_rows_are_worked_out_once(spark, customers, use):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        made.add(1)
+        return value
+
+    dated = customers.withColumn("date", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("row_id")), "yyyy-MM-dd"))
+    use(dated.withColumn("revenue", counted("revenue")))
+    assert made.value == 400
+
+
+def test_no_median_for_a_column_without_gaps(spark, monkeypatch):
+    from tallyframe.operators import profile
+
+    asked, quantiles = [], profile.exact_quantiles
+    monkeypatch.setattr(profile, "exact_quantiles", lambda df, columns, points: asked.append(list(columns)) or quantiles(df, columns, points))
+    df = spark.createDataFrame([(1.0, 2.0, None), (None, 4.0, None), (3.0, 6.0, None)], "gaps double, full double, none double")
+    assert sorted(map(tuple, profile.impute_median(df, ["gaps", "full", "none"]).collect())) == [(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)]
+    assert asked == [["gaps", "none"]]
+    assert profile.impute_median(df.limit(0), ["gaps", "full"]).columns == ["none"]
