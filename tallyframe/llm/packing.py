@@ -11,8 +11,10 @@ length from counts per partition, so no task sees all pieces of a length.
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +28,8 @@ from .common import give_back, ship, stored
 
 #: Bins of length that patterns are made of, and lengths in a pattern.
 BINS, FEW = 128, 3
-#: Words whose ids a task remembers; twice as many are held at most.
-REMEMBERED = 100_000
+#: Runs and words whose ids a task remembers; twice as many are held at most.
+REMEMBERED = 200_000
 #: Characters that are tokenized together.
 AT_ONCE = 1 << 20
 #: Rows of the table of starts (a row per partition and length) up to which it is broadcast.
@@ -37,77 +39,93 @@ KEY = 1 << 44  # above any number of pieces of one length
 
 # --- tokens ----------------------------------------------------------------------------------
 
-class Words:
-    """Token ids of texts, word by word.
+class Remembered(dict):
+    """The ids of runs and words, worked out when they are first asked for; held in two generations."""
+
+    def __init__(self, fresh: Callable[[bytes | str], bytes]) -> None:
+        super().__init__()
+        self.fresh, self.old = fresh, {}
+
+    def __missing__(self, word: bytes | str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.fresh(word)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
 
-    The tokenizer splits at white space and works on each word alone, so the ids
-    of a text are those of its words. Words are remembered in two generations.
-    Words of plain letters go straight to the subword model. Whether all this
-    holds for a tokenizer is tried out on a few texts first; if not, texts are
-    encoded whole.
+class Words:
+    """Token ids of texts, run by run.
+
+    The tokenizer splits at white space and works on each word alone, and within a
+    word on contractions, runs of letters, single digits and runs of other signs. So
+    the ids of a text are those of its runs, which go straight to the subword model.
+    Words with characters whose kind isn't certain are encoded by the tokenizer.
+    Whether all this holds for a tokenizer is tried out on a few texts first; if not,
+    texts are encoded whole.
     """
 
-    PROBE = ("Don't  stop:\tl'été, ÀÉ 12 a1b2\n\n(x)'s it's o'clock ... naïve\x0bßa ÿ's", "a.b,c. d., 'll <|x|>-- cafés")
+    PROBE = (
+        "Don't  stop:\tl'été, ÀÉ 12 a1b2\n\n(x)'s it's o'clock ... naïve\x0bßa ÿ's", "a.b,c. d., 'll <|x|>-- cafés",
+        "end.&&& é99x $$$ 555-8178 key=Ab3_c% \"ÀÉ!?\" ¿[ª]{µ}º/÷×~ «x²» É° 1½", "Aa AA12.5% #A_b-C; <|É|> we're I'm I'd you've 'stop ''s .'s 'T 'é 'vet",
+    )
+    #: A byte of Latin-1 in lower case.
+    LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
+    LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+    SIGNS = rb"!-/:-@\[-`{-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7"
+    RUN = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[" + LETTERS + rb"]+|[0-9]|[" + SIGNS + rb"]+")
+    #: Bytes that runs are made of, and white space.
+    CERTAIN = b"".join(re.findall(rb"[0-9\s" + LETTERS + SIGNS + rb"]", bytes(range(256))))
 
     def __init__(self, content: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.new: dict[bytes | str, bytes] = {}
-        self.old: dict[bytes | str, bytes] = {}
+        self.remembered = Remembered(self.fresh)
         # Bytes as the letters that byte-level vocabularies are written in: printable ones stand for themselves.
         itself = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(itself)]
         self.letters = {b: b for b in itself} | {b: 256 + i for i, b in enumerate(others)}
-        self.by_word = all(self.whole([t])[0] == b"".join(self.word(w) for w in self.split(t)) for t in self.PROBE)
-        self.new.clear()
+        # Tokens that the tokenizer looks for in the text as it is written.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.encode("latin-1").translate(self.LOWER) for t in added if t and max(t) <= "\xff"]
+        self.by_word = all(self.whole([t])[0] == self.text(t) for t in self.PROBE)
+        self.remembered.clear()
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def split(text: str) -> list[bytes] | list[str]:
-        """Words in Latin-1, with A-Z in lower case; of a text with other characters as they are."""
+    def split(self, text: str) -> list[bytes] | list[str]:
+        """Runs in Latin-1 and lower case, or words if a kind isn't certain; words as they are if there are other characters or an added token."""
         try:
-            return text.encode("latin-1").lower().split()
+            lower = text.encode("latin-1").translate(self.LOWER)
         except UnicodeEncodeError:
+            lower = None
+        if lower is None or any(t in lower for t in self.added):
             return [w for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]
-
-    def word(self, word: bytes | str) -> bytes:
-        """The ids of a word, remembered."""
-        found = self.new.get(word)
-        if found is None:
-            found = self.old.get(word)
-            found = self.new[word] = self.fresh(word) if found is None else found
-        return found
+        return lower.split() if lower.translate(None, self.CERTAIN) else self.RUN.findall(lower)
 
     def fresh(self, word: bytes | str) -> bytes:
-        """The ids of a word, by its letters and a dot or comma at its end if it is that plain."""
-        if isinstance(word, str):
-            return self.whole([word])[0]
-        text = word.decode("latin-1")
-        if len(text) > 1 and text[-1] in ".," and text[:-1].isalpha():
-            return self.word(word[:-1]) + self.word(word[-1:])
-        if text.isalpha() and text.islower():
-            spelled = text.encode().decode("latin-1").translate(self.letters)
+        """The ids of a run, or of a word by its runs if it has no others."""
+        if isinstance(word, bytes) and self.RUN.fullmatch(word):
+            spelled = word.decode("latin-1").encode().decode("latin-1").translate(self.letters)
             return self.pack([t.id for t in self.tokenizer.model.tokenize(spelled)])
-        return self.whole([text])[0]
+        text = word if isinstance(word, str) else word.decode("latin-1")
+        parts = self.split(text)
+        return self.whole([text])[0] if parts == [word] else b"".join([self.remembered[p] for p in parts])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [self.text(t) for t in texts] if self.by_word else self.whole(texts)
 
     def text(self, text: str) -> bytes:
-        words = self.split(text)
-        try:
-            return b"".join(map(self.new.__getitem__, words))
-        except KeyError:
-            if len(self.new) >= REMEMBERED:
-                self.old, self.new = self.new, {}
-            return b"".join(map(self.word, words))
+        return b"".join(map(self.remembered.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=2)

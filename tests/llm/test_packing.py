@@ -71,6 +71,45 @@ def test_a_tokenizer_that_does_not_split_at_words():
     assert words.ids(["two  words"]) == words.whole(["two  words"])
 
 
+@pytest.mark.parametrize("text", [
+    "<|ENDOFTEXT|> a<|StartOfText|>b", "<|ENDOFTEXT|> x <|endoftext|>É", "¿Qué? «oui» 1½x² ©®× ÷a", "we're I'M you've he'd ''s .'s 'é", "curly “word.” it’s A.B,c",
+])
+def test_runs_alone_give_the_ids_of_the_text(tokenizer, text):
+    words = packing.Words(open(tokenizer, encoding="utf-8").read())
+    assert words.by_word
+    assert words.ids([text]) == words.whole([text])
+
+
+def test_every_two_characters_of_latin_1(tokenizer):
+    words = packing.Words(open(tokenizer, encoding="utf-8").read())
+    latin = [chr(i) for i in range(256)]
+    texts = [f"x{a}{b}y {b}'{a}" for a in latin for b in latin]
+    assert words.ids(texts) == words.whole(texts)
+
+
+def test_words_with_signs_and_digits_need_no_whole_encoding(tokenizer, monkeypatch):
+    words = packing.Words(open(tokenizer, encoding="utf-8").read())
+    texts = ["one.&&& two*** (three) 555-8178 key=ab3c it's", "Été, Écrit: «ÀÉ»!"]
+    want = words.whole(texts)
+    monkeypatch.setattr(words, "whole", None)
+    assert words.ids(texts) == want
+
+
+def test_a_run_is_worked_out_once(tokenizer, monkeypatch):
+    words, asked, fresh = packing.Words(open(tokenizer, encoding="utf-8").read()), [], packing.Words.fresh
+    monkeypatch.setattr(words.remembered, "fresh", lambda w: (asked.append(w), fresh(words, w))[1])
+    words.ids(["word word. word, (word) Word!", "word? 'word'"])
+    assert Counter(asked) == Counter([b"word", b".", b",", b"(", b")", b"!", b"?", b"'"])
+
+
+def test_one_long_text_does_not_outgrow_what_is_remembered(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    words = packing.Words(open(tokenizer, encoding="utf-8").read())
+    text = " ".join(chr(97 + a) + chr(97 + b) for a in range(26) for b in range(26)) + " aa bb. aa"
+    assert words.ids([text]) == words.whole([text])
+    assert len(words.remembered) <= 50 and len(words.remembered.old) <= 50
+
+
 @pytest.mark.parametrize("limit, counts", [
     (2048, {2048: 7, 1024: 5, 1: 3}), (10, {3: 1000, 4: 500, 10: 2}), (16, {k: 17 * k % 23 for k in range(1, 17)}),
     (300, {k: 1 + k * k % 91 for k in range(1, 301)}), (2048, {700: 3_000_000_000, 680: 2_999_999_999, 668: 3_000_000_001, 5: 11}), (5, {}),
