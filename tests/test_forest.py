@@ -40,6 +40,15 @@ def test_every_row_that_is_not_held_out_is_learned_from(spark, many):
     assert model.scores.count() == 12_000
 
 
+def test_report_comes_from_all_rows(spark, many):
+    """Stripes whose edges are where cuts of all rows are; all held-out rows are tested."""
+    model = models.predict_churn(many, exclude=["row_id"], trees=20)
+    report = {r["class"]: r for r in model.report.collect()}
+    truth = many.agg(F.sum("churn")).first()[0]
+    assert report["Churned"]["support"] == pytest.approx(truth / 5, abs=1)
+    assert model.accuracy > 97
+
+
 def test_cuts_are_those_of_all_training_rows(spark, cells, monkeypatch):
     """As sorting all values gives them, in however many parts they are sorted; a feature of few values has a cut between any two."""
     found = forest.cut_points(cells, 3)
