@@ -118,3 +118,13 @@ def test_draws_are_a_bootstrap(spark):
         assert abs(np.corrcoef(one, other)[0, 1]) < 0.03
     assert not forest.drawn(hashes, np.zeros(len(hashes), int), 42, 0, 0).any()
     assert (forest.drawn(hashes[::-1], np.ones(len(hashes), int), 42, 0, 0)[::-1] == forest.drawn(hashes, np.ones(len(hashes), int), 42, 0, 0)).all()
+
+
+def test_prediction_rows_read_the_same_forest(spark, many):
+    dated = many.select("*", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("row_id") % 700).cast("int")), "yyyy-MM-dd").alias("date"), (F.col("a") + 1).alias("revenue"))
+    folder = new_folder(spark, "kept")
+    model = models.predict_churn(dated, exclude=["row_id"], keep=folder)
+    assert all(abs(n - 9_600) < 6 * 98 for n in roots(spark, model))
+    rows = {r["prediction_type"]: r for r in models.all_prediction_rows(dated, "now", exclude=["row_id"], keep=folder).collect()}
+    high = model.scores.filter("risk_level = 'High'").count()
+    assert f"High Risk: {high}" in rows["Churn Prediction"]["summary"] and rows["Churn Prediction"]["accuracy"] == model.accuracy
